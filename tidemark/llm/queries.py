@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, packing, sharding
+from tidemark.llm import bpe, packing, perplexity, quality, sharding
 from tidemark.llm._arrow import prepare
 
 
@@ -24,6 +24,16 @@ def op1_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path(), 1024)
 
 
+def op3_perplexity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    columns = ["doc_id", *perplexity.COUNTS, "base_failed", "kept", "log2_perplexity"]
+    return perplexity.rules(docs).select(*columns)
+
+
+def op5_quadratic_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels"))
+
+
 def op7_hypergeometric_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"), 40)
 
@@ -34,6 +44,8 @@ def op10_streaming_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_harmonic_packing": op1_harmonic_packing,
+    "op3_perplexity_rules": op3_perplexity_rules,
+    "op5_quadratic_quality": op5_quadratic_quality,
     "op10_streaming_bpe": op10_streaming_bpe,
     "op7_hypergeometric_sharding": op7_hypergeometric_sharding,
 }
