@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, packing, perplexity, quality, sharding
+from tidemark.llm import bpe, jaccard, packing, perplexity, quality, sharding
 from tidemark.llm._arrow import prepare
 
 
@@ -38,6 +38,10 @@ def op7_hypergeometric_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"), 40)
 
 
+def op9_relation_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar(_table(spark, sf_dir, "documents"), 3, 90)
+
+
 def op10_streaming_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(_table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_harmonic_packing": op1_harmonic_packing,
     "op3_perplexity_rules": op3_perplexity_rules,
     "op5_quadratic_quality": op5_quadratic_quality,
+    "op9_relation_jaccard_join": op9_relation_jaccard_join,
     "op10_streaming_bpe": op10_streaming_bpe,
     "op7_hypergeometric_sharding": op7_hypergeometric_sharding,
 }
