@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, jaccard, packing, perplexity, quality, sharding
+from tidemark.llm import bpe, brown, jaccard, packing, perplexity, quality, sharding
 from tidemark.llm._arrow import prepare
 
 
@@ -24,6 +24,10 @@ def op1_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path(), 1024)
 
 
+def op2_brown_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.log10_scores(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_perplexity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     columns = ["doc_id", *perplexity.COUNTS, "base_failed", "kept", "log2_perplexity"]
@@ -48,6 +52,7 @@ def op10_streaming_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_harmonic_packing": op1_harmonic_packing,
+    "op2_brown_classes": op2_brown_classes,
     "op3_perplexity_rules": op3_perplexity_rules,
     "op5_quadratic_quality": op5_quadratic_quality,
     "op9_relation_jaccard_join": op9_relation_jaccard_join,
