@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, brown, jaccard, packing, perplexity, quality, sharding
+from tidemark.llm import bpe, brown, extraction, jaccard, media, packing, perplexity, quality, sharding
 from tidemark.llm._arrow import prepare
 
 
@@ -34,6 +34,14 @@ def op3_perplexity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexity.rules(docs).select(*columns)
 
 
+def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_columns(_table(spark, sf_dir, "documents"))
+
+
+def op6_tree_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(_table(spark, sf_dir, "pages"))
+
+
 def op5_quadratic_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels"))
 
@@ -54,9 +62,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_harmonic_packing": op1_harmonic_packing,
     "op2_brown_classes": op2_brown_classes,
     "op3_perplexity_rules": op3_perplexity_rules,
+    "op4_media_columns": op4_media_columns,
     "op5_quadratic_quality": op5_quadratic_quality,
     "op9_relation_jaccard_join": op9_relation_jaccard_join,
     "op10_streaming_bpe": op10_streaming_bpe,
+    "op6_tree_extraction": op6_tree_extraction,
     "op7_hypergeometric_sharding": op7_hypergeometric_sharding,
 }
 
