@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, brown, extraction, jaccard, media, packing, perplexity, quality, sharding
+from tidemark.llm import bpe, brown, extraction, jaccard, media, packing, perplexity, quality, sanitising, sharding
 from tidemark.llm._arrow import prepare
 
 
@@ -50,6 +50,10 @@ def op7_hypergeometric_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"), 40)
 
 
+def op8_disclosure_sanitising(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sanitising.find(_table(spark, sf_dir, "documents"))
+
+
 def op9_relation_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar(_table(spark, sf_dir, "documents"), 3, 90)
 
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_perplexity_rules": op3_perplexity_rules,
     "op4_media_columns": op4_media_columns,
     "op5_quadratic_quality": op5_quadratic_quality,
+    "op8_disclosure_sanitising": op8_disclosure_sanitising,
     "op9_relation_jaccard_join": op9_relation_jaccard_join,
     "op10_streaming_bpe": op10_streaming_bpe,
     "op6_tree_extraction": op6_tree_extraction,
