@@ -146,3 +146,23 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     profiled = keep(profiles(docs.select("doc_id", "text")))
     model = train(profiled, labels)
     return score(profiled, model).select("doc_id", (remainder(3) == 1).alias("held_out"), "score", "predicted")
+
+
+def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs, all their columns, whose text is predicted to be of quality; see classify.
+
+    Statistics are computed twice, for training and for the verdict, so that no text is written or shuffled.
+    """
+    model = train(keep(profiles(docs.select("doc_id", "text"))), labels)
+    if model is None:
+        return docs
+    names = docs.columns
+    put = names.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [model.score(profile(data, at)) >= 0.5 for _, _, data, at in pieces(batch.column(put))]
+            yield batch.filter(pa.array(np.concatenate(found) if found else np.empty(0, bool)))
+
+    fields = [f"c{k} {f.dataType.simpleString()}" for k, f in enumerate(docs.schema)]
+    return docs.toDF(*[f"c{k}" for k in range(len(names))]).mapInArrow(run, ", ".join(fields)).toDF(*names)
