@@ -5,11 +5,15 @@
 2.  Documents with the same set are one node.  Of a set of n, the first n - ceil(t n) + 1 n-grams in that order are posted;
     two sets of a Jaccard similarity of t or more share one of these.  Lists of one node are dropped.
 3.  A list is cut into blocks by set size, each of which overlaps with the next, so sets whose sizes rule out a link
-    don't meet.  In a block the set with the foremost position is the pivot: fewest of its n-grams are its own.
-4.  Index lists thus become groups around pivots.  Each member is compared to its pivot once.  What the pivot and a member
+    don't meet.  In a block the set with the foremost position is the pivot: fewest of its n-grams are its own.  Lists thus
+    become groups around pivots.  A group is cut into families: every set has a bitmap in which each n-gram flips one bit,
+    and the bits in which two bitmaps differ are a metric that is never more than what their sets differ in.  A set beyond
+    `reach` link distances of each leader leads a family of its own; a family takes what is one link distance further
+    away, so two linked sets are in one family, whichever leader either has.
+4.  Sets are read again for the members of families only.  Each member is compared to its leader once.  What the leader and a member
     differ in answers for the members among themselves: |B and C| = |A| - |A-B| - |A-C| + what the differences share.
-    A member that is linked with the pivot brings the pivot's links; for the others, only members with a common
-    difference are looked at, as without one they are no more similar than either is to the pivot.
+    A member that is linked with the leader brings the leader's links; for the others, only members with a common
+    difference are looked at, as without one they are no more similar than either is to the leader.
     So a group of copies costs as much as it has members, and no list is expanded into pairs.
 5.  Links that span each group's components go on to connected components over all groups.
 
@@ -32,7 +36,9 @@ from tidemark.llm._words import U, mix, totals, words
 from tidemark.llm.components import components
 
 #: Buckets of each sketch, and of the filter of documents that are read again.
-SKETCH, FILTER = 1 << 20, 1 << 23
+SKETCH, FILTER = 1 << 18, 1 << 23
+#: Link distances from its leader within which a set leads no family of its own.
+REACH = 3
 
 
 @dataclass
@@ -58,7 +64,7 @@ def grams(data: np.ndarray, at: np.ndarray, size: int, rarity: np.ndarray | None
         at_word = np.minimum(start + k, max(len(w.hash) - 1, 0))
         hashes = np.where(there, hashes * U(0xC2B2AE3D27D4EB4F) + w.hash[at_word], hashes)
         if common is not None:
-            common += np.where(there, rarity[w.hash[at_word] >> U(44)], 0)
+            common += np.where(there, rarity[w.hash[at_word] >> U(46)], 0)
     # shorter sequences have hashes of their own, as their length is in them
     return Sets(mix(hashes ^ mix(np.minimum(counts[doc], size).astype(U))), doc, common)
 
@@ -83,8 +89,8 @@ def sketches(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
             for _, _, data, at in pieces(batch.column(0)):
                 w = words(data, at, True)
                 s = grams(data, at, size)
-                seen[:SKETCH] += np.bincount((w.hash >> U(44)).astype(np.int64), minlength=SKETCH)
-                seen[SKETCH:] += np.bincount((s.hash >> U(44)).astype(np.int64), minlength=SKETCH)
+                seen[:SKETCH] += np.bincount((w.hash >> U(46)).astype(np.int64), minlength=SKETCH)
+                seen[SKETCH:] += np.bincount((s.hash >> U(46)).astype(np.int64), minlength=SKETCH)
         some = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(seen[some], pa.int64())], ["at", "n"])
 
@@ -96,38 +102,70 @@ def sketches(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     return np.log2(seen[:SKETCH] + 1).astype(np.float32), level.astype(np.uint8)
 
 
+def bitmaps(h: np.ndarray, first: np.ndarray) -> list[bytes]:
+    """Of each set: twice as many bits as it has n-grams, or more (a power of two), of which each n-gram flips one."""
+    n = np.diff(first)
+    bits = 1 << np.maximum(np.ceil(np.log2(np.maximum(2 * n, 1))), 6).astype(np.int64)
+    start = np.r_[0, np.cumsum(bits)]
+    spot = np.repeat(start[:-1], n) + (mix(h + U(0x13198A2E03707344)) & np.repeat(bits - 1, n).astype(U)).astype(np.int64)
+    packed = np.packbits((np.bincount(spot, minlength=start[-1]) & 1).astype(bool), bitorder="little").tobytes()
+    return [packed[a // 8 : b // 8] for a, b in zip(start[:-1].tolist(), start[1:].tolist())]
+
+
+def families(nodes: np.ndarray, sizes: np.ndarray, maps: list[bytes], percent: int) -> list[tuple[int, int]]:
+    """(leader, member) for the sets of a group, the leader as a member of its own family too; alone, it has none."""
+    shortest = min(map(len, maps))
+    folded = np.empty((len(maps), shortest), np.uint8)
+    for k, m in enumerate(maps):
+        folded[k] = np.bitwise_xor.reduce(np.frombuffer(m, np.uint8).reshape(-1, shortest))
+    words_of = folded.view(U)
+    distance = (100 - percent) / (100 + percent) * 2 * sizes.max()
+    led, found = np.zeros(len(maps), bool), []
+    for k in range(len(maps)):
+        if not led[k]:
+            away = np.bitwise_count(words_of ^ words_of[k]).sum(1)
+            near = np.flatnonzero(away <= (REACH + 1) * distance)
+            led |= away <= REACH * distance
+            if len(near) > 1:
+                found += [(nodes[k], nodes[x]) for x in near]
+    return found
+
+
 def read_sets(docs: DataFrame, size: int, percent: int, model: tuple) -> DataFrame:
-    """doc_id, n (size of the set), node (null: empty), first (the posted n-grams, where this is the partition's first)."""
+    """doc_id, n (size of the set), node (null: empty) and, where this is the node's first in the partition, first (the posted
+    n-grams) and bitmap."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rarity, level = sent.value
         seen: set[int] = set()
         for batch in batches:
-            n_all, node_all, lists = [], [], []
+            n_all, node_all, lists, maps = [], [], [], []
             for _, _, data, at in pieces(batch.column(1)):
                 s = grams(data, at, size, rarity)
-                key = level[s.hash >> U(44)].astype(U) << U(58) | np.minimum(s.common / 2, 63).astype(U) << U(52) | s.hash >> U(12)
+                key = level[s.hash >> U(46)].astype(U) << U(58) | np.minimum(s.common / 2, 63).astype(U) << U(52) | s.hash >> U(12)
                 h, d = distinct(s, key)
                 n = np.bincount(d, minlength=len(at) - 1)
                 first = np.r_[0, np.cumsum(n)]
                 node = identity(h, first)
                 posted = n - (percent * n + 99) // 100 + 1
+                mapped = bitmaps(h, first)
                 for k in range(len(n)):
                     v = int(node[k])
                     new = n[k] > 0 and v not in seen
                     if new:
                         seen.add(v)
+                    maps.append(mapped[k] if new else None)
                     lists.append(h[first[k] : first[k] + posted[k]].view(np.int64) if new else h[:0].view(np.int64))
                 n_all.append(n)
                 node_all.append(node)
             n, node = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (n_all, node_all))
             sizes = np.r_[0, np.cumsum([len(x) for x in lists])].astype(np.int32)
             arrays = pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(lists) if lists else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64(), mask=n == 0), arrays], ["doc_id", "n", "node", "first"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64(), mask=n == 0), arrays, pa.array(maps, pa.binary())], ["doc_id", "n", "node", "first", "bitmap"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n bigint, node bigint, first array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n bigint, node bigint, first array<bigint>, bitmap binary")
 
 
 def identity(h: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -166,12 +204,12 @@ def fetch(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     return found.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
-def group_links(pivot: np.ndarray, members: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links that span the components of a group: pairs of indices, of which -1 is the pivot.
+def group_links(leader: np.ndarray, members: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links that span the components of a group: pairs of indices, of which -1 is the leader.
 
     Sets are sorted arrays.  All links between any two of the sets are accounted for.
     """
-    m, a = len(members), len(pivot)
+    m, a = len(members), len(leader)
     parent = list(range(m + 1))
 
     def root(x: int) -> int:
@@ -191,19 +229,19 @@ def group_links(pivot: np.ndarray, members: list[np.ndarray], percent: int) -> l
     sizes = np.array([len(s) for s in members])
     flat = np.concatenate(members)
     owner = np.repeat(np.arange(m), sizes)
-    spot = np.minimum(np.searchsorted(pivot, flat), a - 1)
-    inside = pivot[spot] == flat
+    spot = np.minimum(np.searchsorted(leader, flat), a - 1)
+    inside = leader[spot] == flat
     shared = np.bincount(owner[inside], minlength=m)
     linked = 100 * shared >= percent * (a + sizes - shared)
     for x in np.flatnonzero(linked):
         tie(int(x), m)
     rest = np.flatnonzero(~linked)
     if len(rest) and m > 1:
-        # differences: what a member has beside the pivot, and what it lacks of it
-        has = np.zeros((m, a), bool)
-        has[owner[inside], spot[inside]] = True
-        lacks = np.nonzero(~has)
-        del has
+        # differences: what a member has beside the leader, and what it lacks of it
+        ends = np.r_[0, np.cumsum(np.bincount(owner[inside], minlength=m))]
+        there = spot[inside]
+        missing = [np.delete(np.arange(a), there[ends[x] : ends[x + 1]]) for x in range(m)]
+        lacks = np.repeat(np.arange(m), list(map(len, missing))), np.concatenate(missing)
         extra, code = np.unique(flat[~inside], return_inverse=True)
         codes = np.concatenate([lacks[1], a + code])
         owners = np.concatenate([lacks[0], owner[~inside]])
@@ -246,15 +284,22 @@ def similar(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     met = keep(met.dropDuplicates(["gram", "node"]).select("gram", "node", "position", F.explode(F.array(block, block + 1)).alias("block")))
     front = F.struct("position", "node")
     lists = met.groupBy("gram", "block").agg(F.min_by("node", front).alias("pivot"), F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
-    pairs = keep(met.join(lists, ["gram", "block"]).where("node <> pivot").select("pivot", "node").distinct())
+    pairs = met.join(lists, ["gram", "block"]).select("pivot", "node").distinct()
+    mapped = read.where("bitmap is not null").select("node", "n", "bitmap").dropDuplicates(["node"])
+
+    def cut(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.assign(other=rows["node"] != rows["pivot"]).sort_values(["other", "node"])
+        found = families(rows["node"].to_numpy(), rows["n"].to_numpy(), list(rows["bitmap"]), percent)
+        return pd.DataFrame(found, columns=["leader", "node"], dtype="int64")
+
+    pairs = keep(pairs.join(mapped, "node").groupBy("pivot").applyInPandas(cut, "leader bigint, node bigint").distinct())
 
-    needed = pairs.select("node").union(pairs.select("pivot")).distinct()
     first_doc = read.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    sets = keep(fetch(docs, first_doc.join(needed, "node"), size))
-    shipped = pairs.join(sets, "node").union(pairs.select("pivot").distinct().select("pivot", F.col("pivot").alias("node")).join(sets, "node").select("node", "pivot", "set"))
+    sets = keep(fetch(docs, first_doc.join(pairs.select("node").distinct(), "node"), size))
+    shipped = pairs.join(sets, "node")
 
     def group(rows: pd.DataFrame) -> pd.DataFrame:
-        centre = rows["pivot"].iat[0]
+        centre = rows["leader"].iat[0]
         rows = rows.sort_values("node")
         own = rows["node"] == centre
         others = rows[~own]
@@ -264,9 +309,22 @@ def similar(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
         name = lambda x: centre if x < 0 else nodes[x]
         return pd.DataFrame({"u": [name(x) for x, _ in links], "v": [name(y) for _, y in links]}, dtype="int64")
 
-    links = shipped.groupBy("pivot").applyInPandas(group, "u bigint, v bigint")
+    links = shipped.groupBy("leader").applyInPandas(group, "u bigint, v bigint")
     joined = components(links)
     smallest = first_doc.join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "doc_id")
     named = smallest.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     by_node = smallest.join(named, "component").select("node", "component_id")
     return read.join(by_node, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def representatives(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
+    """One row of docs, with all its columns, of each component: the smallest doc_id, then the smallest hash of the text.
+
+    Of repeated rows one stays.  Texts without words are in no component with others, so different ones all stay, as equal
+    ones do under different doc_ids.
+    """
+    content = F.xxhash64("text")
+    known = similar(docs.select(F.struct("doc_id", content.alias("content")).alias("doc_id"), "text"), size, percent)
+    chosen = known.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.xxhash64("doc_id.doc_id", "doc_id.content").alias("_row"), F.col("doc_id.content").alias("_content")).distinct()
+    marked = docs.withColumns({"_content": content, "_row": F.xxhash64("doc_id", content)})
+    return marked.join(chosen, ["_row", "_content"], "left_semi").dropDuplicates(["_row", "_content"]).select(*docs.columns)
