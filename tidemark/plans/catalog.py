@@ -1,6 +1,6 @@
 """All queries of the engine."""
 
-from tidemark.plans import flows, security  # noqa: F401
+from tidemark.plans import evaluation, flows, relational, security  # noqa: F401
 from tidemark.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
