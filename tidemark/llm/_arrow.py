@@ -90,3 +90,23 @@ def pieces(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
     data, at = utf8(column)
     for low, high in slices(at):
         yield low, high, data[at[low] : at[high]], at[low : high + 1] - at[low]
+
+
+def groups(batches: Iterator[pa.RecordBatch], key: int) -> Iterator[pa.Table]:
+    """The rows of each run of equal keys (the column at `key`, without nulls), over batches that are sorted by it."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(key).to_numpy()
+        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+        if held and held[-1].column(key)[0].as_py() != keys[0]:
+            yield pa.Table.from_batches(held)
+            held = []
+        for low, high in zip(cuts[:-1], cuts[1:]):
+            held.append(batch.slice(low, high - low))
+            if high < len(keys):
+                yield pa.Table.from_batches(held)
+                held = []
+    if held:
+        yield pa.Table.from_batches(held)

@@ -26,12 +26,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm._arrow import keep, pieces, prepare
+from tidemark.llm._arrow import groups, keep, pieces, prepare
 from tidemark.llm._words import U, mix, totals, words
 from tidemark.llm.components import components
 
@@ -115,11 +114,14 @@ def bitmaps(h: np.ndarray, first: np.ndarray) -> list[bytes]:
 def families(nodes: np.ndarray, sizes: np.ndarray, maps: list[bytes], percent: int) -> list[tuple[int, int]]:
     """(leader, member) for the sets of a group, the leader as a member of its own family too; alone, it has none."""
     shortest = min(map(len, maps))
+    distance = (100 - percent) / (100 + percent) * 2 * int(sizes.max())
+    if len(maps) == 2 and len(maps[0]) == len(maps[1]):  # most groups
+        away = (int.from_bytes(maps[0]) ^ int.from_bytes(maps[1])).bit_count()
+        return [(nodes[0], nodes[0]), (nodes[0], nodes[1])] if away <= (REACH + 1) * distance else []
     folded = np.empty((len(maps), shortest), np.uint8)
     for k, m in enumerate(maps):
         folded[k] = np.bitwise_xor.reduce(np.frombuffer(m, np.uint8).reshape(-1, shortest))
     words_of = folded.view(U)
-    distance = (100 - percent) / (100 + percent) * 2 * sizes.max()
     led, found = np.zeros(len(maps), bool), []
     for k in range(len(maps)):
         if not led[k]:
@@ -264,6 +266,11 @@ def group_links(leader: np.ndarray, members: list[np.ndarray], percent: int) ->
     return [(x if x < m else -1, y if y < m else -1) for x, y in found]
 
 
+def links_batch(found: list[tuple[int, int]], left: str, right: str) -> pa.RecordBatch:
+    pairs = np.array(found, np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], [left, right])
+
+
 def similar(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id of every document: the smallest doc_id that it reaches over links.
 
@@ -287,29 +294,41 @@ def similar(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     pairs = met.join(lists, ["gram", "block"]).select("pivot", "node").distinct()
     mapped = read.where("bitmap is not null").select("node", "n", "bitmap").dropDuplicates(["node"])
 
-    def cut(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.assign(other=rows["node"] != rows["pivot"]).sort_values(["other", "node"])
-        found = families(rows["node"].to_numpy(), rows["n"].to_numpy(), list(rows["bitmap"]), percent)
-        return pd.DataFrame(found, columns=["leader", "node"], dtype="int64")
-
-    pairs = keep(pairs.join(mapped, "node").groupBy("pivot").applyInPandas(cut, "leader bigint, node bigint").distinct())
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple[int, int]] = []
+        for rows in groups(batches, 0):
+            nodes = rows.column(1).to_numpy()
+            order = np.lexsort((nodes, nodes != rows.column(0)[0].as_py()))
+            maps = rows.column(3).to_pylist()
+            found += families(nodes[order], rows.column(2).to_numpy()[order], [maps[k] for k in order], percent)
+            if len(found) > 50_000:
+                yield links_batch(found, "leader", "node")
+                found = []
+        yield links_batch(found, "leader", "node")
+
+    told = pairs.join(mapped, "node").select("pivot", "node", "n", "bitmap").repartition("pivot").sortWithinPartitions("pivot")
+    pairs = keep(told.mapInArrow(cut, "leader bigint, node bigint").distinct())
 
     first_doc = read.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     sets = keep(fetch(docs, first_doc.join(pairs.select("node").distinct(), "node"), size))
     shipped = pairs.join(sets, "node")
 
-    def group(rows: pd.DataFrame) -> pd.DataFrame:
-        centre = rows["leader"].iat[0]
-        rows = rows.sort_values("node")
-        own = rows["node"] == centre
-        others = rows[~own]
-        arrays = [np.frombuffer(x, U) for x in others["set"]]
-        nodes = others["node"].to_numpy()
-        links = group_links(np.frombuffer(rows[own]["set"].iat[0], U), arrays, percent) if own.any() and arrays else []
-        name = lambda x: centre if x < 0 else nodes[x]
-        return pd.DataFrame({"u": [name(x) for x, _ in links], "v": [name(y) for _, y in links]}, dtype="int64")
-
-    links = shipped.groupBy("leader").applyInPandas(group, "u bigint, v bigint")
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple[int, int]] = []
+        for rows in groups(batches, 0):
+            centre, nodes = rows.column(0)[0].as_py(), rows.column(1).to_numpy()
+            sets = [np.frombuffer(x, U) for x in rows.column(2).to_pylist()]
+            others = [k for k in np.argsort(nodes).tolist() if nodes[k] != centre]
+            own = np.flatnonzero(nodes == centre)
+            if len(own) and others:
+                name = [*nodes[others].tolist(), centre]
+                found += [(name[x], name[y]) for x, y in group_links(sets[own[0]], [sets[k] for k in others], percent)]
+            if len(found) > 50_000:
+                yield links_batch(found, "u", "v")
+                found = []
+        yield links_batch(found, "u", "v")
+
+    links = shipped.select("leader", "node", "set").repartition("leader").sortWithinPartitions("leader").mapInArrow(link, "u bigint, v bigint")
     joined = components(links)
     smallest = first_doc.join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "doc_id")
     named = smallest.groupBy("component").agg(F.min("doc_id").alias("component_id"))
