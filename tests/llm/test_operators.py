@@ -1,0 +1,395 @@
+"""The ten operators against brute force, round trips or held-out accuracy, and on odd inputs."""
+
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from tidemark.llm import bpe, brown, components, extraction, jaccard, media, packing, perplexity, quality, sanitising, sharding, statistics
+from tidemark.llm.queries import tokenizer_path
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer_path())
+    t.no_truncation()
+    t.no_padding()
+    return t
+
+
+def texts_of(df):
+    return [(r.doc_id, r.text or "") for r in df.select("doc_id", "text").collect()]
+
+
+def check_packing(df, tokenizer, capacity=1024):
+    rows = packing.pack(df, tokenizer_path(), capacity).toPandas()
+    ids = Counter()
+    for _, text in texts_of(df):
+        ids[np.array(tokenizer.encode(text, add_special_tokens=False).ids + [0], "<u4").tobytes()] += 1
+    for _, group in rows.groupby("sequence_id"):
+        group = group.sort_values("offset")
+        assert (group.length.cumsum() - group.length == group.offset).all() and group.length.sum() <= capacity
+    used = rows.groupby("sequence_id").length.sum()
+    # every piece is a piece of a document, and all pieces of all documents are there
+    want = Counter()
+    for packed, times in ids.items():
+        want[len(packed) // 4] += times
+    assert sum(n * t for n, t in want.items()) == rows.length.sum()
+    crc = defaultdict(list)
+    for packed in ids:
+        crc[len(packed) // 4].append(packed)
+    for r in rows.itertuples():
+        assert any(zlib.crc32(p[4 * r.start : 4 * (r.start + r.length)]) == r.ids_crc32 for p in crc[r.doc_tokens])
+    return rows, used
+
+
+def test_packing(docs, tokenizer):
+    rows, used = check_packing(docs, tokenizer)
+    assert 1 - used.sum() / (1024 * len(used)) < 0.02
+    for _, g in rows.groupby("doc_id"):
+        g = g.sort_values("start")
+        assert (g.length.cumsum() - g.length == g.start).all() and g.length.sum() == g.doc_tokens.iloc[0]
+
+
+def test_packing_odd(odd, nothing, tokenizer):
+    check_packing(odd, tokenizer)
+    check_packing(odd, tokenizer, 64)
+    assert packing.pack(nothing, tokenizer_path()).count() == 0
+
+
+def test_cuts():
+    for n in range(1, 5000):
+        parts = packing.cuts(n, 1024)
+        assert sum(parts) == n and max(parts) <= 1024
+
+
+def brute_counts(text):
+    words = WORD.findall(text)
+    seen, dup = set(), 0
+    for line in text.split("\n"):
+        if WORD.search(line):
+            dup += line in seen
+            seen.add(line)
+    runs = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+    often, mark = Counter(runs), [0] * len(words)
+    for i, run in enumerate(runs):
+        if often[run] > 1:
+            mark[i : i + 5] = [1] * 5
+    return len(words), sum(map(len, words)), sum(text.count(c) for c in "#*$%&|<>"), dup, sum(mark)
+
+
+def test_rules(docs, odd, nothing):
+    for df in (docs, odd):
+        got = perplexity.rules(df.select("doc_id", "lang", "text")).toPandas()
+        for r in got.itertuples():
+            want = brute_counts(r.text or "")
+            assert want == (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words)
+            assert r.base_failed == (want[0] < 10 or 100 * want[4] > 20 * want[0])
+            assert not (r.base_failed and r.kept)
+        assert len(got) == df.count()
+    assert perplexity.rules(odd).columns == ["doc_id", "text", "lang", "source", "score", *perplexity.COUNTS, "base_failed", "log2_perplexity", "kept"]
+    assert perplexity.rules(nothing).count() == 0
+
+
+def test_kneser_ney_is_a_distribution():
+    texts = [b"the cat sat on the mat.", b"The cat\nate 12 rats!", b""]
+    data, at = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    hashes, own = perplexity.four_grams(data, at)
+    assert np.diff(own).tolist() == [len(t) + 1 for t in texts]
+    table = perplexity.fit(*np.unique(hashes, return_counts=True)).table().reshape(-1, 64)
+    assert np.allclose((2.0**table).sum(1), 1, atol=1e-4)
+    uniform = perplexity.fit(np.empty(0, np.uint32), np.empty(0, np.int64)).table()
+    assert np.allclose(uniform, -6)
+
+
+def test_perplexity_rejects_a_stranger(spark, docs):
+    import random
+
+    random.seed(3)
+    odd = " ".join("".join(chr(random.randint(33, 126)) for _ in range(7)) for _ in range(300))
+    stranger = spark.createDataFrame([(-1, odd, "en")], "doc_id bigint, text string, lang string")
+    got = {r.doc_id: (r.base_failed, r.kept) for r in perplexity.rules(docs.select("doc_id", "text", "lang").union(stranger)).collect()}
+    assert got[-1] == (False, False)
+    passed = [kept for d, (failed, kept) in got.items() if d >= 0 and not failed]
+    assert sum(passed) > 0.9 * len(passed)
+
+
+def test_quality(docs, labels, odd, nothing):
+    got = quality.classify(docs, labels).toPandas()
+    truth = got.merge(labels.toPandas(), on="doc_id")
+    held = truth[truth.held_out]
+    assert (held.predicted == held.quality).mean() > 0.9
+    assert all(h == (zlib.crc32(str(d).encode()) % 3 == 1) for d, h in zip(got.doc_id, got.held_out))
+    assert got.score.between(0, 1).all() and ((got.score >= 0.5) == got.predicted).all()
+    assert quality.classify(odd, labels).count() == odd.count()
+    assert quality.classify(nothing, labels).count() == 0
+    assert {r.score for r in quality.classify(odd, labels.where("false")).collect()} == {0.5}
+    good = quality.accepted(docs, labels)
+    assert good.columns == docs.columns and good.count() == int(got.predicted.sum())
+
+
+def test_profile_of_nothing():
+    assert statistics.profile(np.empty(0, np.uint8), np.zeros(3, np.int64)).shape == (2, len(statistics.PROFILE))
+
+
+def test_brown(docs, odd, nothing):
+    for df in (docs, odd):
+        got = brown.log10_scores(df)
+        seen, tokens = Counter(), defaultdict(list)
+        for d, t in texts_of(df):
+            w = [*WORD.findall(t.translate(LOWER)), None]
+            tokens[d, len(w)].append(w)
+            if zlib.crc32(("" if d is None else str(d)).encode()) % 7 != 2:
+                seen.update(w)
+        n, v = sum(seen.values()), len(seen)
+        for r in got.collect():
+            options = {round(sum(math.log10((seen[x] + 1) / (n + v + 1)) for x in w), 4) for w in tokens[r.doc_id, r.n_tokens]}
+            assert r.train_tokens == n and round(r.base_score, 4) in options and r.score < 0
+            assert r.n_known in {sum(seen[x] > 0 for x in w) for w in tokens[r.doc_id, r.n_tokens]}
+        assert got.count() == df.count()
+    assert brown.log10_scores(nothing).count() == 0
+
+
+def test_exchange_finds_classes():
+    rng = np.random.default_rng(1)
+    b = np.zeros((22, 22), int)
+    for _ in range(4000):  # words below 10 are followed by words from 10 on, and the other way round
+        x, y = rng.integers(0, 10), rng.integers(10, 20)
+        b[x, y] += 1
+        b[y, x] += 1
+    of = brown.exchange(b, 2, 20)
+    assert len(set(of[:10])) == 1 and len(set(of[10:])) == 1 and of[0] != of[10]
+
+
+def test_media(odd, nothing, spark):
+    got = media.media_columns(odd).toPandas()
+    want = Counter()
+    for d, t in texts_of(odd):
+        p = media.payload(t.encode())
+        want[None if d is None else d, hashlib.sha256(p).hexdigest(), len(t.encode()), len(p), zlib.crc32(p[-64:])] += 1
+    have = Counter((None if math.isnan(r.doc_id) else int(r.doc_id), r.payload_sha256, r.n_bytes, r.payload_bytes, r.tail_crc32) for r in got.itertuples())
+    assert have == want
+    assert (got.groupby("payload_sha256")[["media_sha256", "feature"]].nunique() == 1).all().all()
+    assert media.media_columns(nothing).count() == 0
+
+
+def test_png_is_a_png():
+    import io
+
+    raw = media.payload(bytes(range(256)))
+    image = media.to_png(raw)
+    assert media.png_header(image[: media.HEAD]) == (64, 4, 8) and media.from_png(image).tobytes() == raw
+    with pytest.raises(ValueError):
+        media.from_png(image[:40] + b"x" + image[41:])
+    assert io.BytesIO(image).read(8) == media.SIGNATURE
+
+
+PAGE = """<html><head><title>T</title></head><body><header><h1>Site</h1></header><nav><a href=a>Menu, of, things</a></nav>
+<div id="cookie-notice"><p>We use cookies, a lot, and you must accept them, yes, all of them, now</p></div>
+<main><div class="post"><h1>Title</h1><p>First &amp; long   paragraph, with commas, and text.<p>Second<br>one <a href=x>link</a>.<ul><li>one<li>two</ul>
+<form>Name <input></form><script>var x = "<p>no</p>";</script></div></main>
+<section class="comments"><p>great, post, really, a long comment of a reader, who likes commas</p></section><footer>f</footer></body></html>"""
+
+
+def test_extraction(spark):
+    want = "Title\nFirst & long paragraph, with commas, and text.\nSecond one link.\none\ntwo"
+    assert extraction.main_text(PAGE) == want
+    assert extraction.main_text("") == "" and extraction.main_text("<<<>") is not None
+    assert extraction.main_text("<div>" * 3000 + "deep") == "deep"
+    pages = spark.createDataFrame([(1, "u", PAGE), (1, "u", PAGE), (2, None, None), (3, "v", "")], "page_id int, url string, html string")
+    assert sorted((r.page_id, r.text, r.n_chars) for r in extraction.extract(pages).collect()) == [(1, want, len(want))] * 2 + [(2, "", 0), (3, "", 0)]
+    assert extraction.extract(pages.where("false")).count() == 0
+
+
+def test_extraction_of_articles(spark, sf):
+    import html
+
+    for r in extraction.extract(spark.read.parquet(f"{sf}/pages.parquet")).join(spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "html"), "page_id").collect():
+        body = re.search(r"<article>(.*)</article>", r.html, re.S)[1]
+        parts = [" ".join(html.unescape(re.sub("<br>", " ", re.sub("</?b>", "", x))).split()) for x in re.split(r"</?(?:p|h1)>", body)]
+        assert r.text == "\n".join(x for x in parts if x)
+
+
+def test_sharding(docs, odd, nothing):
+    for df in (docs, odd):
+        got = sharding.shard_documents(df, 7).toPandas()
+        assert len(got) == df.count()
+        sizes = got.groupby("shard").slot.agg(["count", "min", "max", "nunique"])
+        assert sizes["count"].max() - sizes["count"].min() <= 1
+        assert (sizes["min"] == 0).all() and (sizes["max"] == sizes["count"] - 1).all() and (sizes["nunique"] == sizes["count"]).all()
+        assert Counter(zip(got["size"], got.text_crc32)) == Counter((len(t.encode()) + 16, zlib.crc32(t.encode())) for _, t in texts_of(df))
+    assert sharding.shard_documents(nothing, 7).count() == 0
+
+
+def test_communication_matrix(spark):
+    counts = spark.createDataFrame([(p, n) for p, n in enumerate([0, 1, 17, 400, 33, 2, 0, 900])], "part bigint, n bigint")
+    m = {r.part: r.shares for r in sharding.communication_matrix(counts, 5, 1).collect()}
+    assert {p: sum(s) for p, s in m.items()} == {r.part: r.n for r in counts.collect()}
+    totals = np.sum([m[p] for p in m], axis=0)
+    assert totals.max() - totals.min() <= 1
+
+
+def test_hypergeometric_law(spark):
+    from pyspark.sql import functions as F
+
+    draw = sharding.hypergeometric(F.lit(50).cast("bigint"), F.lit(20).cast("bigint"), F.lit(10).cast("bigint"), (F.col("id") + 0.5) / 20000.0)
+    got = {r.k: r.n / 20000 for r in spark.range(20000).select(draw.alias("k")).groupBy("k").agg(F.count("*").alias("n")).collect()}
+    for k in range(11):
+        assert abs(got.get(k, 0) - math.comb(20, k) * math.comb(30, 10 - k) / math.comb(50, 10)) < 1e-3
+
+
+PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def luhn(text):
+    digits = [int(c) for c in text if c.isdigit()][::-1]
+    return sum(d if i % 2 == 0 else d * 2 - 9 * (d > 4) for i, d in enumerate(digits)) % 10 == 0
+
+
+def base_spans(text):
+    found = []
+    for k, (kind, pattern) in enumerate(PATTERNS.items()):
+        for m in re.finditer(pattern, text):
+            digits = sum(c.isdigit() for c in m[0])
+            if {"email": True, "ip": kind == "ip" and all(int(x) <= 255 for x in m[0].split(".")) if kind == "ip" else False, "card": 12 <= digits <= 19 and luhn(m[0]), "phone": 9 <= digits <= 15}[kind]:
+                found.append((m.start(), k, m.end()))
+    return [f"{list(PATTERNS)[k]}:{a}:{b}" for a, k, b in sorted(found)]
+
+
+def test_sanitising(spark, docs, odd, nothing):
+    import random
+
+    random.seed(5)
+    atoms = ["a", "b.", "@", ".", "1", "22", "-", " ", "+", "(", "é", "_", "x@y.zz", "4111111111111111", "1.2.3.4", "%"]
+    fuzz = ["a@b.com_x@y.com", "256.1.1.1 0001.2.3.4", "4111 1111 1111 1111 4111-1111-1111-1112", "+1 (323) 555-9830. +12(((((", "a" * 20000 + "@", "1" * 20000, "1 " * 3000] + ["".join(random.choice(atoms) for _ in range(random.randint(1, 40))) for _ in range(150)]
+    made = spark.createDataFrame([(i, t) for i, t in enumerate(fuzz)], "doc_id bigint, text string")
+    for df in (docs, made):
+        text = dict(texts_of(df))
+        for r in sanitising.find(df).collect():
+            want = base_spans(text[r.doc_id])
+            assert r.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
+            assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(w.startswith(k + ":") for w in want) for k in PATTERNS]
+            assert [s for s in r.spans.split(",") if s and not s.startswith(("term", "removed"))] == want
+    assert sanitising.find(odd).count() == odd.count() and sanitising.sanitise(odd).columns == odd.columns
+    assert sanitising.find(nothing).count() == 0 and sanitising.sanitise(nothing).count() == 0
+
+
+def test_disclosing_terms(spark):
+    rows = [(i, f"hello zorgon plain words {'x' * i} mail bob@x.com now") for i in range(5)] + [(i, f"hello plain words here {i}") for i in range(5, 100)] + [(100, "zorgo zorgons hello")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.text for r in sanitising.sanitise(df).collect()}
+    assert all("zorgon" not in got[i] and "bob@x.com" not in got[i] and "[EMAIL]" in got[i] and "hello" in got[i] for i in range(5))
+    assert all(got[i] == rows[i][1] for i in range(5, 101))
+    assert all("removed:6:12" in r.spans for r in sanitising.find(df).where("doc_id < 5").collect())
+
+
+def shingles(text):
+    w = WORD.findall(text.translate(LOWER))
+    return frozenset(tuple(w[i : i + 3]) for i in range(len(w) - 2)) if len(w) >= 3 else frozenset([tuple(w)] if w else [])
+
+
+def brute_components(rows):
+    parent = list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    sets = [shingles(t) for _, t in rows]
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 90 * len(sets[i] | sets[j]):
+                parent[root(i)] = root(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[root(i)] = min(least.get(root(i), d), d)
+    return {d: (len(sets[i]), least[root(i)]) for i, (d, _) in enumerate(rows)}
+
+
+def family(seed, n, words=60, changes=6):
+    rng = np.random.default_rng(seed)
+    base = [f"w{x}" for x in rng.integers(0, 500, words)]
+    for _ in range(n):
+        copy = list(base)
+        for k in rng.integers(0, words, rng.integers(0, changes)):
+            copy[k] = f"v{rng.integers(0, 9)}" if rng.random() < 0.5 else f"u{rng.integers(0, 100000)}"
+        yield " ".join(copy)
+
+
+def test_jaccard(spark, docs):
+    texts = [*family(1, 60), *family(2, 40, 25, 4), *family(3, 30, 200, 12), "", "a", "A", "a b", "a b c", "b c a", *["same same but same"] * 4]
+    made = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    for df in (made, docs):
+        want = brute_components(texts_of(df))
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar(df).collect()} == want
+        chosen = jaccard.representatives(df)
+        assert sorted(r.doc_id for r in chosen.collect()) == sorted(c for d, (_, c) in want.items() if c == d)
+        assert chosen.columns == df.columns
+
+
+def test_jaccard_odd(odd, nothing):
+    got = jaccard.similar(odd).collect()
+    assert len(got) == odd.count() and all(r.component_id == r.doc_id for r in got if r.n_shingles == 0)
+    assert len({r.component_id for r in got if r.doc_id in (5, 6)}) == 1
+    # of 12 rows: repeated ones and copies leave one each; the three texts without words stay
+    assert jaccard.representatives(odd).count() == 3 + 1 + 1 + 1 + 1 + 1
+    assert jaccard.similar(nothing).count() == 0 and jaccard.representatives(nothing).count() == 0
+
+
+def test_group_links_find_links_between_members():
+    rng = np.random.default_rng(3)
+    leader = np.sort(rng.integers(0, 1 << 60, 100, dtype=np.uint64))
+    far = np.sort(np.r_[leader[:80], rng.integers(0, 1 << 60, 20, dtype=np.uint64)])
+    near_far = np.sort(np.r_[far[:97], rng.integers(0, 1 << 60, 3, dtype=np.uint64)])
+    links = jaccard.group_links(leader, [far, near_far], 90)
+    assert sorted(map(sorted, links)) == [[0, 1]]
+
+
+def test_components(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(0, 30)] + [(100, 200), (200, 100), (7, 7)], "u bigint, v bigint")
+    assert {r.node: r.component for r in components.components(edges).collect()} == {i: 0 for i in range(31)} | {100: 100, 200: 100}
+    assert components.components(edges.where("false")).count() == 0
+
+
+def test_bpe(docs, odd, nothing, tokenizer):
+    for df in (docs, odd):
+        want = Counter()
+        for _, t in texts_of(df):
+            ids = tokenizer.encode(t, add_special_tokens=False).ids
+            want[len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(tokenizer.decode(ids, skip_special_tokens=False).encode()).hexdigest()] += 1
+        assert Counter((r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.encode_decode(df, tokenizer_path()).collect()) == want
+    assert bpe.encode_decode(nothing, tokenizer_path()).count() == 0
+
+
+@pytest.mark.parametrize("step", [1, 3, 50])
+def test_bpe_streams(tokenizer, monkeypatch, step):
+    import random
+
+    monkeypatch.setattr(bpe, "LONG", 40)
+    random.seed(step)
+    c = bpe.codec(tokenizer_path())
+    atoms = ["a", "b", "the", " ", "  ", "\n", "'", "r", "e", "<|endoftext|>", "é", "1", "22", "!", "aaaa" * 30, " " * 60, "日" * 30, "\t"]
+    for _ in range(60):
+        text = "".join(random.choice(atoms) for _ in range(60))
+        got = b"".join(c.stream(text[i : i + step] for i in range(0, len(text), step)))
+        assert np.frombuffer(got, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+        assert "".join(c.decode(got)) == text
+
+
+def test_transducer_keeps_little(tokenizer):
+    t, held = bpe.Transducer(bpe.codec(tokenizer_path()).m), 0
+    for _ in range(200):
+        t.push(b"abcabdab" * 10)
+        t.stable()
+        held = max(held, len(t.held))
+    assert held < 4 * t.m.longest + 80
