@@ -75,4 +75,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_hypergeometric_sharding": op7_hypergeometric_sharding,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: All pairs of documents with a common n-gram; right at any size and quick on small tables.
+JACCARD_SQL = r"""with recursive w as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+s as (select doc_id, unnest(list_distinct(case when len(w) = 0 then [] when len(w) < 3 then [list_aggregate(w, 'string_agg', chr(1))] else list_transform(range(1, len(w) - 1), lambda i: w[i] || chr(1) || w[i + 1] || chr(1) || w[i + 2]) end)) as g from w),
+n as (select doc_id, count(*) as n from s group by 1),
+i as (select a.doc_id as x, b.doc_id as y, count(*) as i from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+l as (select x, y from i join n p on p.doc_id = x join n q on q.doc_id = y where 100 * i >= 90 * (p.n + q.n - i)),
+e as (select x, y from l union all select y, x from l),
+r as (select doc_id as x, doc_id as y from documents union select r.x, e.y from r join e on e.x = r.y)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, m.c as component_id from documents d left join n on n.doc_id = d.doc_id join (select x, min(y) as c from r group by 1) m on m.x = d.doc_id"""
+
+ORACLE_SQL: dict[str, str] = {"op9_relation_jaccard_join": JACCARD_SQL}
