@@ -23,9 +23,9 @@ def group_fold(group: str, folds: int, seed: int = 0) -> Column:
     return F.floor(uniform(F.lit(seed), F.col(group)) * folds).cast("int")
 
 
-def fit_risk(train: DataFrame, features: list[str], label: str, rounds: int = 20):
+def fit_risk(train: DataFrame, features: list[str], label: str, rounds: int = 5):
     """Boosted trees, whose raw margins a logistic regression turns into probabilities."""
-    trees = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="keep"), GBTClassifier(featuresCol="_x", labelCol=label, maxIter=rounds, maxDepth=4, seed=42)]).fit(train)
+    trees = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="keep"), GBTClassifier(featuresCol="_x", labelCol=label, maxIter=rounds, maxDepth=3, seed=42)]).fit(train)
     platt = LogisticRegression(featuresCol="rawPrediction", labelCol=label, probabilityCol="_p", predictionCol="_y", rawPredictionCol="_lr").fit(trees.transform(train))
     return trees, platt
 

@@ -20,8 +20,8 @@ def _rows(spark, sf):
 
 @query()
 def risk_model_group_folds(spark, sf):
-    rows = _rows(spark, sf).withColumn("fold", learning.group_fold("custkey", 3))
-    return learning.cross_predict(rows, _FEATURES, "y", "fold", 3).select("flow_id", "fold", "y", "probability")
+    rows = _rows(spark, sf).withColumn("fold", learning.group_fold("custkey", 2))
+    return learning.cross_predict(rows, _FEATURES, "y", "fold", 2).select("flow_id", "fold", "y", "probability")
 
 
 @query()
