@@ -89,6 +89,19 @@ def findings(checks: list[Check]) -> Column:
     return F.filter(F.array(*made), lambda x: x.isNotNull())
 
 
+def exploded(assessed: DataFrame, keep, *columns: str) -> DataFrame:
+    """The columns and a row for each finding, as f, that `keep` holds for.
+
+    Findings are filtered within the array: a filter over exploded rows would have the optimizer derive constraints from
+    the whole registry's conditions, which takes longer than the query.
+    """
+    return assessed.select(*columns, F.explode(F.filter("findings", keep)).alias("f"))
+
+
+def serious(finding: Column) -> Column:
+    return finding["severity"].isin("Critical", "High")
+
+
 def escalation() -> Column:
     """Two or more of the last ten earlier flows of the client and protocol were upgraded with success."""
     before = Window.partitionBy("custkey", "app_protocol").orderBy("seen_at", "k").rowsBetween(-10, -1)

@@ -62,7 +62,7 @@ def risk_score_by_flow(spark, sf):
 @query(f"{flows_cte(True)} select flow_id, severity from findings where check_name = 'STARTTLS stripping suspected'")
 def history_escalation(spark, sf):
     assessed = rules.assess(verdicts(spark, sf), history=True)
-    return assessed.select("flow_id", F.explode("findings").alias("f")).where(F.col("f.check") == "STARTTLS stripping suspected").select("flow_id", F.col("f.severity").alias("severity"))
+    return rules.exploded(assessed, lambda f: f["check"] == "STARTTLS stripping suspected", "flow_id").select("flow_id", F.col("f.severity").alias("severity"))
 
 
 @query(f"{flows_cte()} select risk_level, count(*) as n, round(avg(posture_score), 6) as avg_posture from levels group by 1")
@@ -91,7 +91,7 @@ def top_finding_per_flow(spark, sf):
 
 @query(f"{flows_cte()} select check_name, count(*) filter (where port = 25) as p25, count(*) filter (where port = 587) as p587, count(*) filter (where port = 993) as p993 from findings where severity in ('Critical', 'High') group by 1")
 def severity_matrix_pivot(spark, sf):
-    found = rules.assess(verdicts(spark, sf)).select("port", F.explode("findings").alias("f")).where(F.col("f.severity").isin("Critical", "High"))
+    found = rules.exploded(rules.assess(verdicts(spark, sf)), rules.serious, "port")
     wide = found.groupBy(F.col("f.check").alias("check_name")).pivot("port", [25, 587, 993]).count()
     return wide.select("check_name", *[F.coalesce(F.col(str(p)), F.lit(0)).alias(f"p{p}") for p in (25, 587, 993)])
 
