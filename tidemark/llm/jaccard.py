@@ -38,6 +38,8 @@ from tidemark.llm.components import components
 SKETCH, FILTER = 1 << 18, 1 << 23
 #: Link distances from its leader within which a set leads no family of its own.
 REACH = 3
+#: Words of bitmaps up to which all of a group's are compared with each other first.
+PAIRED = 1 << 21
 
 
 @dataclass
@@ -117,13 +119,18 @@ def families(nodes: np.ndarray, sizes: np.ndarray, maps: list[bytes], percent: i
     distance = (100 - percent) / (100 + percent) * 2 * int(sizes.max())
     if len(maps) == 2 and len(maps[0]) == len(maps[1]):  # most groups
         away = (int.from_bytes(maps[0]) ^ int.from_bytes(maps[1])).bit_count()
-        return [(nodes[0], nodes[0]), (nodes[0], nodes[1])] if away <= (REACH + 1) * distance else []
+        return [(nodes[0], nodes[0]), (nodes[0], nodes[1])] if away <= distance else []
     folded = np.empty((len(maps), shortest), np.uint8)
     for k, m in enumerate(maps):
         folded[k] = np.bitwise_xor.reduce(np.frombuffer(m, np.uint8).reshape(-1, shortest))
     words_of = folded.view(U)
-    led, found = np.zeros(len(maps), bool), []
-    for k in range(len(maps)):
+    if len(maps) * words_of.size <= PAIRED:  # sets that can have no link in the group leave it
+        apart = np.bitwise_count(words_of[:, None] ^ words_of).sum(2)
+        np.fill_diagonal(apart, np.iinfo(np.int64).max >> 1)
+        may = apart.min(1) <= distance
+        nodes, words_of = nodes[may], words_of[may]
+    led, found = np.zeros(len(nodes), bool), []
+    for k in range(len(nodes)):
         if not led[k]:
             away = np.bitwise_count(words_of ^ words_of[k]).sum(1)
             near = np.flatnonzero(away <= (REACH + 1) * distance)
