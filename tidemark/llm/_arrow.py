@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that are turned into arrays at once; a longer document makes a slice of its own.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 #: Rows that Spark puts into one Arrow batch before it reaches Python.
 BATCH_ROWS = 1000
 
