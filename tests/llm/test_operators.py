@@ -292,6 +292,17 @@ def test_disclosing_terms(spark):
     assert all("removed:6:12" in r.spans for r in sanitising.find(df).where("doc_id < 5").collect())
 
 
+def test_terms_near_an_entity_seen_once(spark):
+    rows = [(0, f"{'fare ' * 20}quibbleton plain words ask Wendeline at 10.1.2.3 for plain words{' fare' * 20} zanzibarian"), (1, "plain words fare 5 at"), (2, "call bob@x.com, tupelo")]
+    rows += [(i, f"plain words fare ask for {i} at call") for i in range(3, 200)] + [(200, rows[2][1])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.text for r in sanitising.sanitise(df).collect()}
+    assert "ask [TERM] at [IP] for plain words" in got[0] and got[0].endswith("fare zanzibarian")
+    # two copies are one text, and its term discloses the address
+    assert got[2] == got[200] == "call [EMAIL], [TERM]"
+    assert all(got[i] == t for i, t in rows if i not in (0, 2, 200))
+
+
 def shingles(text):
     w = WORD.findall(text.translate(LOWER))
     return frozenset(tuple(w[i : i + 3]) for i in range(len(w) - 2)) if len(w) >= 3 else frozenset([tuple(w)] if w else [])

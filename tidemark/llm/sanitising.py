@@ -4,7 +4,9 @@ Patterns find base spans: e-mail and IP addresses, card and phone numbers.  Each
 much a term discloses of an entity is their pointwise mutual information over documents, as a share of the entity's own
 information: log(N df(e, t) / (df(e) df(t))) / log(N / df(e)).  It is 1 for a term that is nowhere without the entity.
 In documents that hold the entity, terms above the lower threshold are generalised and those above the upper one removed.
-Pairs count only if SUPPORT different texts hold both.  Other documents are left alone.
+Every entity counts, also one that is seen once: a pair counts if the term is within NEAR words of the entity in any text, or if
+two different texts hold both.  In fewer than SUPPORT texts the term's share of documents with the entity is smoothed by one
+more document.  Other documents are left alone.
 
 Positions come from what lies between matches, in code points.  Patterns are possessive, so their time is linear in a
 text's length.
@@ -28,8 +30,10 @@ PATTERNS = {
 }
 TRIGGERS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 TERM = r"\p{L}{4,}+"
-#: Disclosure above which terms are generalised, and removed; different texts that a pair must be in.
+#: Disclosure above which terms are generalised, and removed; different texts from which a pair's shares are not smoothed.
 GENERALISED, REMOVED, SUPPORT = 0.85, 0.97, 3
+#: Words on either side of an entity that count as near it; what encloses an entity's mark.
+NEAR, MARKS = 8, "\ue000\ue001"
 SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 
 
@@ -89,19 +93,53 @@ def told(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def met_words(text: Column, spans: Column) -> Column:
+    """The words of a text in order, lower-cased, and in the place of each base span its entity's hash as a mark.
+
+    The words of an e-mail address follow its mark, as they may stand elsewhere too; numbers are no words of their own.
+    """
+    plain = F.translate(text, MARKS, "  ")
+
+    def step(state: Column, s: Column) -> Column:
+        mark = F.concat(F.lit(MARKS[0]), entity(s).cast("string"), F.lit(MARKS[1]), F.when(s["kind"] == 0, s["value"]).otherwise(""))
+        between = F.when(s["start"] > state["at"], plain.substr(state["at"] + 1, s["start"] - state["at"])).otherwise("")
+        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.concat(state["out"], between, mark).alias("out"))
+
+    marked = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda s: F.concat(s["out"], plain.substr(s["at"] + 1, F.length(plain))))
+    return F.regexp_extract_all(F.lower(marked), F.lit(rf"{MARKS[0]}-?[0-9]++{MARKS[1]}|{TERM}"), F.lit(0))
+
+
+def entity(span: Column) -> Column:
+    return F.xxhash64(span["kind"], F.lower(span["value"]))
+
+
 def disclosing(found: DataFrame, docs: DataFrame) -> DataFrame:
-    """(uid, pattern of terms to generalise, pattern of terms to remove) from found (uid, text, spans) and all documents."""
-    entities = found.select("uid", F.xxhash64("text").alias("content"), F.explode(F.array_distinct(F.transform("spans", lambda s: F.xxhash64(s["kind"], F.lower(s["value"]))))).alias("entity"))
-    common = entities.groupBy("entity").agg(F.count("*").alias("df_e"), F.count_distinct("content").alias("contents")).where(F.col("contents") >= SUPPORT).select("entity", "df_e")
-    held = keep(entities.join(common, "entity"))
-    terms = found.join(held.select("uid").distinct(), "uid", "left_semi").select("uid", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    met = held.join(terms, "uid").groupBy("entity", "term").agg(F.first("df_e").alias("df_e"), F.count("*").alias("df_et"), F.count_distinct("content").alias("contents")).where(F.col("contents") >= SUPPORT)
-    met = keep(met)
+    """(uid, kind and term of each word to generalise or to remove) from found (uid, text, spans) and all documents."""
+    words = found.select("uid", F.xxhash64("text").alias("content"), met_words(F.col("text"), F.col("spans")).alias("words"))
+    is_mark = lambda w: F.startswith(w, F.lit(MARKS[0]))
+    places = F.filter(F.transform("words", lambda w, k: F.when(is_mark(w), F.struct(w.alias("mark"), k.alias("k")))), lambda x: x.isNotNull())
+    window = lambda k: F.slice("words", F.greatest(k + 1 - NEAR, F.lit(1)), NEAR + 1 + F.least(k, F.lit(NEAR)))
+    around = F.transform(places, lambda x: F.struct(F.translate(x["mark"], MARKS, "").cast("bigint").alias("entity"), F.filter(window(x["k"]), lambda w: ~is_mark(w)).alias("near")))
+    held = words.select("uid", "content", F.explode(around).alias("x")).groupBy("uid", "x.entity").agg(F.first("content").alias("content"), F.array_distinct(F.flatten(F.collect_list("x.near"))).alias("near"))
+    held = keep(held)
+    sums = held.groupBy("entity").agg(F.count("*").alias("df_e"), F.count_distinct("content").alias("contents"))
+    # all words of a text meet entities of two or more texts, those of the window the others
+    every = F.array_distinct(F.filter("words", lambda w: ~is_mark(w)))
+    common = held.join(sums.where("contents > 1").select("entity", "df_e"), "entity")
+    far = common.join(words.select("uid", every.alias("words")), "uid").select("entity", "df_e", "content", F.explode("words").alias("term"), F.array_contains("near", F.col("term")).alias("close"))
+    near = held.join(sums.where("contents = 1").select("entity", "df_e"), "entity").select("entity", "df_e", "content", F.explode("near").alias("term"), F.lit(True).alias("close"))
+    met = far.unionByName(near).groupBy("entity", "term").agg(F.first("df_e").alias("df_e"), F.count("*").alias("df_et"), F.count_distinct("content").alias("contents"), F.bool_or("close").alias("close"))
+    met = keep(met.where("close or contents > 1"))
     # terms by hash: every document counts a term once
     counted = docs.select(F.explode(F.array_distinct(F.transform(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(TERM), F.lit(0)), lambda t: F.xxhash64(t)))).alias("hash")).groupBy("hash").agg(F.count("*").alias("df_t"))
     rows = docs.agg(F.count("*").alias("rows"))
-    ratio = F.log(F.col("rows") * F.col("df_et") / (F.col("df_e") * F.col("df_t"))) / F.log(F.col("rows") / F.col("df_e"))
+    prior = F.col("df_e") / F.col("rows")
+    # with fewer texts, as if one more document held the term, and the entity at its usual rate
+    more = F.when(F.col("contents") >= SUPPORT, 0.0).otherwise(1.0)
+    given = (F.col("df_et") + more * prior) / (F.col("df_t") + more)
+    ratio = F.log(given / prior) / -F.log(prior)
     judged = met.withColumn("hash", F.xxhash64("term")).join(counted, "hash").crossJoin(F.broadcast(rows)).withColumn("ratio", ratio).where(F.col("ratio") >= GENERALISED)
+    terms = words.select("uid", F.explode(every).alias("term"))
     hit = judged.select("entity", "term", "ratio").join(held.select("entity", "uid"), "entity").join(terms, ["uid", "term"]).groupBy("uid", "term").agg(F.max("ratio").alias("ratio"))
     kind = F.when(F.col("ratio") >= REMOVED, 5).otherwise(4)
     return hit.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct(kind.alias("kind"), "term"))).alias("terms"))
