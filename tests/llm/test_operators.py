@@ -303,6 +303,19 @@ def test_terms_near_an_entity_seen_once(spark):
     assert all(got[i] == t for i, t in rows if i not in (0, 2, 200))
 
 
+def test_terms_in_documents_without_the_entity(spark):
+    rows = [(i, f"mail Lee K9 or 李娜 at bob{'!' * i} bob@x.com") for i in range(9)]
+    rows += [(9, "then lee K9, 李娜 and leeward k99"), (10, None)] + [(i, f"mail or at bob then and {i}") for i in range(11, 400)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = {r.doc_id: r.text for r in sanitising.sanitise(df).collect()}
+    assert len(got) == 400
+    assert got[9] == "then [TERM] [TERM], [TERM] and leeward k99" or got[9] == "then  ,  and leeward k99"
+    assert all(got[i].startswith(("mail   or  at", "mail [TERM] [TERM] or [TERM] at")) for i in range(9))
+    assert all(got[i] == t for i, t in rows[10:])
+    spans = {r.doc_id: r.spans for r in sanitising.find(df).collect()}
+    assert [x.split(":", 1)[1] for x in spans[9].split(",")] == ["5:8", "9:11", "13:15"]
+
+
 def shingles(text):
     w = WORD.findall(text.translate(LOWER))
     return frozenset(tuple(w[i : i + 3]) for i in range(len(w) - 2)) if len(w) >= 3 else frozenset([tuple(w)] if w else [])

@@ -3,10 +3,11 @@
 Patterns find base spans: e-mail and IP addresses, card and phone numbers.  Each value found is a protected entity.  How
 much a term discloses of an entity is their pointwise mutual information over documents, as a share of the entity's own
 information: log(N df(e, t) / (df(e) df(t))) / log(N / df(e)).  It is 1 for a term that is nowhere without the entity.
-In documents that hold the entity, terms above the lower threshold are generalised and those above the upper one removed.
+In all documents, terms above the lower threshold are generalised and those above the upper one removed.  Terms are words of
+letters and digits of any length.
 Every entity counts, also one that is seen once: a pair counts if the term is within NEAR words of the entity in any text, or if
 two different texts hold both.  In fewer than SUPPORT texts the term's share of documents with the entity is smoothed by one
-more document.  Other documents are left alone.
+more document.
 
 Positions come from what lies between matches, in code points.  Patterns are possessive, so their time is linear in a
 text's length.
@@ -29,7 +30,7 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 TRIGGERS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
-TERM = r"\p{L}{4,}+"
+TERM = r"[\p{L}\p{M}\p{N}]++"
 #: Disclosure above which terms are generalised, and removed; different texts from which a pair's shares are not smoothed.
 GENERALISED, REMOVED, SUPPORT = 0.85, 0.97, 3
 #: Words on either side of an entity that count as near it; what encloses an entity's mark.
@@ -113,8 +114,15 @@ def entity(span: Column) -> Column:
     return F.xxhash64(span["kind"], F.lower(span["value"]))
 
 
-def disclosing(found: DataFrame, docs: DataFrame) -> DataFrame:
-    """(uid, kind and term of each word to generalise or to remove) from found (uid, text, spans) and all documents."""
+def hashes(text: Column) -> Column:
+    """Each word of a text once, lower-cased, by hash."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)), lambda t: F.xxhash64(t)))
+
+
+def disclosing(docs: DataFrame) -> DataFrame:
+    """(hash, kind) of each term to generalise or to remove, from the text of all documents."""
+    spans = base_spans(F.col("text"))
+    found = keep(docs.where(F.size(spans) > 0).select(F.monotonically_increasing_id().alias("uid"), "text", spans.alias("spans")))
     words = found.select("uid", F.xxhash64("text").alias("content"), met_words(F.col("text"), F.col("spans")).alias("words"))
     is_mark = lambda w: F.startswith(w, F.lit(MARKS[0]))
     places = F.filter(F.transform("words", lambda w, k: F.when(is_mark(w), F.struct(w.alias("mark"), k.alias("k")))), lambda x: x.isNotNull())
@@ -130,8 +138,8 @@ def disclosing(found: DataFrame, docs: DataFrame) -> DataFrame:
     near = held.join(sums.where("contents = 1").select("entity", "df_e"), "entity").select("entity", "df_e", "content", F.explode("near").alias("term"), F.lit(True).alias("close"))
     met = far.unionByName(near).groupBy("entity", "term").agg(F.first("df_e").alias("df_e"), F.count("*").alias("df_et"), F.count_distinct("content").alias("contents"), F.bool_or("close").alias("close"))
     met = keep(met.where("close or contents > 1"))
-    # terms by hash: every document counts a term once
-    counted = docs.select(F.explode(F.array_distinct(F.transform(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(TERM), F.lit(0)), lambda t: F.xxhash64(t)))).alias("hash")).groupBy("hash").agg(F.count("*").alias("df_t"))
+    # every document counts a term once
+    counted = docs.select(F.explode(hashes(F.col("text"))).alias("hash")).groupBy("hash").agg(F.count("*").alias("df_t"))
     rows = docs.agg(F.count("*").alias("rows"))
     prior = F.col("df_e") / F.col("rows")
     # with fewer texts, as if one more document held the term, and the entity at its usual rate
@@ -139,25 +147,28 @@ def disclosing(found: DataFrame, docs: DataFrame) -> DataFrame:
     given = (F.col("df_et") + more * prior) / (F.col("df_t") + more)
     ratio = F.log(given / prior) / -F.log(prior)
     judged = met.withColumn("hash", F.xxhash64("term")).join(counted, "hash").crossJoin(F.broadcast(rows)).withColumn("ratio", ratio).where(F.col("ratio") >= GENERALISED)
-    terms = words.select("uid", F.explode(every).alias("term"))
-    hit = judged.select("entity", "term", "ratio").join(held.select("entity", "uid"), "entity").join(terms, ["uid", "term"]).groupBy("uid", "term").agg(F.max("ratio").alias("ratio"))
-    kind = F.when(F.col("ratio") >= REMOVED, 5).otherwise(4)
-    return hit.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct(kind.alias("kind"), "term"))).alias("terms"))
+    return keep(judged.groupBy("hash").agg(F.when(F.max("ratio") >= REMOVED, 5).otherwise(4).alias("kind")))
 
 
-def with_terms(found: DataFrame, docs: DataFrame) -> DataFrame:
-    """found with `more`: the spans of disclosing terms that don't overlap base spans."""
-    by_doc = disclosing(found, docs)
-    joined = found.join(by_doc, "uid", "left")
+def with_terms(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text and others) with `spans`, the base spans, and `more`: those of disclosing terms that don't overlap them."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    texts = docs.select(text.alias("text"), F.xxhash64("doc_id", text).alias("_row"))
+    # rows are known by hash; equal rows have the same terms
+    hit = texts.select("_row", F.explode(hashes(F.col("text"))).alias("hash")).join(disclosing(texts), "hash")
+    by_row = hit.groupBy("_row").agg(F.collect_set(F.when(F.col("kind") == 4, F.col("hash"))).alias("_4"), F.collect_set(F.when(F.col("kind") == 5, F.col("hash"))).alias("_5"))
+    joined = docs.withColumns({"_row": F.xxhash64("doc_id", text), "spans": base_spans(text)}).join(by_row, "_row", "left")
     none = F.array().cast(SPAN)
+    forms = F.array_distinct(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)))
 
     def of(kind: int) -> Column:
-        chosen = F.transform(F.filter("terms", lambda t: t["kind"] == kind), lambda t: t["term"])
-        pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(chosen, "|"), F.lit(r")(?!\p{L})"))
-        return F.when(F.size(chosen) > 0, located(F.col("text"), pattern, F.lit(kind))).otherwise(none)
+        chosen = F.filter(forms, lambda t: F.array_contains(f"_{kind}", F.xxhash64(F.lower(t))))
+        edge = TERM.removesuffix("++")
+        pattern = F.concat(F.lit(rf"(?<!{edge})(?:"), F.array_join(chosen, "|"), F.lit(rf")(?!{edge})"))
+        return F.when(F.size(f"_{kind}") > 0, located(text, pattern, F.lit(kind))).otherwise(none)
 
     apart = F.filter(F.concat(of(4), of(5)), lambda m: ~F.exists("spans", lambda s: (s["start"] < m["end"]) & (m["start"] < s["end"])))
-    return joined.withColumn("more", apart).drop("terms")
+    return joined.withColumn("more", apart).drop("_row", "_4", "_5")
 
 
 def sanitised(text: Column, spans: Column) -> Column:
@@ -173,13 +184,6 @@ def sanitised(text: Column, spans: Column) -> Column:
     return F.aggregate(spans, start, step, lambda s: F.concat(s["out"], text.substr(s["at"] + 1, F.length(text))))
 
 
-def _found(docs: DataFrame) -> DataFrame:
-    """All rows as uid and row, with spans; text only where there is one."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    spanned = docs.select(F.monotonically_increasing_id().alias("uid"), *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns) if c != "text"], text.alias("text"), base_spans(text).alias("spans"))
-    return keep(spanned.withColumn("text", F.when(F.size("spans") > 0, F.col("text"))))
-
-
 def find(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans of every document.
 
@@ -187,27 +191,15 @@ def find(docs: DataFrame) -> DataFrame:
     the same text is one text of a pair's support.  Other columns are ignored; an empty frame gives an empty frame.
     """
     prepare(docs.sparkSession)
-    docs = docs.select("doc_id", "text")
-    every = _found(docs)
-    extra = with_terms(every.where("text is not null").select("uid", "text", "spans"), docs).select("uid", "more")
-    joined = every.join(extra, "uid", "left")
+    told_of = with_terms(docs.select("doc_id", "text"))
     number = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == F.lit(k))).cast("bigint")
-    both = F.array_sort(F.concat("spans", F.coalesce("more", F.array().cast(SPAN))))
-    return joined.select(F.col("c0").alias("doc_id"), *[number(k).alias(f"n_{KINDS[k]}") for k in range(4)], F.sha2(told(F.col("spans")), 256).alias("base_sha256"), told(both).alias("spans"))
+    return told_of.select("doc_id", *[number(k).alias(f"n_{KINDS[k]}") for k in range(4)], F.sha2(told(F.col("spans")), 256).alias("base_sha256"), told(F.array_sort(F.concat("spans", "more"))).alias("spans"))
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
-    """docs with the same columns, their texts sanitised; texts without spans, null ones too, are as they were.
-
-    Only documents with spans are written to the checkpoint folder and shuffled.
-    """
+    """docs with the same columns, their texts sanitised; texts without spans, null ones too, are as they were."""
     prepare(docs.sparkSession)
-    spans = base_spans(F.coalesce(F.col("text"), F.lit("")))
-    clean = docs.where(F.size(spans) == 0)
-    at = {c: f"c{k}" for k, c in enumerate(docs.columns)}
-    some = docs.where(F.size(spans) > 0).select(F.monotonically_increasing_id().alias("uid"), *[F.col(f"`{c}`").alias(at[c]) for c in docs.columns if c != "text"], "text", spans.alias("spans"))
-    some = keep(some)
-    extra = with_terms(some.select("uid", "text", "spans"), docs).select("uid", "more")
-    both = F.array_sort(F.concat("spans", F.coalesce("more", F.array().cast(SPAN))))
-    changed = some.join(extra, "uid", "left").select(*[sanitised(F.col("text"), both).alias("text") if c == "text" else F.col(at[c]).alias(c) for c in docs.columns])
-    return clean.union(changed)
+    at = {c: c if c in ("doc_id", "text") else f"c{k}" for k, c in enumerate(docs.columns)}
+    spanned = with_terms(docs.select(*[F.col(f"`{c}`").alias(at[c]) for c in docs.columns])).withColumn("spans", F.array_sort(F.concat("spans", "more")))
+    text = F.when(F.size("spans") > 0, sanitised(F.col("text"), F.col("spans"))).otherwise(F.col("text"))
+    return spanned.select(*[(text if c == "text" else F.col(at[c])).alias(c) for c in docs.columns])
