@@ -316,6 +316,65 @@ def test_terms_in_documents_without_the_entity(spark):
     assert [x.split(":", 1)[1] for x in spans[9].split(",")] == ["5:8", "9:11", "13:15"]
 
 
+def test_an_entity_of_all_documents_discloses_nothing(spark):
+    df = spark.createDataFrame([(i, f"plain words {i} to bob@x.com") for i in range(30)], "doc_id bigint, text string")
+    found = sanitising.find(df).collect()
+    assert len(found) == 30 and all(r.spans.startswith("email:") and r.n_email == 1 and "," not in r.spans for r in found)
+    assert all("[EMAIL]" in r.text and "plain words" in r.text for r in sanitising.sanitise(df).collect())
+
+
+def brute_terms(rows):
+    """Terms by ratio, straight from the definition: {term: kind}."""
+    term = re.compile(r"[^\W_]+")
+    held, words, window = defaultdict(set), [], defaultdict(set)
+    for i, (_, text) in enumerate(rows):
+        words.append({t.lower() for t in term.findall(text)})
+        spans = [(int(a), int(b)) for _, a, b in (x.split(":") for x in base_spans(text))]
+        for a, b in spans:
+            e = text[a:b].lower()
+            held[e].add(i)
+            before, after = [t.lower() for t in term.findall(text[:a])], [t.lower() for t in term.findall(text[b:])]
+            own = [t.lower() for t in term.findall(text[a:b])] if "@" in e else []
+            window[e] |= {*before[-8:], *(own + after)[:8]}
+    n, kinds = len(rows), {}
+    for e, at in held.items():
+        texts = {rows[i][1] for i in at}
+        for t in set.union(*(words[i] for i in at)):
+            both = [i for i in at if t in words[i]]
+            contents = len({rows[i][1] for i in both})
+            if len(texts) == 1 and t not in window[e] or t not in window[e] and contents < 2:
+                continue
+            more, prior = (0 if contents >= 3 else 1), len(at) / n
+            ratio = math.log((len(both) + more * prior) / (sum(t in w for w in words) + more) / prior) / -math.log(prior) if prior < 1 else 0
+            if ratio >= 0.85:
+                kinds[t] = max(kinds.get(t, 4), 5 if ratio >= 0.97 else 4)
+    return kinds
+
+
+def test_terms_are_those_of_the_definition(spark):
+    import random
+
+    random.seed(8)
+    common, rows = [f"word{i}" for i in range(60)], []
+    people = [(f"p{i}@mail.org", f"name{i}", f"town{i % 3}") for i in range(12)]
+    for i in range(240):
+        text = random.choices(common, k=20)
+        if i % 3 == 0:
+            mail, name, town = people[i % 12]
+            text[5:5] = [name, "ask", mail, "of", town]
+        elif i % 7 == 0:
+            text[3:3] = [random.choice(people)[1]]
+        rows.append((i, " ".join(text)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    kinds, text = brute_terms(rows), dict(rows)
+    assert set(kinds.values()) == {4, 5} or kinds
+    for r in sanitising.find(df).collect():
+        base = [tuple(map(int, x.split(":")[1:])) for x in base_spans(text[r.doc_id])]
+        want = {(m.start(), m.end(), kinds[m[0].lower()]) for m in re.finditer(r"[^\W_]+", text[r.doc_id]) if m[0].lower() in kinds and not any(a < m.end() and m.start() < b for a, b in base)}
+        got = {(int(a), int(b), 4 if k == "term" else 5) for k, a, b in (x.split(":") for x in r.spans.split(",") if x) if k in ("term", "removed")}
+        assert got == want
+
+
 def shingles(text):
     w = WORD.findall(text.translate(LOWER))
     return frozenset(tuple(w[i : i + 3]) for i in range(len(w) - 2)) if len(w) >= 3 else frozenset([tuple(w)] if w else [])

@@ -7,7 +7,7 @@ In all documents, terms above the lower threshold are generalised and those abov
 letters and digits of any length.
 Every entity counts, also one that is seen once: a pair counts if the term is within NEAR words of the entity in any text, or if
 two different texts hold both.  In fewer than SUPPORT texts the term's share of documents with the entity is smoothed by one
-more document.
+more document.  No term discloses an entity that is in every document: such an entity has no information (a ratio of 0).
 
 Positions come from what lies between matches, in code points.  Patterns are possessive, so their time is linear in a
 text's length.
@@ -145,7 +145,8 @@ def disclosing(docs: DataFrame) -> DataFrame:
     # with fewer texts, as if one more document held the term, and the entity at its usual rate
     more = F.when(F.col("contents") >= SUPPORT, 0.0).otherwise(1.0)
     given = (F.col("df_et") + more * prior) / (F.col("df_t") + more)
-    ratio = F.log(given / prior) / -F.log(prior)
+    # an entity of all documents has no information of its own to give away
+    ratio = F.coalesce(F.try_divide(F.log(given / prior), -F.log(prior)), F.lit(0.0))
     judged = met.withColumn("hash", F.xxhash64("term")).join(counted, "hash").crossJoin(F.broadcast(rows)).withColumn("ratio", ratio).where(F.col("ratio") >= GENERALISED)
     return keep(judged.groupBy("hash").agg(F.when(F.max("ratio") >= REMOVED, 5).otherwise(4).alias("kind")))
 
@@ -188,7 +189,7 @@ def find(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans of every document.
 
     Null is the empty text: no spans, and the digest of nothing.  Repeated rows are documents of their own in all counts, but
-    the same text is one text of a pair's support.  Other columns are ignored; an empty frame gives an empty frame.
+    the same text is one text of a pair's support.  An entity of all documents has no disclosing terms.  Other columns are ignored; an empty frame gives an empty frame.
     """
     prepare(docs.sparkSession)
     told_of = with_terms(docs.select("doc_id", "text"))
