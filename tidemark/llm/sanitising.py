@@ -35,6 +35,8 @@ TERM = r"[\p{L}\p{M}\p{N}]++"
 GENERALISED, REMOVED, SUPPORT = 0.85, 0.97, 3
 #: Words on either side of an entity that count as near it; what encloses an entity's mark.
 NEAR, MARKS = 8, "\ue000\ue001"
+#: Slots of the filters that keep what can't match out of shuffles; a broadcast of as many numbers at most.
+SLOTS = 1 << 21
 SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 
 
@@ -119,6 +121,18 @@ def hashes(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)), lambda t: F.xxhash64(t)))
 
 
+def passing(hashes_: Column, wanted: DataFrame, name: str) -> DataFrame:
+    """The slots of the wanted hashes: a broadcast of at most SLOTS rows, whatever the corpus is, that lets by all that
+    can meet them and few others.  The exact join follows."""
+    return F.broadcast(wanted.select(F.pmod(hashes_, F.lit(SLOTS)).alias(name)).distinct())
+
+
+def only(rows: DataFrame, hash_: str, wanted: DataFrame) -> DataFrame:
+    """The rows whose hash may be among the wanted frame's column `hash`."""
+    slots = passing(F.col("hash"), wanted, "_slot")
+    return rows.join(slots, F.pmod(F.col(hash_), F.lit(SLOTS)) == F.col("_slot"), "left_semi")
+
+
 def disclosing(docs: DataFrame) -> DataFrame:
     """(hash, kind) of each term to generalise or to remove, from the text of all documents."""
     spans = base_spans(F.col("text"))
@@ -137,9 +151,9 @@ def disclosing(docs: DataFrame) -> DataFrame:
     far = common.join(words.select("uid", every.alias("words")), "uid").select("entity", "df_e", "content", F.explode("words").alias("term"), F.array_contains("near", F.col("term")).alias("close"))
     near = held.join(sums.where("contents = 1").select("entity", "df_e"), "entity").select("entity", "df_e", "content", F.explode("near").alias("term"), F.lit(True).alias("close"))
     met = far.unionByName(near).groupBy("entity", "term").agg(F.first("df_e").alias("df_e"), F.count("*").alias("df_et"), F.count_distinct("content").alias("contents"), F.bool_or("close").alias("close"))
-    met = keep(met.where("close or contents > 1"))
-    # every document counts a term once
-    counted = docs.select(F.explode(hashes(F.col("text"))).alias("hash")).groupBy("hash").agg(F.count("*").alias("df_t"))
+    met = keep(met.where("close or contents > 1").withColumn("hash", F.xxhash64("term")))
+    # every document counts a term once; words that can't be terms stay out of the shuffle
+    counted = only(docs.select(F.explode(hashes(F.col("text"))).alias("hash")), "hash", met).groupBy("hash").agg(F.count("*").alias("df_t"))
     rows = docs.agg(F.count("*").alias("rows"))
     prior = F.col("df_e") / F.col("rows")
     # with fewer texts, as if one more document held the term, and the entity at its usual rate
@@ -147,7 +161,7 @@ def disclosing(docs: DataFrame) -> DataFrame:
     given = (F.col("df_et") + more * prior) / (F.col("df_t") + more)
     # an entity of all documents has no information of its own to give away
     ratio = F.coalesce(F.try_divide(F.log(given / prior), -F.log(prior)), F.lit(0.0))
-    judged = met.withColumn("hash", F.xxhash64("term")).join(counted, "hash").crossJoin(F.broadcast(rows)).withColumn("ratio", ratio).where(F.col("ratio") >= GENERALISED)
+    judged = met.join(counted, "hash").crossJoin(F.broadcast(rows)).withColumn("ratio", ratio).where(F.col("ratio") >= GENERALISED)
     return keep(judged.groupBy("hash").agg(F.when(F.max("ratio") >= REMOVED, 5).otherwise(4).alias("kind")))
 
 
@@ -156,9 +170,15 @@ def with_terms(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     texts = docs.select(text.alias("text"), F.xxhash64("doc_id", text).alias("_row"))
     # rows are known by hash; equal rows have the same terms
-    hit = texts.select("_row", F.explode(hashes(F.col("text"))).alias("hash")).join(disclosing(texts), "hash")
-    by_row = hit.groupBy("_row").agg(F.collect_set(F.when(F.col("kind") == 4, F.col("hash"))).alias("_4"), F.collect_set(F.when(F.col("kind") == 5, F.col("hash"))).alias("_5"))
-    joined = docs.withColumns({"_row": F.xxhash64("doc_id", text), "spans": base_spans(text)}).join(by_row, "_row", "left")
+    terms = disclosing(texts)
+    hit = only(texts.select("_row", F.explode(hashes(F.col("text"))).alias("hash")), "hash", terms).join(terms, "hash")
+    by_row = keep(hit.groupBy("_row").agg(F.collect_set(F.when(F.col("kind") == 4, F.col("hash"))).alias("_4"), F.collect_set(F.when(F.col("kind") == 5, F.col("hash"))).alias("_5")))
+    # documents that can hold no term are not shuffled to learn that
+    slots = passing(F.col("_row"), by_row, "_slot")
+    known = docs.withColumn("_row", F.xxhash64("doc_id", text))
+    at = F.pmod(F.col("_row"), F.lit(SLOTS)) == F.col("_slot")
+    joined = known.join(slots, at, "left_semi").join(by_row, "_row", "left").withColumn("spans", base_spans(text))
+    apart_from = known.join(slots, at, "left_anti").drop("_row").withColumns({"spans": base_spans(text), "more": F.array().cast(SPAN)})
     none = F.array().cast(SPAN)
     forms = F.array_distinct(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)))
 
@@ -169,7 +189,7 @@ def with_terms(docs: DataFrame) -> DataFrame:
         return F.when(F.size(f"_{kind}") > 0, located(text, pattern, F.lit(kind))).otherwise(none)
 
     apart = F.filter(F.concat(of(4), of(5)), lambda m: ~F.exists("spans", lambda s: (s["start"] < m["end"]) & (m["start"] < s["end"])))
-    return joined.withColumn("more", apart).drop("_row", "_4", "_5")
+    return joined.withColumn("more", apart).drop("_row", "_4", "_5").unionByName(apart_from)
 
 
 def sanitised(text: Column, spans: Column) -> Column:
