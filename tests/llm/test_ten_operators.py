@@ -89,26 +89,103 @@ def brute_counts(text):
 
 def test_rules(docs, odd, nothing):
     for df in (docs, odd):
-        got = perplexity.rules(df.select("doc_id", "lang", "text")).toPandas()
+        texts = defaultdict(list)
+        for d, t in texts_of(df):
+            texts[d].append(brute_counts(t))
+        got = perplexity.rules(df).toPandas()
         for r in got.itertuples():
-            want = brute_counts(r.text or "")
+            options = texts[None if r.doc_id != r.doc_id else r.doc_id]
+            want = next(x for x in options if x == (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words))
             assert want == (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words)
             assert r.base_failed == (want[0] < 10 or 100 * want[4] > 20 * want[0])
             assert not (r.base_failed and r.kept)
         assert len(got) == df.count()
-    assert perplexity.rules(odd).columns == ["doc_id", "text", "lang", "source", "score", *perplexity.COUNTS, "base_failed", "log2_perplexity", "kept"]
-    assert perplexity.rules(nothing).count() == 0
-
-
-def test_kneser_ney_is_a_distribution():
-    texts = [b"the cat sat on the mat.", b"The cat\nate 12 rats!", b""]
-    data, at = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
-    hashes, own = perplexity.four_grams(data, at)
-    assert np.diff(own).tolist() == [len(t) + 1 for t in texts]
-    table = perplexity.fit(*np.unique(hashes, return_counts=True)).table().reshape(-1, 64)
-    assert np.allclose((2.0**table).sum(1), 1, atol=1e-4)
-    uniform = perplexity.fit(np.empty(0, np.uint32), np.empty(0, np.int64)).table()
-    assert np.allclose(uniform, -6)
+    assert perplexity.rules(odd).columns == ["doc_id", *perplexity.COUNTS, "base_failed", "kept", "log2_perplexity"]
+    assert perplexity.rules(nothing).count() == 0 and perplexity.accepted(nothing).count() == 0
+
+
+def test_accepted_keeps_the_callers_columns(docs):
+    from pyspark.sql import functions as F
+
+    clash = docs.withColumns({"n_words": F.lit("mine"), "kept": F.lit(7), "low": F.lit(1), "_lang": F.lit(2), "c0": F.lit(3)})
+    got = perplexity.accepted(clash)
+    assert got.columns == clash.columns and got.where("n_words = 'mine' and kept = 7 and low = 1 and _lang = 2 and c0 = 3").count() == got.count()
+    assert {r.doc_id for r in got.collect()} == {r.doc_id for r in perplexity.rules(docs).where("kept").collect()}
+
+
+class BruteModel:
+    """Modified Kneser-Ney of order 4 over code points, from its definition."""
+
+    def __init__(self, texts):
+        level = Counter()
+        for t in texts:
+            level.update(self.grams(t))
+        self.counts, self.cut, self.whole, self.left = {}, {}, {}, {}
+        for k in (4, 3, 2, 1):
+            n = [sum(c == x for c in level.values()) for x in (1, 2, 3, 4)]
+            y = n[0] / (n[0] + 2 * n[1]) if all(n) else 0
+            self.cut[k] = [0, *(min(max(x - (x + 1) * y * n[x] / n[x - 1], 0.05), (0.95, 1.9, 2.85)[x - 1]) for x in (1, 2, 3))] if all(n) else [0, 0.5, 0.75, 0.9]
+            whole, cut = Counter(), Counter()
+            for g, c in level.items():
+                whole[g[:-1]] += c
+                cut[g[:-1]] += self.cut[k][min(c, 3)]
+            self.counts[k], self.whole[k], self.left[k] = level, whole, {h: cut[h] / whole[h] for h in whole}
+            level = Counter(g[1:] for g in level)
+
+    @staticmethod
+    def grams(text):
+        padded = [-1] * 3 + list(map(ord, text)) + [-1]
+        return [tuple(padded[i - 3 : i + 1]) for i in range(3, len(padded))]
+
+    def p(self, g):
+        k = len(g)
+        lower = self.p(g[1:]) if k > 1 else 1 / (len(self.counts[1]) + 1)
+        if g[:-1] not in self.whole[k]:
+            return lower
+        c = self.counts[k][g]
+        return (c - self.cut[k][min(c, 3)]) / self.whole[k][g[:-1]] + self.left[k][g[:-1]] * lower
+
+    def log2_perplexity(self, text):
+        grams = self.grams(text)
+        return -sum(math.log2(self.p(g)) for g in grams) / len(grams)
+
+
+def test_perplexity_is_that_of_the_definition(spark, docs, odd):
+    small = docs.where("length(text) < 3000").limit(60)
+    extra = spark.createDataFrame([(-1, "日本語のテキスト、日本語。", "ja"), (-2, "Привет, мир", None), (-3, "", "en")], "doc_id bigint, text string, lang string")
+    df = small.select("doc_id", "text", "lang").union(extra)
+    texts = dict(texts_of(df))
+    brute = BruteModel(texts.values())
+    got = {r.doc_id: r for r in perplexity.rules(df).collect()}
+    langs = {r.doc_id: r.lang for r in df.collect()}
+    for d, t in texts.items():
+        assert abs(got[d].log2_perplexity - brute.log2_perplexity(t)) < 1e-3
+    # the verdict, by medians of steps
+    steps = defaultdict(list)
+    for d, r in got.items():
+        if r.n_words >= 10:
+            steps[langs[d]].append(math.floor(r.log2_perplexity * 256 + 0.5))
+    middle = lambda v: sorted(v)[(len(v) + 1) // 2 - 1]
+    for d, r in got.items():
+        m = middle(steps[langs[d]]) if langs[d] in steps else None
+        if m is None:
+            assert not r.kept
+            continue
+        reach = max(middle([abs(x - m) for x in steps[langs[d]]]) / 256 * 1.4826 * 3.5, 0.1) + 1 / math.sqrt(r.word_chars + 1)
+        assert r.kept == (not r.base_failed and abs(r.log2_perplexity - m / 256) <= reach)
+
+
+@pytest.mark.parametrize("most", [1 << 22, 40])
+def test_kneser_ney_is_a_distribution(spark, docs, monkeypatch, most):
+    monkeypatch.setattr(perplexity, "MOST", most)
+    df = docs.where("length(text) < 600").limit(12)
+    model = perplexity.train(df)
+    assert len(model.grams) == 4 and all(len(k) <= most for k, _ in model.grams)
+    texts = [t for _, t in texts_of(df)]
+    known = sorted({ord(c) for t in texts for c in t} | {perplexity.EDGE})
+    for history in ([perplexity.EDGE] * 3, *[list(map(ord, texts[k][5:8])) for k in range(5)], [ord("q"), ord("#"), 0x4E00]):
+        padded = np.array([x for w in [*known, 0x4E01] for x in (*history, w)], np.int64)
+        assert abs((2.0 ** model.score(padded, np.arange(3, len(padded), 4))).sum() - 1) < 1e-3
 
 
 def test_perplexity_rejects_a_stranger(spark, docs):

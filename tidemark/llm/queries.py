@@ -29,9 +29,7 @@ def op2_brown_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_perplexity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    columns = ["doc_id", *perplexity.COUNTS, "base_failed", "kept", "log2_perplexity"]
-    return perplexity.rules(docs).select(*columns)
+    return perplexity.rules(_table(spark, sf_dir, "documents"))
 
 
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
