@@ -506,6 +506,16 @@ def test_jaccard_odd(odd, nothing):
     assert jaccard.similar(nothing).count() == 0 and jaccard.representatives(nothing).count() == 0
 
 
+def test_representatives_keep_columns_and_put_null_last(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(None, "one two three four"), (4, "one two three four"), (None, "else where and when"), (2, None), (2, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({"_row": F.lit("r"), "_content": F.lit(5), "row": F.lit(6)})
+    got = jaccard.representatives(df)
+    assert got.columns == df.columns and got.where("_row = 'r' and _content = 5 and row = 6").count() == 3
+    assert sorted((str(r.doc_id), str(r.text)) for r in got.collect()) == [("2", "None"), ("4", "one two three four"), ("None", "else where and when")]
+
+
 def test_group_links_find_links_between_members():
     rng = np.random.default_rng(3)
     leader = np.sort(rng.integers(0, 1 << 60, 100, dtype=np.uint64))

@@ -7,6 +7,7 @@ for each word.  Batches are cut by bytes, so memory does not follow the number o
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -27,13 +28,16 @@ BATCH_ROWS = 1000
 def prepare(spark: SparkSession) -> SparkSession:
     """Bounds Arrow batches, sees that there is a checkpoint folder and that workers can import this package.
 
-    A folder that the cluster names in spark.checkpoint.dir is kept; only where none is named (tests, one machine)
-    one below the temporary folder is set.
+    A folder that the cluster names in spark.checkpoint.dir is kept.  Only where none is named and all runs on this machine
+    (tests) one below the temporary folder is set; a cluster without one is an error, as executors can't see local folders.
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
     root = Path(__file__).resolve().parents[2]
     seen = [Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in seen and not getattr(context, "_tidemark_shipped", False):

@@ -346,11 +346,13 @@ def similar(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
 def representatives(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     """One row of docs, with all its columns, of each component: the smallest doc_id, then the smallest hash of the text.
 
-    Of repeated rows one stays.  Texts without words are in no component with others, so different ones all stay, as equal
-    ones do under different doc_ids.
+    A null doc_id comes after all others.  Of repeated rows one stays.  Texts without words are in no component with others,
+    so different ones all stay, as equal ones do under different doc_ids.  Columns of docs may have any names.
     """
     content = F.xxhash64("text")
-    known = similar(docs.select(F.struct("doc_id", content.alias("content")).alias("doc_id"), "text"), size, percent)
-    chosen = known.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.xxhash64("doc_id.doc_id", "doc_id.content").alias("_row"), F.col("doc_id.content").alias("_content")).distinct()
-    marked = docs.withColumns({"_content": content, "_row": F.xxhash64("doc_id", content)})
-    return marked.join(chosen, ["_row", "_content"], "left_semi").dropDuplicates(["_row", "_content"]).select(*docs.columns)
+    key = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), content.alias("content"))
+    known = similar(docs.select(key.alias("doc_id"), "text"), size, percent)
+    chosen = known.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.xxhash64("doc_id.id", "doc_id.content").alias("row"), F.col("doc_id.content").alias("content")).distinct()
+    held = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)]).alias("held"), F.xxhash64("doc_id", content).alias("row"), content.alias("content"))
+    one = held.join(chosen, ["row", "content"], "left_semi").dropDuplicates(["row", "content"])
+    return one.select(*[F.col("held").getField(f"c{k}").alias(c) for k, c in enumerate(docs.columns)])
