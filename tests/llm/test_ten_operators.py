@@ -296,6 +296,45 @@ def test_extraction_of_articles(spark, sf):
         assert r.text == "\n".join(x for x in parts if x)
 
 
+PARAGRAPHS = [f"Paragraph {k} of the article, with commas, and more than enough words in it to read like prose, as it should." for k in range(4)]
+BODY = "".join(f"<p>{p}</p>" for p in PARAGRAPHS)
+BESIDE = '<nav><a href=a>Home</a></nav><div class="sidebar"><p>Beside, the text, is more, of it.</p></div>'
+
+
+@pytest.mark.parametrize("tag", ['div class="overflow-hidden"', 'div class="with-sidebar"', 'div class="content has-sidebar"', 'div class="post comments-open"', 'article class="post type-post comments-open tags-x"', 'form id="aspnetForm"', "div", 'div id="mainContent"', 'section class="post-share-wrapper"', "aside", 'div data-note="hidden"', 'table><tr><td'])
+def test_extraction_loses_no_article(tag):
+    end = "".join(f"</{t.split()[0]}>" for t in reversed(tag.replace("><", " ><").split("><")))
+    html = f"<body>{BESIDE}<{tag}><h1>Title</h1>{BODY}{end}<div class='comments-area'><p>Nice, really, nice.</p></div><footer>f</footer></body>"
+    assert extraction.main_text(html) == "\n".join(["Title", *PARAGRAPHS])
+
+
+@pytest.mark.parametrize("n", [1, 4, 30])
+def test_extraction_keeps_headlines_and_short_parts(n):
+    many = "".join(f"<p>{PARAGRAPHS[k % 4]}</p>" for k in range(n))
+    want = ["Title", *[PARAGRAPHS[k % 4] for k in range(n)], "Short.", "quoted", "Last"]
+    inside = f"<h1>Title</h1><div class=text>{many}</div><section><p>Short.</p></section><blockquote>quoted</blockquote><h2>Last</h2>"
+    assert extraction.main_text(f"<body>{BESIDE}<article>{inside}</article></body>") == "\n".join(want)
+    plain = f"<h1>Title</h1><div>{many}</div><blockquote>quoted</blockquote><h2>Last</h2>"
+    assert extraction.main_text(f"<body>{BESIDE}<div>{plain}</div></body>") == "\n".join(x for x in want if x != "Short.")
+
+
+def test_extraction_drops_what_is_not_the_article():
+    hide = ["<div hidden>", '<div style="color:red; display : none">', "<div aria-hidden=true>", "<nav>", '<div class="cookie-banner">', '<ul class="related">', "<form>", '<div id="post-comments">', '<div role="complementary">', '<div class="newsletterSignup">']
+    for x in hide:
+        tag = x[1:].split()[0].rstrip(">")
+        html = f"<body><article><h1>Title</h1>{BODY}{x}<p>Not, this, one, it is, not the article.</p></{tag}></article></body>"
+        assert extraction.main_text(html) == "\n".join(["Title", *PARAGRAPHS]), x
+    longer = "".join(f"<p>Reader {k} has, a lot, to say, about all of this, and goes on, and on, as readers do.</p>" for k in range(8))
+    assert extraction.main_text(f"<body><article>{BODY}</article><div class='comments-area'>{longer}</div></body>") == "\n".join(PARAGRAPHS)
+    assert extraction.main_text(f"<body><div>{BODY}</div><div id='comments'>{longer}</div></body>") == "\n".join(PARAGRAPHS)
+
+
+def test_extraction_of_clashing_columns(spark):
+    pages = spark.createDataFrame([(None, None, None, "mine", 5), (1, "u", PAGE, None, None)], "page_id bigint, url string, html string, text string, n_chars int")
+    assert extraction.extract(pages).columns == ["page_id", "url", "text", "n_chars"]
+    assert {(r.page_id, r.n_chars == len(r.text)) for r in extraction.extract(pages).collect()} == {(None, True), (1, True)}
+
+
 def test_sharding(docs, odd, nothing):
     for df in (docs, odd):
         got = sharding.shard_documents(df, 7).toPandas()

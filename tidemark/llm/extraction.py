@@ -2,8 +2,12 @@
 
 Each block of text gives points for being there, for its commas and for its length, in full to the element that holds it,
 by half to the next one above, and less further up.  An element's points are discounted by the share of its text
-that lies in links.  The best container is kept with those siblings that score well too or read like text; what is left of
-them after elements that never hold an article are taken out, is the text, block by block in page order.
+that lies in links, and changed a little by its name.  The best container is kept with all of the article around it;
+where no element says that it is one, with those siblings that score well too, or are headings and prose.  What is left
+of them after menus, comments and the like are taken out is the text, block by block in page order.
+
+Tags and names of classes only raise a doubt: an element that holds (nearly) all of a page's text is kept against them,
+and where they would leave no text they count for less.
 """
 
 from __future__ import annotations
@@ -23,32 +27,58 @@ RAW = frozenset("script style title textarea iframe noembed noframes xmp".split(
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 CLOSES = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead"}, "tfoot": {"tr", "td", "th", "tbody"}}
 SCOPE = frozenset("ul ol dl table td th div section article main body aside blockquote form button".split())
-# elements, and words of classes, ids and roles, that never hold an article's text
-DROPPED = frozenset("script style title textarea iframe noembed noframes xmp head noscript template nav footer aside form button select input label fieldset menu dialog svg canvas object audio video map".split())
-BAD = frozenset("ad ads adbox advert adverts advertisement advertising banner breadcrumb breadcrumbs combx comment comments commentlist consent cookie cookies dialog disclaimer discussion disqus footer footnav gdpr login masthead menu menubar modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted recommended related replies respond search share sharing shoutbox sidebar signup skyscraper social sponsor sponsored subscribe tags toolbar widget alert complementary contentinfo".split())
-WEAK = frozenset("header footer nav menu tags notice banner search widget".split())  # not bad beside a good word
+# elements that hold no text of an article, and those that an article's text is hardly ever in
+NEVER = frozenset("script style title textarea iframe noembed noframes xmp head noscript template button select input label svg canvas object audio video map".split())
+ASIDE = frozenset("nav footer aside form fieldset menu dialog".split())
+# names of classes, ids and roles: of what stands beside articles, of articles, and words by which a name tells a state
+BAD = frozenset("ad ads advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments complementary contentinfo consent cookie cookies dialog disclaimer discussion footer form gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted promotion recommended related replies responses search share sharing sidebar signup social sponsor sponsored subscribe subscription tags toolbar widget widgets".split())
 GOOD = frozenset("article body content entry main page post story text blog".split())
+STATES = frozenset("has have with without no is open opened closed on off enabled disabled status count".split())
+#: Share of a page's text that an element must hold to be kept against its tag or whole name, and against a part of its name.
+HOLDS, HOLDS_DOUBTFUL = 0.95, 0.8
+#: What a name does to an element's worth, and the share of the best worth from which a sibling is kept.
+BETTER, DOUBTFUL, SIBLING = 1.2, 0.6, 0.2
+PROSE = frozenset("p blockquote pre ul ol dl table figure h1 h2 h3 h4 h5 h6".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>|<[!?/][^>]*(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
-NAMES = re.compile(r"[a-z]+")
-HIDDEN = re.compile(r"(?:\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true)", re.I)
+ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+TELLING = re.compile(r"class|id|role|hidden|style", re.I)
+NAMES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "bad", "good", "points", "chars", "linked")
+    """doubt: 3 for what never holds text, 2 for tags and whole names of what is beside articles, 1 for such a part of a name."""
+
+    __slots__ = ("tag", "parent", "parts", "doubt", "bad", "good", "points", "chars", "linked", "mass")
 
     def __init__(self, tag: str, parent: Node | None, attributes: str):
         self.tag, self.parent, self.parts = tag, parent, []
-        self.points, self.chars, self.linked = 0.0, 0, 0
-        words: set[str] = set()
-        if attributes and "=" in attributes:
-            for m in ATTRIBUTE.finditer(attributes):
-                if m[1].lower() in ("class", "id", "role"):
-                    words.update(NAMES.findall((m[2] or m[3] or m[4] or "").lower()))
-        self.good = tag in ("article", "main") or bool(words & GOOD)
-        bad = words & BAD
-        self.bad = tag in DROPPED or bool(bad - WEAK if self.good else bad) or bool(attributes and HIDDEN.search(attributes) and tag not in ("html", "body"))
+        self.points, self.chars, self.linked, self.mass = 0.0, 0, 0, 0
+        self.good, self.bad = tag in ("article", "main"), False
+        self.doubt = 3 if tag in NEVER else 2 if tag in ASIDE else 0
+        if attributes and tag not in ("html", "body") and self.doubt < 3 and TELLING.search(attributes):
+            self.name(attributes)
+
+    def name(self, attributes: str) -> None:
+        whole: set[str] = set()
+        doubtful = False
+        for m in ATTRIBUTE.finditer(attributes):
+            key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+            if key == "hidden" and value.lower() != "until-found" or key == "aria-hidden" and value.lower() == "true" or key == "style" and UNSEEN.search(value):
+                self.doubt = 3
+                return
+            if key in ("class", "id", "role"):
+                for name in value.split():
+                    words = [w.lower() for w in NAMES.findall(name)]
+                    whole.add(name.lower())
+                    doubtful |= len(words) > 1 and not STATES.intersection(words) and not BAD.isdisjoint(words)
+                    self.good |= bool(words) and GOOD.issuperset(words)
+        named = not BAD.isdisjoint(whole)
+        if self.tag in ("article", "main"):
+            named = doubtful = False
+        self.doubt = max(self.doubt, (1 if self.good else 2) if named else 1 if doubtful and not self.good else 0)
 
 
 def tree(html: str) -> Node:
@@ -147,15 +177,43 @@ def blocks(top: Node) -> Iterator[tuple[Node, str, int]]:
                 holders.pop()
 
 
+def weigh(root: Node) -> None:
+    """Adds each block's characters outside links to all elements around it."""
+    for holder, text, links in blocks(root):
+        node, n = holder, len(text) - links
+        while node is not None:
+            node.mass += n
+            node = node.parent
+
+
+def condemn(root: Node, holds: float) -> None:
+    """Marks as bad what never holds text, and doubtful elements that hold less than such a share of the page's text."""
+    stack = [root]
+    while stack:
+        for x in stack.pop().parts:
+            if isinstance(x, Node):
+                limit = holds if x.doubt == 2 else min(holds, HOLDS_DOUBTFUL)
+                x.bad = x.doubt == 3 or x.doubt > 0 and x.mass < limit * root.mass
+                if not x.bad:
+                    stack.append(x)
+
+
 def main_text(html: str) -> str:
     root = tree(html)
-    found = list(blocks(root))
+    condemn(root, -1)
+    weigh(root)
+    found: list = []
+    for holds in (HOLDS, 0.5, -1):  # with less severity where nothing is left
+        condemn(root, holds)
+        found = list(blocks(root))
+        if sum(len(text) - links for _, text, links in found) > (1 - HOLDS) * root.mass:
+            break
     if not found:
         return ""
     scored: dict[int, Node] = {}
     for holder, text, links in found:
         points = 1 + text.count(",") + text.count("，") + text.count("、") + min(len(text) / 100, 3)
-        if holder.tag in ("li", "h1", "h2", "h3", "h4", "h5", "h6", "th", "dt"):
+        if holder.tag in HEADINGS or holder.tag in ("li", "th", "dt"):
             points *= 0.25
         node, level = holder, 0
         # a paragraph is no container itself
@@ -176,24 +234,27 @@ def main_text(html: str) -> str:
         return n.linked / n.chars if n.chars else 0.0
 
     def worth(n: Node) -> float:
-        bonus = 25 if n.tag in ("article", "main") else 5 if n.good else 0
-        return (n.points + (bonus if n.points else 0)) * (1 - density(n))
-
-    candidates = [n for n in scored.values() if n.points > 0]
-    best = max(candidates, key=worth)
-    top = worth(best)
-    kept = [best]
-    if best.parent is not None:
-        kept = []
-        for part in best.parent.parts:
-            if part is best:
+        return n.points * (1 - density(n)) * (BETTER if n.good else DOUBTFUL if n.doubt else 1.0)
+
+    best = max((n for n in scored.values() if n.points > 0), key=worth)
+    # an article's headline and short parts stand beside its best container, but within the article
+    around, node = [], best
+    while node is not None and node.tag not in ("html", "body"):
+        around.append(node)
+        node = node.parent
+    named = [n for n in around if n.tag == "article"] or [n for n in around if n.tag == "main"]
+    if not named:
+        while named != around[: len(named) + 1] and around[len(named)].good:
+            named = around[: len(named) + 1]
+    if named:
+        return "\n".join(text for _, text, _ in blocks(named[-1]))
+    kept = []
+    for part in best.parent.parts if best.parent is not None else [best]:
+        if part is best:
+            kept.append(part)
+        elif isinstance(part, Node) and not part.bad and part.chars and density(part) < 0.25:
+            if part.tag in PROSE or part.points > 0 and worth(part) >= SIBLING * worth(best):
                 kept.append(part)
-            elif isinstance(part, Node) and not part.bad:
-                well = part.points > 0 and worth(part) >= max(10, 0.2 * top)
-                if part.tag == "p":
-                    well |= part.chars > 80 and density(part) < 0.25
-                if well:
-                    kept.append(part)
     return "\n".join(text for k in kept for _, text, _ in blocks(k))
 
 
