@@ -580,19 +580,41 @@ def test_bpe(docs, odd, nothing, tokenizer):
     assert bpe.encode_decode(nothing, tokenizer_path()).count() == 0
 
 
-@pytest.mark.parametrize("step", [1, 3, 50])
-def test_bpe_streams(tokenizer, monkeypatch, step):
+@pytest.mark.parametrize("step", [1, 3, 50, 1000])
+def test_bpe_streams(tokenizer, step):
     import random
 
-    monkeypatch.setattr(bpe, "LONG", 40)
     random.seed(step)
     c = bpe.codec(tokenizer_path())
-    atoms = ["a", "b", "the", " ", "  ", "\n", "'", "r", "e", "<|endoftext|>", "é", "1", "22", "!", "aaaa" * 30, " " * 60, "日" * 30, "\t"]
-    for _ in range(60):
+    atoms = ["a", "b", "the", " ", "  ", "\n", "'", "r", "e", "'re", " 'll", "<|endoftext|>", "<|endof", "é", "1", "22", "!", "aaaa" * 30, " " * 60, "日" * 30, "\t", "\n\n", "\u00a0", "''''"]
+    for _ in range(150):
         text = "".join(random.choice(atoms) for _ in range(60))
-        got = b"".join(c.stream(text[i : i + step] for i in range(0, len(text), step)))
-        assert np.frombuffer(got, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+        encoder = bpe.Encoder(c)
+        got = [x for i in range(0, len(text), step) for x in encoder.feed(text[i : i + step])] + [*encoder.finish()]
+        assert np.frombuffer(b"".join(got), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
         assert "".join(c.decode(got)) == text
+        assert c.encode(text) == b"".join(got)
+
+
+def test_every_text_goes_through_the_transducer(tokenizer, monkeypatch):
+    calls = []
+    stable = bpe.Transducer.stable
+    monkeypatch.setattr(bpe.Transducer, "stable", lambda t: calls.append(1) or stable(t))
+    c = bpe.Codec(bpe.codec(tokenizer_path()).m)
+    for text in ("word", "some words here", "x" * 70_000):
+        calls.clear()
+        c.encode(text)
+        assert calls
+
+
+@pytest.mark.parametrize("chunk, times", [("Some words of a long text, and more of them. ", 1_200_000), ("abcabdab", 400_000), ("日本語", 100_000), ("-", 300_000), ("a-1-b'", 100_000)])
+def test_memory_does_not_follow_the_text(tokenizer, chunk, times):
+    encoder, most, text = bpe.Encoder(bpe.codec(tokenizer_path())), 0, chunk * (65536 // len(chunk))
+    for _ in range(max(1, times * len(chunk) // len(text))):  # 50 MB of words
+        for _ in encoder.feed(text):
+            pass
+        most = max(most, len(encoder.buffer) + (len(encoder.run.held) + len(encoder.run.last) if encoder.run else 0))
+    assert most < 2000
 
 
 def test_transducer_keeps_little(tokenizer):

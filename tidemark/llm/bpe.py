@@ -7,8 +7,9 @@ last token of the rest.  The last tokens link every prefix to a shorter one.  No
 which is the lookahead that suffices: whatever comes later hangs on one of that many newest prefixes.  Once the links
 of all of these meet in one prefix, the tokens before it can no longer change and are emitted; only the unstable rest is
 held.  Pieces are cut as the byte-level pattern cuts them, from a buffer that holds back what later text could change.
+All texts take this one way: chunk in, stable ids out, and the bytes of a piece that is still open wait in the transducer.
 
-Results for short pieces are cached (bounded, two generations), which changes nothing but the time.
+Results for short whole pieces are cached (bounded, two generations), which changes nothing but the time.
 
 Decoding.  Token bytes feed a UTF-8 state machine that emits characters as soon as they are whole.
 """
@@ -29,12 +30,12 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame
 
-from tidemark.llm._arrow import prepare
+from tidemark.llm._arrow import prepare, utf8
 
 # fixed values: the byte-level pre-tokenizer's pattern
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Characters of a text that are taken at once, and of a held piece beyond which its bytes go on to the transducer.
-FEED, LONG = 1 << 16, 1 << 10
+#: Bytes of a text that are taken at once; characters of the longest piece that a later character can still cut.
+FEED, LEAD = 1 << 16, 3
 #: Entries of each generation of a cache.
 CACHED = 300_000
 NEVER = 1 << 60
@@ -200,7 +201,7 @@ class Codec:
     def run(self, piece: str) -> bytes:
         t = Transducer(self.m)
         t.push(piece.encode())
-        return self.pack(t.finish())
+        return self.pack(t.stable() + t.finish())
 
     def _piece(self, piece: str) -> tuple[bytes, bool]:
         return self.run(piece), len(piece) < 64
@@ -224,8 +225,11 @@ class Codec:
         """
         found = []
         try:
-            for line in text.split("\n"):
+            for k, line in enumerate(text.split("\n")):
                 first, *rest = line.split(" ")
+                if not first and rest and not k:  # the text goes on with a space and a word
+                    found.append(b"".join(map(self.word.__getitem__, rest)))
+                    continue
                 if not first or first[0].isspace() or first[-1].isspace():
                     return self.pieces(text)
                 found.append(self.pieces(first) + b"".join(map(self.word.__getitem__, rest)))
@@ -233,46 +237,7 @@ class Codec:
             return self.pieces(text)
         return self.piece["\n"].join(found)
 
-    def stream(self, chunks: Iterable[str]) -> Iterator[bytes]:
-        """Ids as they become stable; what is held doesn't grow with the text."""
-        buffer, run, kind = "", None, None
-        for chunk in chunks:
-            buffer += chunk
-            while True:
-                if run:  # within a long piece
-                    end, over = self._run_end(kind, buffer, False)
-                    run.push(buffer[:end].encode())
-                    buffer = buffer[end:]
-                    yield self.pack(run.stable())
-                    if not over:
-                        break
-                    yield self.pack(run.finish())
-                    run = None
-                special = self.split.search(buffer) if self.split else None
-                if special:
-                    yield self.plain(buffer[: special.start()])
-                    yield self.pack([self.m.special[special[0]]])
-                    buffer = buffer[special.end() :]
-                    continue
-                found = list(self.pattern.finditer(buffer))
-                safe = [m.end() for m in found[:-2] if m.end() < len(buffer) - self.most_special]
-                if safe:
-                    yield self.plain_until(buffer, safe[-1])
-                    buffer = buffer[safe[-1] :]
-                if len(buffer) <= LONG or not (m := self.pattern.match(buffer)) or m.end() < len(buffer) - self.most_special:
-                    break
-                run, kind = Transducer(self.m), next(k for k in self.runs if k.match(buffer[1:2]).end() == 1)
-                if buffer[0] == " " and kind is not self.runs[3]:
-                    run.push(b" ")
-                    buffer = buffer[1:]
-        if run:
-            end, _ = self._run_end(kind, buffer, True)
-            run.push(buffer[:end].encode())
-            yield self.pack(run.finish())
-            buffer = buffer[end:]
-        yield from self._rest(buffer)
-
-    def _run_end(self, kind, buffer: str, last: bool) -> tuple[int, bool]:
+    def run_end(self, kind, buffer: str, last: bool) -> tuple[int, bool]:
         """How much of the buffer surely belongs to the long piece, and whether the piece ends there."""
         special = self.split.search(buffer) if self.split else None
         stop = special.start() if special else len(buffer) if last else max(0, len(buffer) - self.most_special)
@@ -282,29 +247,100 @@ class Codec:
         spare = kind is self.runs[3] and (end < stop or not over)
         return max(0, end - spare), over
 
-    def plain_until(self, buffer: str, end: int) -> bytes:
-        """The pieces of the buffer before `end`, as they are with what follows."""
-        return b"".join(self.piece[m[0]] for m in self.pattern.finditer(buffer) if m.end() <= end)
-
-    def _rest(self, buffer: str) -> Iterator[bytes]:
+    def rest(self, buffer: str) -> Iterator[bytes]:
+        """All of a text's end, in which nothing is open."""
         for k, part in enumerate(self.split.split(buffer) if self.split else [buffer]):
             yield self.pack([self.m.special[part]]) if k % 2 else self.plain(part)
 
     def encode(self, text: str) -> bytes:
-        if len(text) <= FEED:
-            if self.split is None or not any(s in text for s in self.m.special):
-                return self.plain(text)
-            return b"".join(self._rest(text))
-        return b"".join(self.stream(text[i : i + FEED] for i in range(0, len(text), FEED)))
+        encoder = Encoder(self)
+        found = [x for i in range(0, len(text), FEED) for x in encoder.feed(text[i : i + FEED])]
+        return b"".join([*found, *encoder.finish()])
 
-    def decode(self, packed: bytes) -> Iterator[str]:
+    def decode(self, packed: Iterable[bytes]) -> Iterator[str]:
         """Characters as they become whole; bytes that are no UTF-8 become U+FFFD."""
-        machine = codecs.getincrementaldecoder("utf-8")("replace")
-        table = self.m.bytes
-        for i in range(0, len(packed), 4 * FEED):
-            ids = np.frombuffer(packed[i : i + 4 * FEED], "<u4").tolist()
-            yield machine.decode(b"".join(map(table.__getitem__, ids)))
-        yield machine.decode(b"", True)
+        decoder = Decoder(self)
+        for ids in packed:
+            yield decoder.feed(ids)
+        yield decoder.finish()
+
+
+class Encoder:
+    """The state of one text: what is held doesn't grow with it."""
+
+    def __init__(self, codec: Codec):
+        self.c, self.buffer, self.run, self.kind = codec, "", None, None
+
+    def feed(self, chunk: str) -> Iterator[bytes]:
+        """The ids that this chunk makes stable."""
+        c = self.c
+        self.buffer += chunk
+        while True:
+            if self.run:  # within an open piece
+                end, over = c.run_end(self.kind, self.buffer, False)
+                if end:
+                    self.run.push(self.buffer[:end].encode())
+                    self.buffer = self.buffer[end:]
+                    yield c.pack(self.run.stable())
+                if not over:
+                    return
+                yield c.pack(self.run.finish())
+                self.run = None
+            special = c.split.search(self.buffer) if c.split else None
+            if special:
+                yield c.plain(self.buffer[: special.start()])
+                yield c.pack([c.m.special[special[0]]])
+                self.buffer = self.buffer[special.end() :]
+                continue
+            if end := self.safe():
+                yield c.plain(self.buffer[:end])
+                self.buffer = self.buffer[end:]
+            m = c.pattern.match(self.buffer)
+            if not m or len(m[0]) <= LEAD or m.end() < len(self.buffer) - c.most_special:
+                return
+            self.open()
+
+    def safe(self) -> int:
+        """An end of a piece, the last if there is one before a space, that no later text and no special token moves."""
+        text, limit = self.buffer, len(self.buffer) - max(self.c.most_special, 2)
+        at = text.rfind(" ", 1, max(limit, 0))
+        while at > 0 and (text[at - 1].isspace() or text[at + 1].isspace()):
+            at = text.rfind(" ", 1, at)
+        if at > 0:
+            return at
+        if len(text) <= 4 * self.c.most_special:
+            return 0
+        ends = [m.end() for m in self.c.pattern.finditer(text)]
+        return max((e for e in ends[:-2] if e < limit and not text[e - 1].isspace()), default=0)
+
+    def open(self) -> None:
+        self.run, self.kind = Transducer(self.c.m), next(k for k in self.c.runs if k.match(self.buffer[1:2]).end() == 1)
+        if self.buffer[0] == " " and self.kind is not self.c.runs[3]:
+            self.run.push(b" ")
+            self.buffer = self.buffer[1:]
+
+    def finish(self) -> Iterator[bytes]:
+        """The ids of what is still held."""
+        if self.run:
+            end, _ = self.c.run_end(self.kind, self.buffer, True)
+            self.run.push(self.buffer[:end].encode())
+            yield self.c.pack(self.run.stable() + self.run.finish())
+            self.buffer, self.run = self.buffer[end:], None
+        yield from self.c.rest(self.buffer)
+        self.buffer = ""
+
+
+class Decoder:
+    """Ids in, characters out as they become whole."""
+
+    def __init__(self, codec: Codec):
+        self.table, self.machine = codec.m.bytes, codecs.getincrementaldecoder("utf-8")("replace")
+
+    def feed(self, packed: bytes) -> str:
+        return self.machine.decode(b"".join(map(self.table.__getitem__, np.frombuffer(packed, "<u4").tolist())))
+
+    def finish(self) -> str:
+        return self.machine.decode(b"", True)
 
 
 @lru_cache(4)
@@ -327,14 +363,24 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
         c = codec(path)
         for batch in batches:
             counts, ids_digest, text_digest = [], [], []
-            for text in batch.column(1):
-                packed = c.encode(text.as_py() or "")
-                digest = hashlib.sha256()
-                for part in c.decode(packed):
-                    digest.update(part.encode())
-                counts.append(len(packed) // 4)
-                ids_digest.append(hashlib.sha256(packed).hexdigest())
-                text_digest.append(digest.hexdigest())
+            data, at = utf8(batch.column(1))
+            body, ends = memoryview(data), at.tolist()
+            for low, high in zip(ends[:-1], ends[1:]):
+                n, ids, text = 0, hashlib.sha256(), hashlib.sha256()
+                encoder, decoder, characters = Encoder(c), Decoder(c), codecs.getincrementaldecoder("utf-8")()
+                for i in range(low, high, FEED):
+                    for packed in encoder.feed(characters.decode(body[i : min(i + FEED, high)])):
+                        n += len(packed)
+                        ids.update(packed)
+                        text.update(decoder.feed(packed).encode())
+                for packed in encoder.finish():
+                    n += len(packed)
+                    ids.update(packed)
+                    text.update(decoder.feed(packed).encode())
+                text.update(decoder.finish().encode())
+                counts.append(n // 4)
+                ids_digest.append(ids.hexdigest())
+                text_digest.append(text.hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_digest, pa.string()), pa.array(text_digest, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
