@@ -236,6 +236,67 @@ def test_brown(docs, odd, nothing):
     assert brown.log10_scores(nothing).count() == 0
 
 
+def brown_tokens(text, end):
+    return [*WORD.findall(text.translate(LOWER)), end]
+
+
+def test_brown_scores_are_those_of_the_model(docs, monkeypatch):
+    models = []
+    train = brown.train
+    monkeypatch.setattr(brown, "train", lambda *x: models.append(train(*x)) or models[0])
+    got = {r.doc_id: r.score for r in brown.log10_scores(docs).collect()}
+    m = models[0]
+    hash_of = lambda w: int(brown.words(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w.encode())]), True).hash[0])
+    rank = {int(h): int(r) for h, r in zip(m.head.hash, m.head.rank)}
+    seen = Counter(w for d, t in texts_of(docs) if zlib.crc32(str(d).encode()) % 7 != 2 for w in brown_tokens(t, None))
+    clustered = {w: rank[hash_of(w)] for w in seen if w is not None and seen[w] >= brown.SEEN}
+    assert len(clustered) == len(m.head.hash)
+    rest, end = len(m.transition) - 2, len(m.transition) - 1
+    of = lambda w: end if w is None else int(m.of[clustered[w]]) if w in clustered else rest
+    mass = Counter()
+    for w, c in seen.items():
+        mass[of(w)] += c
+    others = mass[rest] + sum(w is not None and w not in clustered for w in seen) + 1
+    emit = lambda w: 1 if w is None else seen[w] / mass[of(w)] if w in clustered else (seen[w] + 1) / others
+    for d, t in texts_of(docs):
+        at, total = end, 0.0
+        for w in brown_tokens(t, None):
+            total += m.transition[at, of(w)] + math.log10(emit(w))
+            at = of(w)
+        assert abs(total - got[d]) < 1e-6 * max(1, abs(total))
+    # after each class, all words, seen or not, add up to 1
+    whole = sum(10.0 ** m.transition[:, of(w)] * emit(w) for w in seen) + 10.0 ** m.transition[:, rest] / others
+    assert np.allclose(whole, 1, atol=1e-9)
+
+
+def test_sweep_moves_words_as_the_definition_says(spark):
+    rng = np.random.default_rng(4)
+    vocabulary = [f"w{i}" for i in range(30)]
+    texts = [" ".join(rng.choice(vocabulary[:15] if k % 2 else vocabulary[10:], 12)) for k in range(80)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string").repartition(3)
+    hashes = brown.words(np.frombuffer("".join(vocabulary).encode(), np.uint8), np.cumsum([0, *map(len, vocabulary)]), True).hash
+    order = np.argsort(hashes)
+    count = np.array([sum(t.split().count(w) for t in texts) for w in vocabulary])
+    encoded = brown.encode(docs, brown.Head(hashes[order], order, count))
+    of = np.r_[rng.integers(0, 4, 30), 4, 5]
+    got = brown.sweep(encoded, of, 6, count)
+    g, near = np.zeros((6, 6)), np.zeros((30, 2, 6))
+    for t in texts:
+        ids = [*(vocabulary.index(w) for w in t.split()), 31]
+        for a, b in zip([31, *ids[:-1]], ids):
+            g[of[a], of[b]] += 1
+            if b < 30:
+                near[b, 0, of[a]] += 1
+            if a < 30:
+                near[a, 1, of[b]] += 1
+    assert (brown.count_pairs(encoded, of, 6) == g).all()
+    into, out = g.sum(0), g.sum(1)
+    for w in range(30):
+        fits = [sum(near[w, 0, j] * math.log((g[j, c] + 20 * into[c] / into.sum() + 1e-9) / (out[j] + 20 + 1e-9)) + near[w, 1, j] * math.log((g[c, j] + 20 * into[j] / into.sum() + 1e-9) / (out[c] + 20 + 1e-9)) for j in range(6)) - count[w] * math.log(into[c] + (count[w] if c != of[w] else 0)) for c in range(4)]
+        assert got[w] == int(np.argmax(fits)) or abs(fits[got[w]] - max(fits)) < 1e-6
+    assert got[30:].tolist() == [4, 5]
+
+
 def test_exchange_finds_classes():
     rng = np.random.default_rng(1)
     b = np.zeros((22, 22), int)

@@ -1,13 +1,15 @@
 """A class-based bigram model: exchange clustering, class transitions and word emissions.
 
-Words are counted over all training texts by 64-bit hash.  The CORE most frequent are clustered by exchange, from their
-bigrams: a word moves to the class that raises the likelihood of the class bigrams most, until few move.  The next words,
-up to EXTENDED, make one such move each, from the classes that they stand next to.  Further words up to HEAD are classed
-by how frequent they are, and all the rest, unseen words among them, are one class, whose emissions are smoothed by one.
-Transitions are interpolated with how frequent a class is.
-
-The head is a table of fixed size that workers hold.  The rest's counts never leave the cluster: a document's words
-beyond the head meet their counts in a join.  No such word can be frequent, so no key of that join is hot.
+Words are counted over all training texts by 64-bit hash.  All words that are seen SEEN times and make up 1 / MOST of the
+tokens are clustered, so their number, and with it that of classes (its cube root), grows with the corpus and is never more
+than MOST.  The most frequent start with exact exchange on their bigrams.  Then come sweeps of exchange over all clustered words:
+Spark counts how often each word stands beside each class, and every word moves to the class that fits these counts best
+under the transitions of the sweep before; workers move words independently of each other, and only classes come to the driver.
+All other words, unseen ones among them, are one class, whose emissions are smoothed by one.  Transitions are interpolated
+with how frequent a class is.
+
+Training texts are written once as numbers of words (three bytes each) for the sweeps.  Counts of words that are not clustered
+never leave the cluster: they meet the documents in a join.  No such word can be frequent, so no key of it is hot.
 """
 
 from __future__ import annotations
@@ -25,14 +27,13 @@ from tidemark.llm._arrow import keep, pieces, prepare
 from tidemark.llm._words import U, Words, words
 from tidemark.llm.quality import remainder
 
-#: Words that are clustered, that join a class, and that workers know; classes; rounds; weight of the interpolation.
-CORE, EXTENDED, HEAD, CLASSES, ROUNDS, PRIOR = 1024, 16384, 131072, 48, 10, 20.0
-#: Words seen less often are never in the head, so that the rest's class holds the mass that new words need.
-SEEN = 3
+#: Part of all tokens that a clustered word is at least, and how often it is seen; words that start with exact exchange,
+#: rounds of that, sweeps over all words; weight of the interpolation.
+MOST, SEEN, CORE, ROUNDS, SWEEPS, PRIOR = 1 << 23, 3, 1024, 10, 3, 20.0
 #: The hash that stands for the end of a text.
 END = np.uint64(0x5BD1E9955BD1E995)
-#: Classes of words by frequency, for those beyond EXTENDED.
-BANDS = 24
+#: Neighbours that a task holds before it hands them on.
+HELD = 1 << 22
 
 
 def slog(x: np.ndarray) -> np.ndarray:
@@ -115,35 +116,143 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word bigint, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def count_cells(docs: DataFrame, head: Head, cells: int, cell_of) -> np.ndarray:
-    """Adds up cell_of(ids with ends): indices below `cells`, a number that does not grow with the texts."""
+def encode(docs: DataFrame, head: Head) -> DataFrame:
+    """The texts as numbers: ranks of clustered words, then that of any other word and that of the end."""
     sent = docs.sparkSession.sparkContext.broadcast(head)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(cells, np.int64)
+        size = len(sent.value.hash)
         for batch in batches:
+            held = []
             for _, _, data, at in pieces(batch.column(0)):
                 w = words(data, at, True)
-                for index in cell_of(tokens(sent.value.ranks(w.hash), w, -1)):
-                    np.add.at(seen, index, 1)
+                ids = tokens(sent.value.ranks(w.hash), w, size + 1).astype("<u4")
+                held.append(ids.view(np.uint8).reshape(-1, 4)[:, :3].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], ["ids"])
+
+    return docs.select("text").mapInArrow(run, "ids binary")
+
+
+def decoded(packed: bytes) -> np.ndarray:
+    ids = np.zeros((len(packed) // 3, 4), np.uint8)
+    ids[:, :3] = np.frombuffer(packed, np.uint8).reshape(-1, 3)
+    return ids.view("<u4").reshape(-1).astype(np.int64)
+
+
+def count_pairs(encoded: DataFrame, of: np.ndarray, k: int) -> np.ndarray:
+    """How often a token of each class, in a row of k * k numbers, follows one of each; an end goes before all texts."""
+    sent = encoded.sparkSession.sparkContext.broadcast(of.astype(np.int16))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(k * k, np.int64)
+        for batch in batches:
+            for packed in batch.column(0):
+                c = sent.value[decoded(packed.as_py())].astype(np.int64)
+                if len(c):
+                    seen += np.bincount(np.r_[k - 1, c[:-1]] * k + c, minlength=k * k)
         some = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(seen[some], pa.int64())], ["cell", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    found = np.zeros(cells, np.int64)
+    rows = encoded.mapInArrow(run, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    found = np.zeros(k * k, np.int64)
     found[rows["cell"].to_numpy()] = rows["n"].to_numpy()
-    return found
+    return found.reshape(k, k)
+
+
+def neighbours(encoded: DataFrame, of: np.ndarray, k: int) -> DataFrame:
+    """(rank, cell array, n array): what clustered words stand beside; cell c is a class before, k + c one behind.  A rank has a
+    row for each task, or more."""
+    sent = encoded.sparkSession.sparkContext.broadcast(of.astype(np.int16))
+    size = len(of) - 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def said() -> pa.RecordBatch:
+            keys, n = np.unique(np.concatenate([*held, np.empty(0, np.int64)]), return_counts=True)
+            held.clear()
+            rank = keys // (2 * k)
+            first = np.flatnonzero(np.r_[True, rank[1:] != rank[:-1]][: len(rank)])
+            offsets = pa.array(np.r_[first, len(rank)].astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x, kind)) for x, kind in ((keys % (2 * k), pa.int16()), (n, pa.int32()))]
+            return pa.RecordBatch.from_arrays([pa.array(rank[first], pa.int32()), *lists], ["rank", "cell", "n"])
+
+        waiting = 0
+        for batch in batches:
+            for packed in batch.column(0):
+                ids = decoded(packed.as_py())
+                c = sent.value[ids].astype(np.int64)
+                some = np.flatnonzero(ids < size)
+                base = ids[some] * 2 * k
+                held += [base + np.r_[k - 1, c[:-1]][some], base + k + np.r_[c[1:], k - 1][some]] if len(ids) else []
+                waiting += 2 * len(some)
+                if waiting > HELD:
+                    yield said()
+                    waiting = 0
+        yield said()
+
+    return encoded.mapInArrow(run, "rank int, cell array<smallint>, n array<int>")
+
+
+def fitting(near: np.ndarray, count: np.ndarray, old: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """The class of each word by its neighbours (words x 2 x classes), its count and class so far, from the transitions g.
+
+    Those who have no class yet, and stand in the last but one, join the best; the others move if another is better.
+    """
+    k = len(g)
+    into, out = g.sum(0), g.sum(1)
+    share = np.log((g + PRIOR * into / max(into.sum(), 1) + 1e-9) / (out[:, None] + PRIOR + 1e-9))
+    fit = near[:, 0] @ share[:, : k - 2] + near[:, 1] @ share[: k - 2].T
+    mass = into[: k - 2] + np.where(np.arange(k - 2) == old[:, None], 0, count[:, None])
+    fit -= count[:, None] * np.log(np.maximum(mass, 1))
+    return np.argmax(fit, axis=1)
+
+
+def sweep(encoded: DataFrame, of: np.ndarray, k: int, count: np.ndarray) -> np.ndarray:
+    """The classes after each clustered word has moved once."""
+    spark = encoded.sparkSession
+    sent = spark.sparkContext.broadcast((of.astype(np.int16), count, count_pairs(encoded, of, k).astype(float)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, count, g = sent.value
+
+        def moved(rows: pa.Table) -> pa.RecordBatch:
+            rank = rows.column(0).to_numpy()
+            words_, which = np.unique(rank, return_inverse=True)
+            cell, n = (rows.column(i).combine_chunks() for i in (1, 2))
+            key = np.repeat(which, np.diff(cell.offsets.to_numpy())) * 2 * k + cell.flatten().to_numpy()
+            near = np.bincount(key, n.flatten().to_numpy(), minlength=len(words_) * 2 * k).reshape(-1, 2, k)
+            new = fitting(near, count[words_].astype(float), of[words_], g)
+            return pa.RecordBatch.from_arrays([pa.array(words_, pa.int32()), pa.array(new.astype(np.int16))], ["rank", "class"])
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:  # sorted by rank: the last one may go on
+            held.append(batch)
+            table = pa.Table.from_batches(held)
+            rank = table.column(0).to_numpy()
+            whole = int(np.searchsorted(rank, rank[-1])) if len(rank) else 0
+            if whole:
+                yield moved(table.slice(0, whole))
+                held = table.slice(whole).combine_chunks().to_batches()
+        if held and sum(b.num_rows for b in held):
+            yield moved(pa.Table.from_batches(held))
+
+    near = neighbours(encoded, of, k).repartition("rank").sortWithinPartitions("rank")
+    rows = near.mapInArrow(run, "rank int, class smallint").toArrow()
+    new = of.copy()
+    new[rows["rank"].to_numpy()] = rows["class"].to_numpy()
+    return new
 
 
 @dataclass
 class ClassModel:
-    """of: the class of each rank, then that of the rest, then that of the end; logarithms to base 10."""
+    """of: the class of each rank, then that of other words, then that of the end; logarithms to base 10."""
 
     head: Head
     of: np.ndarray
     transition: np.ndarray
-    emission: np.ndarray  # by rank; 0 for the rest, which a join adds, and for the end
-    rest: float  # what a word of the rest with no count has
+    emission: np.ndarray  # by rank; 0 for other words, which a join adds, and for the end
+    rest: float  # what another word with no count has
     total: int
     distinct: int
     ends: int
@@ -154,57 +263,28 @@ def train(docs: DataFrame, counted: DataFrame) -> ClassModel:
     end = int(END.astype(np.int64))
     totals = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("word") == end, F.col("c"))), F.lit(0))).first()
     total, distinct, ends = map(int, totals)
-    top = counted.where((F.col("word") != end) & (F.col("c") >= SEEN)).orderBy(F.desc("c"), "word").limit(HEAD).toArrow()
+    top = counted.where((F.col("word") != end) & (F.col("c") >= SEEN) & (F.col("c") * MOST >= total)).toArrow()
     hashes, count = top["word"].to_numpy().view(U), top["c"].to_numpy()
     by_rank = np.lexsort((hashes, -count))
     hashes, count = hashes[by_rank], count[by_rank].astype(np.int64)
     order = np.argsort(hashes)
     head, size = Head(hashes[order], order.astype(np.int64), count), len(hashes)
-
-    # bigrams of the core; other words and ends are the last two
-    n = min(CORE, size)
-
-    def pairs(ids: np.ndarray):
-        ids = np.where(ids < 0, n + 1, np.minimum(ids, n))
-        yield np.r_[n + 1, ids[:-1]] * (n + 2) + ids
-
-    clustered = exchange(count_cells(docs, head, (n + 2) ** 2, pairs).reshape(n + 2, n + 2), CLASSES, ROUNDS)
-
-    # bands, the rest and the end are classes beside those of the exchange
-    rest, over = CLASSES + BANDS, CLASSES + BANDS + 1
-    k = over + 1
-    of = np.full(size + 2, rest, np.int64)
-    of[:n] = clustered
-    of[n:size] = CLASSES + np.minimum(np.log2(np.maximum(count[n:], 1)).astype(int), BANDS - 1)
-    of[-1] = over
-
-    def transitions(ids: np.ndarray):
-        c = of[np.where(ids < 0, size + 1, ids)]
-        yield np.r_[over, c[:-1]] * k + c
-
-    def contexts(ids: np.ndarray):
-        """Of each word between core and EXTENDED: the class before it and, further on, the class after it."""
-        c = of[np.where(ids < 0, size + 1, ids)]
-        some = (ids >= n) & (ids < more)
-        yield (ids[some] - n) * 2 * k + np.r_[over, c[:-1]][some]
-        yield (ids[some] - n) * 2 * k + k + np.r_[c[1:], over][some]
-
-    more = min(EXTENDED, size)
-    if more > n:
-        both = count_cells(docs, head, (more - n) * 2 * k + k * k, lambda ids: (*contexts(ids), next(transitions(ids)) + (more - n) * 2 * k))
-        g = both[(more - n) * 2 * k :].reshape(k, k).astype(float)
-        out, into = g.sum(1), g.sum(0)
-        share = np.log((g + PRIOR * into / max(into.sum(), 1) + 1e-9) / (out[:, None] + PRIOR + 1e-9))
-        near = both[: (more - n) * 2 * k].reshape(more - n, 2, k).astype(float)
-        fit = near[:, 0] @ share[:, :CLASSES] + near[:, 1] @ share[:CLASSES].T
-        fit -= count[n:more, None] * np.log(into[:CLASSES] + count[n:more, None])
-        of[n:more] = np.argmax(fit, axis=1)
-
-    g = count_cells(docs, head, k * k, transitions).reshape(k, k).astype(float)
-    into = g.sum(0)
-    usual = (into + 1) / (into.sum() + k)
-    transition = np.log10((g + PRIOR * usual) / (g.sum(1, keepdims=True) + PRIOR))
-    mass = np.bincount(of[:size], count, minlength=k)
+    encoded = keep(encode(docs, head))
+
+    classes, n = max(2, round(size ** (1 / 3))), min(CORE, size)
+    k = classes + 2  # with that of other words and that of the end
+    first = np.r_[np.minimum(np.arange(size), n), n, n + 1]
+    of = np.full(size + 2, classes, np.int64)
+    of[-1] = classes + 1
+    of[:n] = exchange(count_pairs(encoded, first, n + 2), classes, ROUNDS)
+    for _ in range(SWEEPS if size else 0):
+        of = sweep(encoded, of, k, count)
+
+    g = count_pairs(encoded, of, k).astype(float)
+    into, mass = g.sum(0), np.bincount(of[:size], count, minlength=k)
+    there = (mass > 0) | (np.arange(k) >= classes)
+    usual = np.where(there, into + 1, 0) / np.where(there, into + 1, 0).sum()
+    transition = np.log10(np.maximum((g + PRIOR * usual) / (g.sum(1, keepdims=True) + PRIOR), 1e-300))
     emission = np.zeros(size + 2)
     emission[:size] = np.log10(count / mass[of[:size]]) if size else 0
     beyond, kinds = total - ends - int(count.sum()), max(distinct - size - (ends > 0), 0)
@@ -217,7 +297,8 @@ def log10_scores(docs: DataFrame) -> DataFrame:
     Learns from the documents whose crc32(doc_id as text) mod 7 is not 2.  Null is the empty text, which is one end.  A null
     doc_id counts as the empty text's crc32.  Repeated documents count, and are scored, as often as they are there.
     With nothing to learn from, base scores are 0 and all words are alike.  Other columns are ignored; an empty frame gives
-    an empty frame.  Counts, and the words of each text beyond the head, are written to the checkpoint folder.
+    an empty frame.  Counts, training texts as numbers, and the words of each text that are not clustered are written to the
+    checkpoint folder.
     """
     spark = prepare(docs.sparkSession)
     training = docs.where(remainder(7) != 2)
