@@ -41,5 +41,13 @@ def test_query(spark, sf, duck, name):
 
 
 def test_every_query_without_sql_runs(spark, sf):
-    for name in set(QUERIES) - set(ORACLE_SQL):
-        assert QUERIES[name](spark, sf).columns
+    for name in sorted(set(QUERIES) - set(ORACLE_SQL)):
+        rows = QUERIES[name](spark, sf).toPandas()
+        assert len(rows), name
+        if name == "risk_model_group_folds":
+            assert rows.probability.between(0, 1).all() and set(rows.fold) == {0, 1, 2}
+            assert rows[rows.y == 1].probability.mean() > rows[rows.y == 0].probability.mean() + 0.1
+        if name == "isolation_forest":
+            assert rows.score.between(0, 1).all() and rows.vec_id.is_unique
+        if name == "kmeans_entropy_select":
+            assert len(rows) == 25 and rows.vec_id.is_unique and rows.cluster.dropna().is_unique

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -52,5 +53,11 @@ def majority_vote(labels: DataFrame, functions: list[str]) -> DataFrame:
     return labels.withColumn("vote", _sign(total))
 
 
+def cross_fit(labels: DataFrame, functions: list[str], fold: str, folds: int) -> DataFrame:
+    """Weighted votes of each fold's rows, with accuracies from the rows of the other folds."""
+    voted = [weighted_vote(labels.where(F.col(fold) == f), functions, accuracies(agreements(labels.where(F.col(fold) != f), functions))) for f in range(folds)]
+    return reduce(DataFrame.union, voted)
+
+
 def _sign(x: Column) -> Column:
     return F.when(x > 0, 1).when(x < 0, 0).otherwise(ABSTAIN)

@@ -1,5 +1,5 @@
 """Models over flow features: boosted trees with calibration, isolation forest, clustering, group folds, importance
-(N16, N23, N36-N38, N40, N41)."""
+(N16, N23, N36, N37, N40, N41)."""
 
 from __future__ import annotations
 
@@ -23,21 +23,27 @@ def group_fold(group: str, folds: int, seed: int = 0) -> Column:
     return F.floor(uniform(F.lit(seed), F.col(group)) * folds).cast("int")
 
 
-def fit_risk(train: DataFrame, features: list[str], label: str, rounds: int = 5):
-    """Boosted trees, whose raw margins a logistic regression turns into probabilities."""
-    trees = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="keep"), GBTClassifier(featuresCol="_x", labelCol=label, maxIter=rounds, maxDepth=3, seed=42)]).fit(train)
-    platt = LogisticRegression(featuresCol="rawPrediction", labelCol=label, probabilityCol="_p", predictionCol="_y", rawPredictionCol="_lr").fit(trees.transform(train))
-    return trees, platt
+def fit_risk(train: DataFrame, features: list[str], label: str, rounds: int = 20, depth: int = 4, halves: int = 2):
+    """Boosted trees on each half of the training rows; a logistic regression over their margins on the other half,
+    which they haven't seen, turns these into probabilities, which are averaged."""
+    made = []
+    half = F.pmod(F.xxhash64(F.lit("half"), *[F.col(c) for c in train.columns]), F.lit(halves))
+    for h in range(halves):
+        trees = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="keep"), GBTClassifier(featuresCol="_x", labelCol=label, maxIter=rounds, maxDepth=depth, seed=42)]).fit(train.where(half != h))
+        platt = LogisticRegression(featuresCol="rawPrediction", labelCol=label, probabilityCol="_p", predictionCol="_y", rawPredictionCol="_lr").fit(trees.transform(train.where(half == h)))
+        made.append((trees, platt))
+    return made
 
 
 def predict_risk(model, rows: DataFrame) -> DataFrame:
     """Adds probability, within [0, 1]; where rows have one already it stays unless it is null."""
-    trees, platt = model
     given = rows.withColumnRenamed("probability", "_given")
-    p = F.greatest(F.lit(0.0), F.least(F.lit(1.0), vector_to_array(F.col("_p"))[1]))
+    out = given
+    for k, (trees, platt) in enumerate(model):
+        out = platt.transform(trees.transform(out)).select(*given.columns, *[f"_p{j}" for j in range(k)], vector_to_array(F.col("_p"))[1].alias(f"_p{k}"))
+    p = F.greatest(F.lit(0.0), F.least(F.lit(1.0), sum((F.col(f"_p{k}") for k in range(len(model))), F.lit(0.0)) / len(model)))
     if "_given" in given.columns:
         p = F.coalesce(F.col("_given"), p)
-    out = platt.transform(trees.transform(given))
     return out.select(*[c for c in rows.columns if c != "probability"], p.alias("probability"))
 
 
@@ -110,14 +116,20 @@ def isolation_scores(df: DataFrame, id_: str, features: list[str], trees: int =
     return df.select(id_, *features).mapInArrow(run, f"{id_} {df.schema[id_].dataType.simpleString()}, score double")
 
 
-def select_uncertain(df: DataFrame, id_: str, features: list[str], p: str, clusters: int = 15) -> DataFrame:
-    """Of each k-means cluster the row of most uncertain probability."""
+def select_uncertain(df: DataFrame, id_: str, features: list[str], p: str, clusters: int = 15, most: int | None = None) -> DataFrame:
+    """Of each k-means cluster the row of most uncertain probability; where that gives fewer than `most` rows, the
+    most uncertain of all others fill up (cluster null)."""
     from tidemark.functions.numbers import entropy
 
     assembled = VectorAssembler(inputCols=features, outputCol="_x").transform(df)
     found = KMeans(k=clusters, seed=42, featuresCol="_x", predictionCol="cluster").fit(assembled).transform(assembled)
-    first = Window.partitionBy("cluster").orderBy(F.desc("_h"), id_)
-    return found.withColumn("_h", entropy(F.col(p))).withColumn("_r", F.row_number().over(first)).where("_r = 1").select("cluster", id_, F.col("_h").alias("entropy"))
+    told = found.select("cluster", id_, entropy(F.col(p)).alias("entropy"))
+    best = told.groupBy("cluster").agg(F.max_by(F.struct(id_, "entropy"), F.struct("entropy", (-F.col(id_)).alias("back"))).alias("x")).select("cluster", "x.*")
+    if most is None:
+        return best
+    # a fixed number of rows fills up
+    others = told.join(F.broadcast(best.select(id_)), id_, "left_anti").orderBy(F.desc("entropy"), id_).limit(max(0, most - best.count()))
+    return best.union(others.select(F.lit(None).cast("int").alias("cluster"), id_, "entropy"))
 
 
 def delong(df: DataFrame, p: str, y: str) -> DataFrame:
@@ -151,16 +163,18 @@ def smooth_calibration(df: DataFrame, p: str, y: str, grid: int = 100) -> DataFr
     return smooth.agg((F.sum(F.col("n") * F.abs(F.col("s") - F.col("p"))) / F.first("total")).alias("ece"))
 
 
-def permutation_p(df: DataFrame, p: str, y: str, rounds: int = 200, grid: int = 1000, seed: int = 1) -> DataFrame:
-    """(1 + how often a random labelling has the mean difference or more) / (1 + rounds).
+def permutation_p(df: DataFrame, id_: str, p: str, y: str, rounds: int = 200, blocks: int = 256, seed: int = 1) -> DataFrame:
+    """(1 + how often a permutation of the labels has the mean difference or more) / (1 + rounds).
 
-    Labels are drawn by hash at the observed rate for each row and round; rows are expanded on the executors.
+    In each round the rows of the smallest hashes, as many as there are positives, get the label 1.  Hashes are dealt into blocks,
+    so only the rows of one block of a round meet in a task.
     """
-    rate = df.agg(F.avg(y).alias("rate"), (F.avg(F.when(F.col(y) == 1, F.col(p))) - F.avg(F.when(F.col(y) == 0, F.col(p)))).alias("seen"))
-    drawn = df.withColumn("_id", F.xxhash64(*df.columns)).join(F.broadcast(rate), F.lit(True)).withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
-    u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "_id", "round"), 11).cast("double") * F.lit(2.0**-53)
-    one = u < F.col("rate")
-    diff = drawn.groupBy("round").agg((F.avg(F.when(one, F.col(p))) - F.avg(F.when(~one, F.col(p)))).alias("d"), F.first("seen").alias("seen"))
+    seen = df.agg(F.sum(y).alias("ones"), (F.avg(F.when(F.col(y) == 1, F.col(p))) - F.avg(F.when(F.col(y) == 0, F.col(p)))).alias("seen"))
+    drawn = df.select(id_, p, F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round")).withColumn("u", uniform(F.lit(seed), F.col(id_), F.col("round"))).withColumn("block", F.floor(F.col("u") * blocks))
+    counts = drawn.groupBy("round", "block").agg(F.count("*").alias("n"))
+    before = counts.select("round", "block", F.coalesce(F.sum("n").over(Window.partitionBy("round").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("round", "block").orderBy("u", id_)) + F.col("before")
+    one = F.col("place") <= F.col("ones")
+    placed = drawn.join(before, ["round", "block"]).withColumn("place", place).join(F.broadcast(seen), F.lit(True))
+    diff = placed.groupBy("round").agg((F.avg(F.when(one, F.col(p))) - F.avg(F.when(~one, F.col(p)))).alias("d"), F.first("seen").alias("seen"))
     return diff.agg(((1 + F.count_if(F.col("d") >= F.col("seen"))) / (1 + F.count("*"))).alias("p_value"))
-
-

@@ -26,6 +26,13 @@ def coverage(walked: DataFrame) -> DataFrame:
     return walked.groupBy("flow").agg(F.count("*").alias("packets"), total.alias("total_bytes"), new.alias("reassembled"), F.sum("gap").alias("gap_bytes"), F.bool_or("overlap").alias("has_overlap"), F.bool_or(F.col("gap") > 0).alias("has_gap"), F.round(F.coalesce(F.try_divide(new, total), F.lit(1.0)), 4).alias("coverage"))
 
 
+def payloads(walked: DataFrame, payload: str) -> DataFrame:
+    """(flow, bytes, content) of the new bytes of each flow in order; a flow's payload is put together in one task."""
+    part = F.when(F.col("new_bytes") > 0, F.substring(F.col(payload), -F.col("new_bytes").cast("int"), F.col("new_bytes").cast("int"))).otherwise("")
+    ordered = F.array_sort(F.collect_list(F.struct("seq", "pkt_no", part.alias("part"))))
+    return walked.groupBy("flow").agg(F.sum("new_bytes").alias("bytes"), F.array_join(F.transform(ordered, lambda x: x["part"]), "").alias("content"))
+
+
 def primary(covered: DataFrame) -> DataFrame:
     """The flow of most bytes, the first of equals."""
     return covered.agg(F.max_by("flow", F.struct("total_bytes", (-F.col("flow")).alias("back"))).alias("flow"), F.max("total_bytes").alias("total_bytes"))

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources.shared import shared_dir
+
 
 def all_of(*conditions: Column | None) -> Column:
     """the conditions that are given, together; none given lets every row by."""
@@ -27,6 +29,12 @@ def contains_any(columns: list[str], text: str | None) -> Column | None:
     return reduce(lambda a, b: a | b, [F.coalesce(F.contains(F.lower(c), wanted), F.lit(False)) for c in columns])
 
 
+def one_of(column: str, values: list[str], known: list[str]) -> Column:
+    """a filter by values of a closed set; others are ignored, and with none left every row stays."""
+    wanted = [v for v in values if v in known]
+    return F.col(column).isin(wanted) if wanted else F.lit(True)
+
+
 def numeric_suffix(column: str, prefix: str) -> Column:
     """The number after the prefix, 999999 for other names."""
     return F.when(F.col(column).rlike(f"^{prefix}[0-9]+$"), F.substring(F.col(column), len(prefix) + 1, 18).cast("bigint")).otherwise(999999)
@@ -46,6 +54,26 @@ def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0, most:
     return df.orderBy(*order).offset(max(0, offset)).limit(max(0, min(limit, most)))
 
 
+def placed(df: DataFrame, order: list[Column]) -> DataFrame:
+    """The rows with `place`, their number from 1 in the order, which should be total.
+
+    A sort by ranges puts rows in partitions that follow one another; places are those in a partition and the rows of the
+    partitions before it, of which there are as many as partitions.  The sorted rows are written once, so that both agree.
+    """
+    shared_dir(df.sparkSession)
+    at = df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()).checkpoint()
+    numbered = at.withColumns({"_part": F.shiftrightunsigned("_at", 33), "_at": F.col("_at").bitwiseAND((1 << 33) - 1)})
+    counts = numbered.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return numbered.join(F.broadcast(before), "_part").withColumn("place", F.col("_before") + F.col("_at") + 1).drop("_part", "_at", "_before")
+
+
+def clamped_page(df: DataFrame, order: list[Column], page: int, size: int) -> DataFrame:
+    """The page's rows; a page beyond the last is the last, one before the first is the first."""
+    pages = max(1, -(-df.count() // size))
+    return df.orderBy(*order).offset((min(max(page, 1), pages) - 1) * size).limit(size)
+
+
 def first_by(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """One row of each key."""
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_r = 1").drop("_r")

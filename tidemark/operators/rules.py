@@ -25,6 +25,10 @@ def no(c: Column) -> Column:
     return c.eqNullSafe(F.lit(False))
 
 
+#: When flows are assessed, unless a caller says otherwise: results must not depend on the day of the run.
+AS_OF = "2025-01-01T00:00:00Z"
+
+
 @dataclass
 class Check:
     name: str
@@ -33,8 +37,8 @@ class Check:
     remedy: str
 
 
-def registry(escalated: Column | None = None, private_ca: bool = False) -> list[Check]:
-    """escalated: whether two of the last flows of the protocol had been upgraded."""
+def registry(escalated: Column | None = None, private_ca: bool = False, as_of: str = AS_OF) -> list[Check]:
+    """escalated: whether two of the last flows of the protocol had been upgraded; as_of: the time of the assessment."""
     c = F.col
     ver = F.coalesce(F.when(c("tls.version") == "none", "unknown").otherwise(c("tls.version")), F.lit("unknown"))
     mode = F.coalesce(F.when(c("starttls_mode") == "cleartext", "none").otherwise(c("starttls_mode")), F.lit("none"))
@@ -47,6 +51,7 @@ def registry(escalated: Column | None = None, private_ca: bool = False) -> list[
     stripped = (mode == "stripped") | (yes(c("starttls_advertised")) & (mode == "none") & (ver == "unknown") & ~shook)
     pre, early = c("pre_tls_buffer_len"), yes(c("tls.early_data_offered"))
     chain, broken = "High" if not private_ca else "Medium", no(c("cert.chain_valid"))
+    early_cert = no(c("cert.is_expired")) & yes(F.try_to_timestamp(c("cert.not_before")) > F.lit(as_of).cast("timestamp"))
     leaf, always = yes(c("cert.leaf_present")), F.lit(True)
     escalated = F.lit(False) if escalated is None else escalated
     return [
@@ -61,6 +66,7 @@ def registry(escalated: Column | None = None, private_ca: bool = False) -> list[
         Check("Weak pubkey (<2048 / <P-256)", "NIST SP 800-131A", [(yes((factored & (bits >= 1024) & (bits < 2048)) | (algo.startswith("EC") & (bits < 256))) | (bits.isNull() & yes(c("cert.keysize_weak"))), "High", "short key")], "Use RSA 2048 or P-256"),
         Check("Weak sigalg (SHA1/MD5)", "RFC9155", [(yes(c("cert.sigalg_weak")) | sig.contains("sha1") | sig.contains("md5"), "High", "weak signature")], "Reissue with SHA-256"),
         Check("Certificate expired", "RFC5280", [(yes(c("cert.is_expired")), "Critical", "expired")], "Renew"),
+        Check("Certificate not yet valid", "RFC5280", [(early_cert, "High", "valid only later")], "Correct the clock or reissue"),
         Check("Chain incomplete/self-signed", "RFC5280", [(broken | yes(c("cert.is_self_signed")), chain, "chain not valid or self-signed")], "Serve the whole chain"),
         Check("Hostname mismatch", "RFC7817", [(no(c("cert.san_match")), "High", "name not in certificate")], "Correct the SAN"),
         Check("No forward secrecy", "RFC8446", [(~fs & (kex != "unknown") & (ver == "TLS1.3"), "Medium", "no forward secrecy"), (~fs & (kex != "unknown"), "High", "no forward secrecy")], "Use ECDHE"),
@@ -119,6 +125,12 @@ def top_finding(found: Column) -> Column:
     return F.array_max(ranked)["finding"]
 
 
+def severity_for(check: str) -> Column:
+    """The severity of the first finding whose check or specification this is; null for none."""
+    hit = F.filter("findings", lambda x: (x["check"] == check) | x["spec"].contains(check))
+    return F.try_element_at(hit, F.lit(1))["severity"]
+
+
 def low_confidence(found: Column) -> Column:
     """A13."""
     return F.exists(found, lambda x: F.lower(x["evidence"]).contains("low conf"))

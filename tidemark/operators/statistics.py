@@ -134,6 +134,50 @@ def ecdf(df: DataFrame, id_: str, features: list[str]) -> DataFrame:
 
 
 def stratified(df: DataFrame, stratum: str, id_: str, n: int, seed: int) -> DataFrame:
-    """N of each stratum by hash; a stratum with fewer gives all it has."""
+    """n of each stratum by hash; a stratum with fewer gives all it has."""
     order = F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col(id_).cast("string")), 256)
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(stratum).orderBy(order, id_))).where(F.col("_r") <= n).drop("_r")
+
+
+def filled(df: DataFrame, stratum: str, id_: str, n: int, seed: int) -> DataFrame:
+    """Exactly n of each stratum: a stratum with fewer rows gives each as often as it takes, in the order of the hash."""
+    size = df.groupBy(stratum).agg(F.count("*").alias("_n")).withColumnRenamed(stratum, "_s")
+    chosen = stratified(df, stratum, id_, n, seed)
+    order = F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col(id_).cast("string")), 256)
+    ranked = chosen.withColumn("_r", F.row_number().over(Window.partitionBy(stratum).orderBy(order, id_))).join(F.broadcast(size), F.col(stratum).eqNullSafe(F.col("_s")))
+    times = F.expr(f"({n} - _r) div least(_n, {n})") + 1
+    return ranked.withColumn("_t", F.explode(F.sequence(F.lit(1).cast("long"), times))).drop("_r", "_n", "_s", "_t")
+
+
+def balanced(df: DataFrame, stratum: str, id_: str, n: int, seed: int) -> DataFrame:
+    """N of each stratum; one with fewer rows is an error."""
+    short = df.groupBy(stratum).count().where(F.col("count") < n).first()
+    if short:
+        raise ValueError(f"{stratum} {short[0]!r} has {short[1]} rows, not {n}")
+    return stratified(df, stratum, id_, n, seed)
+
+
+def design_effect(df: DataFrame, group: str, y: str) -> DataFrame:
+    """Icc (from the mean squares between and within groups, not below 0), deff and n_eff; null with one group."""
+    g = df.groupBy(group).agg(F.count("*").alias("n"), F.avg(y).alias("m"), (F.sum(F.col(y) * F.col(y)) - F.count("*") * F.avg(y) * F.avg(y)).alias("w"))
+    between = F.try_divide(F.sum(F.col("n") * F.col("m") ** 2) - F.sum(F.col("n") * F.col("m")) ** 2 / F.sum("n"), F.count("*") - 1)
+    t = g.agg(F.sum("n").alias("n"), F.avg("n").alias("size"), between.alias("b"), F.try_divide(F.sum("w"), F.sum("n") - F.count("*")).alias("w"))
+    icc = F.greatest(F.lit(0.0), F.try_divide(F.col("b") - F.col("w"), F.col("b") + (F.col("size") - 1) * F.col("w")))
+    return t.select(icc.alias("icc"), (1 + (F.col("size") - 1) * icc).alias("deff"), (F.col("n") / (1 + (F.col("size") - 1) * icc)).alias("n_eff"))
+
+
+def gates(metrics: DataFrame, bounds: dict[str, tuple[float | None, float | None]]) -> DataFrame:
+    """(metric, value, broken) of each metric of the one row that is below its least or above its most."""
+    told = []
+    for name, (least, most) in bounds.items():
+        broken = F.when(F.col(name) < least, "below") if least is not None else F.lit(None).cast("string")
+        if most is not None:
+            broken = F.coalesce(broken, F.when(F.col(name) > most, "above"))
+        told.append(F.struct(F.lit(name).alias("metric"), F.round(F.col(name), 9).alias("value"), broken.alias("broken")))
+    return metrics.select(F.explode(F.array(*told)).alias("x")).select("x.*").where("broken is not null")
+
+
+def varying(df: DataFrame, features: list[str]) -> DataFrame:
+    """(feature, varies)."""
+    row = df.agg(*[(F.var_pop(f) > 1e-12).alias(f) for f in features])
+    return row.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, features)), F.array(*features))).alias("feature", "varies"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.schema import SOURCES
 
@@ -47,3 +48,40 @@ def known_or_null(rows: DataFrame, column: str, dimension: DataFrame, key: str)
     """A foreign key that the dimension lacks becomes null."""
     d = dimension.select(F.col(key).alias("_known")).distinct()
     return rows.join(d, F.col(column) == F.col("_known"), "left").withColumn(column, F.col("_known")).drop("_known")
+
+
+def insert_new(current: DataFrame, updates: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """What is there stays; of new rows of one key the first is taken."""
+    rest = [c for c in updates.columns if c not in key]
+    first = updates.groupBy(*key).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("row")).select(*key, "row.*").select(*updates.columns)
+    return current.select(*updates.columns).union(first.join(current.select(*key), key, "left_anti").select(*updates.columns))
+
+
+def replace_table(df: DataFrame, path: str) -> None:
+    """The whole table in one write, whose files appear when all of it is done."""
+    df.write.mode("overwrite").parquet(path)
+
+
+def keep_existing(old: Column, new: Column) -> Column:
+    """Both maps' entries; where both have a key the old one stays."""
+    return F.map_concat(old, F.map_filter(new, lambda k, v: ~F.map_contains_key(old, k)))
+
+
+def sorted_json(fields: dict[str, Column]) -> Column:
+    """A document whose keys are in order."""
+    return F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]))
+
+
+def _finite(c: Column, kind) -> Column:
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
+    if isinstance(kind, T.StructType):
+        return F.when(c.isNotNull(), F.struct(*[_finite(c.getField(f.name), f.dataType).alias(f.name) for f in kind]))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: _finite(x, kind.elementType))
+    return F.transform_values(c, lambda _, v: _finite(v, kind.valueType)) if isinstance(kind, T.MapType) else c
+
+
+def finite(df: DataFrame) -> DataFrame:
+    """NaN and infinities are null, in columns and in whatever they hold."""
+    return df.select(*[_finite(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema])

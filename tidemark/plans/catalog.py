@@ -1,6 +1,6 @@
 """All queries of the engine."""
 
-from tidemark.plans import evaluation, flows, models, more, relational, security, streams  # noqa: F401
+from tidemark.plans import evaluation, flows, models, more, population, relational, security, streams, surface  # noqa: F401
 from tidemark.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -96,11 +96,9 @@ def wilson_interval(spark, sf):
     return a.select("l_returnflag", F.round(low, 9).alias("low"), F.round(high, 9).alias("high"))
 
 
-@query(f"with {_SCORED}, g as (select source, count(*) as n, avg(y) as m from s group by 1), t as (select count(*) as k, sum(n) as n, avg(n) as size from g) select round(1 + (size - 1) * 0.1, 9) as deff, round(n / (1 + (size - 1) * 0.1), 6) as n_eff from t")
+@query(f"with {_SCORED}, g as (select source, count(*) as n, avg(y) as m, sum(y * y) - count(*) * avg(y) * avg(y) as w from s group by 1), t as (select count(*) as k, sum(n) as n, avg(n) as size, (sum(n * m * m) - pow(sum(n * m), 2) / sum(n)) / (count(*) - 1) as msb, sum(w) / (sum(n) - count(*)) as msw from g), i as (select *, greatest(0, (msb - msw) / (msb + (size - 1) * msw)) as icc from t) select round(icc, 9) as icc, round(1 + (size - 1) * icc, 9) as deff, round(n / (1 + (size - 1) * icc), 6) as n_eff from i")
 def design_effect(spark, sf):
-    g = scored(spark, sf).groupBy("source").agg(F.count("*").alias("n")).agg(F.sum("n").alias("n"), F.avg("n").alias("size"))
-    deff = 1 + (F.col("size") - 1) * 0.1
-    return g.select(F.round(deff, 9).alias("deff"), F.round(F.col("n") / deff, 6).alias("n_eff"))
+    return statistics.design_effect(scored(spark, sf), "source", "y").select(F.round("icc", 9).alias("icc"), F.round("deff", 9).alias("deff"), F.round("n_eff", 6).alias("n_eff"))
 
 
 #: Six label functions over orders: 1, 0, or -1 for no opinion.
@@ -148,13 +146,13 @@ def majority_vote(spark, sf):
     return labelling.majority_vote(label_matrix(spark, sf), _FUNCTIONS).select("k", "vote")
 
 
-_TAILS = "f as (" + " union all ".join(f"select vec_id, {i} as f, cast(embedding[{i}] as double) as x from embeddings" for i in range(1, 5)) + "), sk as (select f, (sum(pow(x - mu, 3)) / count(*)) / pow(sum(pow(x - mu, 2)) / count(*), 1.5) as skew from (select *, avg(x) over (partition by f) as mu from f) group by 1), t as (select vec_id, f.f, -ln(cume_dist() over (partition by f.f order by x)) as l, -ln(cume_dist() over (partition by f.f order by x desc)) as r from f)"
+_TAILS = "f as (" + " union all ".join(f"select vec_id, {i} as f, cast(embedding[{i}] as double) as x from embeddings" for i in range(1, 65)) + "), sk as (select f, (sum(pow(x - mu, 3)) / count(*)) / pow(sum(pow(x - mu, 2)) / count(*), 1.5) as skew from (select *, avg(x) over (partition by f) as mu from f) group by 1), t as (select vec_id, f.f, -ln(cume_dist() over (partition by f.f order by x)) as l, -ln(cume_dist() over (partition by f.f order by x desc)) as r from f)"
 
 
 @query(f"with {_TAILS} select vec_id, round(greatest(sum(l), sum(r), sum(case when skew < 0 then l else r end)), 6) as ecod from t join sk using (f) group by 1")
 def ecod_scores(spark, sf):
-    v = read(spark, sf, "embeddings").select("vec_id", *[F.element_at("embedding", i).cast("double").alias(f"x{i}") for i in range(1, 5)])
-    return statistics.ecdf(v, "vec_id", ["x1", "x2", "x3", "x4"]).select("vec_id", F.round("ecod", 6).alias("ecod"))
+    v = read(spark, sf, "embeddings").select("vec_id", *[F.element_at("embedding", i).cast("double").alias(f"x{i}") for i in range(1, 65)])
+    return statistics.ecdf(v, "vec_id", [f"x{i}" for i in range(1, 65)]).select("vec_id", F.round("ecod", 6).alias("ecod"))
 
 
 @query("select label, vec_id from (select label, vec_id, row_number() over (partition by label order by sha256('7|' || vec_id), vec_id) as r from embeddings) where r <= 25")
@@ -162,6 +160,11 @@ def stratified_sample(spark, sf):
     return statistics.stratified(read(spark, sf, "embeddings").select("label", "vec_id"), "label", "vec_id", 25, 7)
 
 
+@query("with c as (select label, vec_id, row_number() over (partition by label order by sha256('7|' || vec_id), vec_id) as r, count(*) over (partition by label) as n from embeddings), t as (select unnest(range(0, 700)) as t) select label, vec_id from c join t on r + t.t * least(n, 700) <= 700 where r <= 700")
+def stratified_sample_filled(spark, sf):
+    return statistics.filled(read(spark, sf, "embeddings").select("label", "vec_id"), "label", "vec_id", 700, 7)
+
+
 @query("select y, pred, count(*) as n from (select quality as y, case when doc_id % 3 = 0 then 1 - quality else quality end as pred from labels) group by 1, 2")
 def confusion_counts(spark, sf):
     q = F.col("quality")

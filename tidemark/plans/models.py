@@ -1,4 +1,4 @@
-"""Models and their tests (N03, N15, N16, N23, N36-N41); without SQL unless they are closed forms."""
+"""Models and their tests (N03, N15, N16, N23, N36, N37, N40, N41); without SQL unless they are closed forms."""
 
 from __future__ import annotations
 
@@ -20,20 +20,20 @@ def _rows(spark, sf):
 
 @query()
 def risk_model_group_folds(spark, sf):
-    rows = _rows(spark, sf).withColumn("fold", learning.group_fold("custkey", 2))
-    return learning.cross_predict(rows, _FEATURES, "y", "fold", 2).select("flow_id", "fold", "y", "probability")
+    rows = _rows(spark, sf).withColumn("fold", learning.group_fold("custkey", 3))
+    return learning.cross_predict(rows, _FEATURES, "y", "fold", 3).select("flow_id", "fold", "y", "probability")
 
 
 @query()
 def isolation_forest(spark, sf):
-    v = read(spark, sf, "embeddings").select("vec_id", *[F.element_at("embedding", i).cast("double").alias(f"x{i}") for i in range(1, 9)])
-    return learning.isolation_scores(v, "vec_id", [f"x{i}" for i in range(1, 9)])
+    v = read(spark, sf, "embeddings").select("vec_id", *[F.element_at("embedding", i).cast("double").alias(f"x{i}") for i in range(1, 65)])
+    return learning.isolation_scores(v, "vec_id", [f"x{i}" for i in range(1, 65)])
 
 
 @query()
 def kmeans_entropy_select(spark, sf):
-    v = read(spark, sf, "embeddings").select("vec_id", *[F.element_at("embedding", i).cast("double").alias(f"x{i}") for i in range(1, 9)], ((F.col("vec_id") % 101) / 100.0).alias("p"))
-    return learning.select_uncertain(v, "vec_id", [f"x{i}" for i in range(1, 9)], "p")
+    v = read(spark, sf, "embeddings").select("vec_id", *[F.element_at("embedding", i).cast("double").alias(f"x{i}") for i in range(1, 65)], ((F.col("vec_id") % 101) / 100.0).alias("p"))
+    return learning.select_uncertain(v, "vec_id", [f"x{i}" for i in range(1, 65)], "p", most=25)
 
 
 @query(f"with {_SCORED}, a as (select s.doc_id, (select avg(case when t.p < s.p then 1.0 when t.p = s.p then 0.5 else 0.0 end) from s t where t.y = 0) as v from s where y = 1), b as (select s.doc_id, (select avg(case when t.p > s.p then 1.0 when t.p = s.p then 0.5 else 0.0 end) from s t where t.y = 1) as v from s where y = 0) select round((select avg(v) from a), 9) as auc, round((select var_samp(v) / count(*) from a) + (select var_samp(v) / count(*) from b), 12) as variance")
@@ -46,6 +46,6 @@ def ece_smooth(spark, sf):
     return learning.smooth_calibration(scored(spark, sf), "p", "y").select(F.round("ece", 9).alias("ece"))
 
 
-@query()
+@query(f"with {_SCORED}, r as (select doc_id, p, t.r, ('0x' || substr(sha256('1|' || doc_id || '|' || t.r), 1, 8))::bigint as u from s, (select unnest(range(1, 201)) as r) t), o as (select r, p, row_number() over (partition by r order by u, doc_id) <= (select sum(y) from s) as one from r), d as (select r, avg(case when one then p end) - avg(case when not one then p end) as d from o group by 1) select (1 + count(*) filter (where d >= (select avg(case when y = 1 then p end) - avg(case when y = 0 then p end) from s))) / (1 + count(*)) as p_value from d")
 def permutation_p(spark, sf):
-    return learning.permutation_p(scored(spark, sf).select("doc_id", "p", "y"), "p", "y", 200)
+    return learning.permutation_p(scored(spark, sf), "doc_id", "p", "y", 200)

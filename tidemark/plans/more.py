@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import hashing, numbers
 from tidemark.operators import labelling, rules, statistics
+from tidemark.operators import relational as rel
 from tidemark.plans.evaluation import _FUNCTIONS, _LABELS, _LONG, _SCORED, label_matrix, scored
 from tidemark.plans.registry import query
-from tidemark.plans.security import flows_cte
+from tidemark.plans.security import _CHECKS, flows_cte
 from tidemark.sources.tables import FLOWS, read, verdicts
 
+#: Vectors that are asked about at once.
+QUERY_BLOCK = 20_000
+
 
 @query("select page_id, coalesce(try_cast(nullif(regexp_extract(url, ':([0-9]+)', 1), '') as integer), case when url like 'https:%' then 443 else 80 end) as port from pages")
 def url_port_extract(spark, sf):
@@ -66,14 +72,18 @@ def upgrade_verdicts(spark, sf):
     return verdicts(spark, sf).select("flow_id", v.alias("verdict"))
 
 
-@query("select a.vec_id, round(min(sqrt(list_sum(list_transform(range(1, 9), lambda i: pow(a.embedding[i] - b.embedding[i], 2))))), 5) as distance from embeddings a, embeddings b where a.vec_id % 20 = 0 and a.vec_id <> b.vec_id group by 1")
+@query("select a.vec_id, round(min(sqrt(list_sum(list_transform(range(1, 65), lambda i: pow(a.embedding[i] - b.embedding[i], 2))))), 5) as distance from embeddings a, embeddings b where a.vec_id % 20 = 0 and a.vec_id <> b.vec_id group by 1")
 def nearest_distance(spark, sf):
-    v = read(spark, sf, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double")).alias("x"))
+    v = read(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("x"))
     asked = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), F.col("x").alias("y"))
     apart = F.sqrt(F.aggregate(F.zip_with("x", "y", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d))
-    # a stated set of queries against all rows
-    pairs = v.join(F.broadcast(asked), F.col("vec_id") != F.col("q"))
-    return pairs.groupBy(F.col("q").alias("vec_id")).agg(F.round(F.min(apart), 5).alias("distance"))
+    # a stated set of queries against all rows, in blocks of a size that may be broadcast
+    blocks = -(-asked.count() // QUERY_BLOCK) or 1
+    found = []
+    for b in range(blocks):
+        some = asked.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b)
+        found.append(v.join(F.broadcast(some), F.col("vec_id") != F.col("q")).groupBy(F.col("q").alias("vec_id")).agg(F.round(F.min(apart), 5).alias("distance")))
+    return reduce(DataFrame.union, found)
 
 
 @query(f"with {_SCORED}, b as (select greatest(1, least(10, ceil(p * 10))) as bin, count(*) as n, avg(y) as acc, avg(p) as conf from s group by 1), e as (select sum(n * abs(acc - conf)) / sum(n) as ece, sum(n) as n from b) select round(greatest(0, ece - least(0.15 * sqrt(10) * pow(n, -1.0 / 3), 0.8 * ece)), 9) as ece from e")
@@ -83,24 +93,27 @@ def ece_debiased(spark, sf):
     return e.select(F.round(F.greatest(F.lit(0.0), F.col("ece") - F.least(0.15 * F.sqrt(F.lit(10.0)) * F.pow("n", F.lit(-1.0 / 3)), 0.8 * F.col("ece"))), 9).alias("ece"))
 
 
-@query(f"with {_LABELS}, {_LONG}, f as (select k, f, v, k % 5 as fold from u), w as (select fold, sum(2 * v - 1) as t from f group by 1) select (k % 5) as fold, count(*) as n, cast(sum(case when t > 0 then 1 else 0 end) as bigint) as positive from (select k, sum(2 * v - 1) as t from u group by 1) x group by 1")
-def vote_by_fold(spark, sf):
-    m = labelling.majority_vote(label_matrix(spark, sf), _FUNCTIONS)
-    voted = m.where(F.greatest(*_FUNCTIONS) > -1)
-    return voted.groupBy((F.col("k") % 5).alias("fold")).agg(F.count("*").alias("n"), F.sum((F.col("vote") == 1).cast("int")).alias("positive"))
+_TRAINED = "m0 as (select *, cast(floor((row_number() over (order by k) - 1) * 5 / count(*) over ()) as integer) as fold from m), u as (" + " union all ".join(f"select k, fold, '{f}' as f, {f} as v from m0 where {f} <> -1" for f in _FUNCTIONS) + "), j as (select t.out, x.f as a, y.f as b, count(*) as n, avg(cast((2 * x.v - 1) * (2 * y.v - 1) as double)) as e from (select unnest(range(5)) as out) t join u x on x.fold <> t.out join u y on x.k = y.k and x.f < y.f group by 1, 2, 3), p as (select out, a, b, e from j where n >= 10 and e <> 0 union all select out, b, a, e from j where n >= 10 and e <> 0), al as (select ab.out, ab.a as name, median(greatest(0.51, least(0.99, 0.5 * (1 + sqrt(abs(ab.e * ac.e / bc.e)))))) as alpha from p ab join p ac on ab.out = ac.out and ab.a = ac.a and ab.b < ac.b join p bc on bc.out = ab.out and bc.a = ab.b and bc.b = ac.b group by 1, 2)"
+
 
+@query(f"with {_LABELS}, {_TRAINED}, w as (select u.k, round(sum((2 * v - 1) * greatest(-2, least(2, ln(coalesce(alpha, 0.6) / (1 - coalesce(alpha, 0.6)))))), 9) as t from u left join al on al.out = u.fold and al.name = u.f group by 1) select m0.k, m0.fold, case when t > 0 then 1 when t < 0 then 0 else -1 end as vote from m0 left join w on w.k = m0.k")
+def vote_cross_fit(spark, sf):
+    """Contiguous folds by key; each fold is voted on with accuracies from the others."""
+    m = statistics.running(label_matrix(spark, sf).withColumn("one", F.lit(1)), "k", ["one"], [])
+    folded = m.withColumn("fold", F.floor((F.col("upto_one") - 1) * 5 / F.col("all_one")).cast("int"))
+    return labelling.cross_fit(folded, _FUNCTIONS, "fold", 5).select("k", "fold", "vote")
 
-@query("select c_custkey, lpad(substr(c_name, 10), 3, '0') as lexical from customer order by lexical, c_custkey limit 30")
+
+@query("select c_custkey, lexical, row_number() over (order by lexical, c_custkey) as place from (select c_custkey, lpad(substr(c_name, 10), 3, '0') as lexical from customer)")
 def lexical_suffix_order(spark, sf):
     key = F.lpad(F.substring("c_name", 10, 100), 3, "0")
-    return read(spark, sf, "customer").select("c_custkey", key.alias("lexical")).orderBy("lexical", "c_custkey").limit(30)
+    return rel.placed(read(spark, sf, "customer").select("c_custkey", key.alias("lexical")), [F.col("lexical"), F.col("c_custkey")])
 
 
-@query("select vec_id, row_number() over (order by sha256(cast(vec_id as varchar)), vec_id) as place from embeddings qualify place <= 50")
+@query("select vec_id, row_number() over (order by sha256(cast(vec_id as varchar)), vec_id) as place from embeddings")
 def hashed_order(spark, sf):
     order = F.sha2(F.col("vec_id").cast("string"), 256)
-    top = read(spark, sf, "embeddings").select("vec_id", order.alias("h")).orderBy("h", "vec_id").limit(50)
-    return top.withColumn("place", F.row_number().over(Window.orderBy("h", "vec_id"))).drop("h")
+    return rel.placed(read(spark, sf, "embeddings").select("vec_id"), [order, F.col("vec_id")])
 
 
 @query("with w as (select n_nationkey as i, 1 + n_nationkey % 7 as weight from nation), c as (select i, sum(weight) over (order by i) - weight as low, sum(weight) over (order by i) as high, sum(weight) over () as total from w), d as (select range as draw, ('0x' || substr(sha256('5|' || range), 1, 8))::bigint / 4294967296.0 as u from range(0, 500)) select draw, i from d join c on u * total >= low and u * total < high")
@@ -112,12 +125,13 @@ def weighted_draws(spark, sf):
     return d.join(F.broadcast(c), (F.col("u") * F.col("total") >= F.col("low")) & (F.col("u") * F.col("total") < F.col("high"))).select("draw", "i")
 
 
-@query(f"{flows_cte()} select check_name, flow_id, severity from findings where port = 25 and k % 50 = 0 union all select c.check_name, l.flow_id, 'none' from levels l, (select distinct check_name from findings) c where l.port = 25 and l.k % 50 = 0 and not exists (select 1 from findings f where f.k = l.k and f.check_name = c.check_name)")
+_NAMES = ", ".join(f"('{name}')" for name, *_ in _CHECKS)
+
+
+@query(f"{flows_cte()}, names(check_name) as (values {_NAMES}) select c.check_name, l.flow_id, coalesce(f.severity, 'none') as severity from levels l cross join names c left join findings f on f.k = l.k and f.check_name = c.check_name")
 def check_matrix(spark, sf):
-    a = rules.assess(verdicts(spark, sf))
-    names = a.select(F.explode("findings").alias("f")).select(F.col("f.check").alias("check_name")).distinct()
-    some = a.where("port = 25 and k % 50 = 0").select("flow_id", "findings")
-    # the checks are a fixed dimension of some two dozen rows
-    grid = some.join(F.broadcast(names), F.lit(True))
-    hit = F.try_element_at(F.filter("findings", lambda x: x["check"] == F.col("check_name")), F.lit(1))
-    return grid.select("check_name", "flow_id", F.coalesce(hit["severity"], F.lit("none")).alias("severity"))
+    """Every flow by every check of the registry, a fixed list, silent ones too."""
+    by_name = F.map_from_entries(F.transform("findings", lambda f: F.struct(f["check"], f["severity"])))
+    told = rules.assess(verdicts(spark, sf)).select("flow_id", by_name.alias("by_name"))
+    names = F.array(*[F.lit(k.name) for k in rules.registry()])
+    return told.select("flow_id", "by_name", F.explode(names).alias("check_name")).select("check_name", "flow_id", F.coalesce(F.try_element_at("by_name", F.col("check_name")), F.lit("none")).alias("severity"))

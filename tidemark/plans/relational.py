@@ -22,9 +22,9 @@ def customers_search(spark, sf):
     return read(spark, sf, "customer").where(rel.contains_any(["c_name", "c_mktsegment"], " 00012 ")).select("c_custkey", "c_name")
 
 
-@query("select p_partkey, p_brand from part order by case when regexp_matches(p_brand, '^Brand#[0-9]+$') then cast(substr(p_brand, 7) as bigint) else 999999 end desc, p_brand, p_partkey limit 40")
+@query("select p_partkey, p_brand, row_number() over (order by case when regexp_matches(p_brand, '^Brand#[0-9]+$') then cast(substr(p_brand, 7) as bigint) else 999999 end desc, p_brand, p_partkey) as place from part")
 def parts_numeric_suffix_order(spark, sf):
-    return rel.page(read(spark, sf, "part").select("p_partkey", "p_brand"), [rel.numeric_suffix("p_brand", "Brand#").desc(), F.col("p_brand"), F.col("p_partkey")], 40)
+    return rel.placed(read(spark, sf, "part").select("p_partkey", "p_brand"), [rel.numeric_suffix("p_brand", "Brand#").desc(), F.col("p_brand"), F.col("p_partkey")])
 
 
 @query("select * from (select o_orderkey, o_orderstatus from orders order by o_orderkey limit 100) where o_orderstatus = 'F'")

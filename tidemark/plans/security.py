@@ -23,6 +23,7 @@ _CHECKS = [
     ("Weak pubkey (<2048 / <P-256)", "'High'", "(algo = 'RSA' and bits >= 1024 and bits < 2048) or (algo = 'EC' and bits < 256)"),
     ("Weak sigalg (SHA1/MD5)", "'High'", "sigalg_weak or sigalg like 'sha1%'"),
     ("Certificate expired", "'Critical'", "expired"),
+    ("Certificate not yet valid", "'High'", "expired = false and try_cast(not_before as timestamptz) > timestamptz '2025-01-01 00:00:00+00'"),
     ("Chain incomplete/self-signed", "'High'", "chain_valid = false or self_signed = true"),
     ("Hostname mismatch", "'High'", "san_match = false"),
     ("No forward secrecy", "case when version = 'TLS1.3' then 'Medium' else 'High' end", "not fs and kex <> 'unknown'"),
@@ -99,7 +100,9 @@ def severity_matrix_pivot(spark, sf):
 @query(f"{flows_cte()} select check_name, port, severity, count(*) as n from findings group by cube(check_name, port, severity)")
 def findings_cube(spark, sf):
     found = rules.assess(verdicts(spark, sf)).select("port", F.explode("findings").alias("f")).select(F.col("f.check").alias("check_name"), "port", F.col("f.severity").alias("severity"))
-    return found.cube("check_name", "port", "severity").agg(F.count("*").alias("n"))
+    # the cube is over counts, some hundred rows, not over findings
+    counts = found.groupBy("check_name", "port", "severity").agg(F.count("*").alias("n"))
+    return counts.cube("check_name", "port", "severity").agg(F.sum("n").alias("n"))
 
 
 @query(f"with flows as ({FLOWS}) select port, starttls_mode, count(*) filter (where starttls_mode = 'upgrade' and handshake) as upgraded, count(*) filter (where not advertised) as never_offered, count(*) as total from flows group by rollup(port, starttls_mode)")

@@ -40,6 +40,7 @@ select a.*, version in ('TLS1.0', 'TLS1.1') as deprecated, version <> 'unknown'
   when cipher_suite like '%GCM%' or cipher_suite like '%POLY1305%' then 'strong' else 'medium' end as strength,
  kex in ('ECDHE', 'DHE') or version = 'TLS1.3' as fs,
  case when leaf then (k * 37) % 400 - 20 end as days, case when leaf then (k * 37) % 400 < 20 end as expired,
+ case when leaf then case when k % 17 = 0 then '2031-01-05T00:00:00Z' when k % 19 = 0 then 'unknown' else '2019-06-01T00:00:00Z' end end as not_before,
  case when leaf then k % 13 = 0 end as self_signed, case when leaf then k % 6 <> 0 end as chain_valid, case when leaf then 1 + k % 5 end as chain_length,
  case when leaf then k % 8 <> 0 end as san_match, case when leaf then case when k % 3 = 1 then 'EC' else 'RSA' end end as algo,
  case when leaf then case when k % 3 = 1 then case when k % 2 = 0 then 256 else 224 end when k % 7 = 0 then 512 when k % 7 = 1 then 1024 else 2048 end end as bits,
@@ -61,7 +62,7 @@ def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("ja4_rarity"), F.col("early_offered").alias("early_data_offered"), F.col("early_accepted").alias("early_data_accepted"), F.col("psk_offered"), F.col("ticket_age"), F.col("ech").alias("ech_outer_present"), F.col("handshake").alias("handshake_success"),
     )
     cert = F.struct(
-        F.col("leaf").alias("leaf_present"), F.col("opaque").alias("is_tls13_opaque"), F.col("days").alias("days_to_expiry"), F.col("expired").alias("is_expired"), F.col("self_signed").alias("is_self_signed"),
+        F.col("leaf").alias("leaf_present"), F.col("opaque").alias("is_tls13_opaque"), F.col("not_before"), F.col("days").alias("days_to_expiry"), F.col("expired").alias("is_expired"), F.col("self_signed").alias("is_self_signed"),
         F.col("chain_valid"), F.col("chain_length"), F.col("san_match"), F.col("algo").alias("pubkey_algo"), F.col("bits").alias("pubkey_bits"), F.col("sigalg"), F.col("sigalg_weak"), (F.col("bits") < 2048).alias("keysize_weak"),
     )
     return a.select("k", "flow_id", "custkey", "seen_at", "port", "app_protocol", "starttls_mode", F.col("advertised").alias("starttls_advertised"), F.col("pre_len").alias("pre_tls_buffer_len"), F.col("injection").alias("pre_tls_buffer_injection_possible"), tls.alias("tls"), cert.alias("cert"))

@@ -58,3 +58,15 @@ def violation():
     detail = ["not_before", "not_after", "days_to_expiry", "is_expired", "is_self_signed", "chain_length", "chain_valid", "san_match", "pubkey_algo", "pubkey_bits", "sigalg", "sigalg_weak", "keysize_weak", "ocsp_must_staple", "crl_unknown_reason"]
     told = F.coalesce(*[c(f"cert.{d}").cast("string") for d in detail]).isNotNull() | c("cert.leaf_present")
     return found.when(c("cert.is_tls13_opaque") & told, "opaque certificate with details")
+
+
+def csv_rows(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A CSV file with a header line; columns are taken by the schema."""
+    return spark.read.csv(path, schema=schema, header=True)
+
+
+def documents_of(rows: DataFrame, column: str, schema: str) -> DataFrame:
+    """Adds `doc` from JSON text; text that is a JSON string of a document is read once more, what is malformed goes."""
+    once = F.when(F.startswith(F.col(column), F.lit('"')), F.get_json_object(F.concat(F.lit('{"x":'), F.col(column), F.lit("}")), "$.x")).otherwise(F.col(column))
+    parsed = rows.withColumn("doc", F.from_json(once, f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
+    return parsed.where("doc is not null and doc._bad is null").withColumn("doc", F.col("doc").dropFields("_bad"))

@@ -6,12 +6,13 @@ ends, which is how tests and batch-like jobs use them.  Checkpoints are in the s
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+
+from tidemark.sources.shared import shared_dir
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -28,8 +29,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="stream-")
-    return f"{base}/stream-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def drain(stream: DataFrame, mode: str) -> DataFrame:
@@ -92,3 +92,22 @@ def escalations(stream: DataFrame, keep: int = 10, least: int = 2) -> DataFrame:
         yield pd.DataFrame(found, columns=["user_id", "event_id", "escalated"])
 
     return stream.select("user_id", "event_id", "event_type", "at").groupBy("user_id").applyInPandasWithState(step, ESCALATED, "recent array<int>", "append", GroupStateTimeout.NoTimeout)
+
+
+def refresh(stream: DataFrame, summary, keys: list[str], sums: list[str]) -> DataFrame:
+    """An aggregate table kept by a stream of changes; a batch's changes make one refresh.
+
+    Each batch is added to the table of the batch before it and written under its own number, so a batch that runs again replaces
+    what it had left.
+    """
+    spark, out = stream.sparkSession, folder(stream.sparkSession)
+
+    def put(batch: DataFrame, number: int) -> None:
+        rows = summary(batch)
+        if number:
+            rows = rows.unionByName(batch.sparkSession.read.parquet(f"{out}/view={number - 1}")).groupBy(*keys).agg(*[F.sum(s).alias(s) for s in sums])
+        rows.write.mode("overwrite").parquet(f"{out}/view={number}")
+
+    query = stream.writeStream.option("checkpointLocation", f"{out}/state").trigger(availableNow=True).foreachBatch(put).start()
+    query.awaitTermination()
+    return spark.read.parquet(f"{out}/view={query.lastProgress.batchId}" if query.lastProgress else f"{out}/view=0")
