@@ -8,6 +8,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.sources.shared import shared_dir
+
 ABSTAIN = -1
 
 
@@ -54,7 +56,12 @@ def majority_vote(labels: DataFrame, functions: list[str]) -> DataFrame:
 
 
 def cross_fit(labels: DataFrame, functions: list[str], fold: str, folds: int) -> DataFrame:
-    """Weighted votes of each fold's rows, with accuracies from the rows of the other folds."""
+    """Weighted votes of each fold's rows, with accuracies from the rows of the other folds.
+
+    Labels are written once and read by all folds.
+    """
+    shared_dir(labels.sparkSession)
+    labels = labels.checkpoint()
     voted = [weighted_vote(labels.where(F.col(fold) == f), functions, accuracies(agreements(labels.where(F.col(fold) != f), functions))) for f in range(folds)]
     return reduce(DataFrame.union, voted)
 

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.hashing import uniform
+from tidemark.sources.shared import shared_dir
 
 
 def group_fold(group: str, folds: int, seed: int = 0) -> Column:
@@ -48,7 +49,9 @@ def predict_risk(model, rows: DataFrame) -> DataFrame:
 
 
 def cross_predict(rows: DataFrame, features: list[str], label: str, fold: str, folds: int) -> DataFrame:
-    """Each fold's rows by a model of the other folds."""
+    """Each fold's rows by a model of the other folds.  Rows are written once, as every round of every model reads them."""
+    shared_dir(rows.sparkSession)
+    rows = rows.checkpoint()
     parts = [predict_risk(fit_risk(rows.where(F.col(fold) != f), features, label), rows.where(F.col(fold) == f)) for f in range(folds)]
     whole = parts[0]
     for p in parts[1:]:
