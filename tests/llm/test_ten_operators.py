@@ -597,6 +597,28 @@ def test_jaccard(spark, docs):
         assert chosen.columns == df.columns
 
 
+@pytest.mark.parametrize("percent", [80, 90])
+def test_linked_sets_meet_in_a_block(spark, percent):
+    from pyspark.sql import functions as F
+
+    rng, t, rows = np.random.default_rng(percent), percent / 100, []
+    for _ in range(1500):
+        n = int(rng.integers(1, 200))
+        base = sorted(rng.choice(400, n, replace=False).tolist())
+        other = sorted({*(x for x in base if rng.random() > (1 - t) * 0.6), *rng.choice(400, int(rng.integers(0, 1 + n * (1 - t)))).tolist()})
+        both = set(base) & set(other)
+        if both and len(both) >= t * len(set(base) | set(other)):
+            shared = int(rng.choice(sorted(both)))
+            rows.append((len(base), base.index(shared), len(other), other.index(shared)))
+    assert len(rows) > 300
+    df = spark.createDataFrame(rows, "a int, i int, b int, j int")
+    blocks = lambda n, k: jaccard.list_blocks(F.col(n), F.col(k), percent)
+    assert df.where(~F.arrays_overlap(blocks("a", "i"), blocks("b", "j"))).count() == 0
+    # and far positions are skipped
+    far = spark.createDataFrame([(100, 0, 100, 60)], "a int, i int, b int, j int")
+    assert far.where(F.arrays_overlap(blocks("a", "i"), blocks("b", "j"))).count() == 0
+
+
 def test_jaccard_odd(odd, nothing):
     got = jaccard.similar(odd).collect()
     assert len(got) == odd.count() and all(r.component_id == r.doc_id for r in got if r.n_shingles == 0)

@@ -4,7 +4,8 @@
     common last, the rarest words first.  Any order gives right results; a good one gives short lists.
 2.  Documents with the same set are one node.  Of a set of n, the first n - ceil(t n) + 1 n-grams in that order are posted;
     two sets of a Jaccard similarity of t or more share one of these.  Lists of one node are dropped.
-3.  A list is cut into blocks by set size, each of which overlaps with the next, so sets whose sizes rule out a link
+3.  A list is cut into blocks by set size and by the position that its n-gram has in a set, each of which overlaps with the
+    next, so sets whose sizes or positions rule out a link are skipped by blocks and
     don't meet.  In a block the set with the foremost position is the pivot: fewest of its n-grams are its own.  Lists thus
     become groups around pivots.  A group is cut into families: every set has a bitmap in which each n-gram flips one bit,
     and the bits in which two bitmaps differ are a metric that is never more than what their sets differ in.  A set beyond
@@ -27,7 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm._arrow import groups, keep, pieces, prepare
@@ -177,6 +178,27 @@ def read_sets(docs: DataFrame, size: int, percent: int, model: tuple) -> DataFra
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n bigint, node bigint, first array<bigint>, bitmap binary")
 
 
+def list_blocks(n: Column, position: Column, percent: int) -> Column:
+    """The blocks (struct size, place) of a list that a set of n with the list's n-gram at this position stands in: four of them.
+
+    Two sets of sizes a and b that link, t being the similarity, differ in size by a factor of t at most, and the n-gram stands so
+    that their values of 2 * position - n differ by (1 - t) / (1 + t) * (a + b) at most: before the n-gram they share no more
+    than the lesser position, after it no more than the lesser rest.  Blocks of these widths overlap with the next, so such
+    sets meet in one, and others are skipped block by block.
+    """
+    t = percent / 100
+    wide = float(-np.log(t))
+    size = F.floor(F.log(n) / wide)
+    z = 2.0 * position - n
+
+    def places(s: Column) -> Column:
+        most = F.exp((s + 1) * wide)
+        place = F.floor(z / (most * (2 * (1 - t) / (1 + t)) + 1e-6))
+        return F.array(F.struct(s.alias("size"), place.alias("place")), F.struct(s.alias("size"), (place + 1).alias("place")))
+
+    return F.concat(places(size), places(size + 1))
+
+
 def identity(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     """A hash of each set that does not depend on the order of its n-grams."""
     sums = np.zeros(len(h) + 1, U)
@@ -294,8 +316,7 @@ def similar(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     posts = read.select("node", "n", F.posexplode("first").alias("position", "gram"))
     all_of = Window.partitionBy("gram")
     met = posts.withColumn("low", F.min("node").over(all_of)).withColumn("high", F.max("node").over(all_of)).where("low <> high")
-    block = F.floor(F.log("n") / float(-np.log(percent / 100)))
-    met = keep(met.dropDuplicates(["gram", "node"]).select("gram", "node", "position", F.explode(F.array(block, block + 1)).alias("block")))
+    met = keep(met.dropDuplicates(["gram", "node"]).select("gram", "node", "position", F.explode(list_blocks(F.col("n"), F.col("position"), percent)).alias("block")))
     front = F.struct("position", "node")
     lists = met.groupBy("gram", "block").agg(F.min_by("node", front).alias("pivot"), F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
     pairs = met.join(lists, ["gram", "block"]).select("pivot", "node").distinct()
