@@ -39,6 +39,8 @@ from tidemark.llm.components import components
 SKETCH, FILTER = 1 << 18, 1 << 23
 #: Link distances from its leader within which a set leads no family of its own.
 REACH = 3
+#: Numbers of places of a size's blocks, of which two divided by the distance from 1 to the similarity are in use.
+BLOCKS = 1 << 20
 #: Words of bitmaps up to which all of a group's are compared with each other first.
 PAIRED = 1 << 21
 
@@ -179,7 +181,7 @@ def read_sets(docs: DataFrame, size: int, percent: int, model: tuple) -> DataFra
 
 
 def list_blocks(n: Column, position: Column, percent: int) -> Column:
-    """The blocks (struct size, place) of a list that a set of n with the list's n-gram at this position stands in: four of them.
+    """The blocks (numbers made of a size and a place) of a list that a set of n with the list's n-gram at this position stands in: four of them.
 
     Two sets of sizes a and b that link, t being the similarity, differ in size by a factor of t at most, and the n-gram stands so
     that their values of 2 * position - n differ by (1 - t) / (1 + t) * (a + b) at most: before the n-gram they share no more
@@ -194,7 +196,8 @@ def list_blocks(n: Column, position: Column, percent: int) -> Column:
     def places(s: Column) -> Column:
         most = F.exp((s + 1) * wide)
         place = F.floor(z / (most * (2 * (1 - t) / (1 + t)) + 1e-6))
-        return F.array(F.struct(s.alias("size"), place.alias("place")), F.struct(s.alias("size"), (place + 1).alias("place")))
+        first = (s * BLOCKS + place + BLOCKS // 2).cast("bigint")
+        return F.array(first, first + 1)
 
     return F.concat(places(size), places(size + 1))
 
@@ -316,10 +319,11 @@ def similar(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     posts = read.select("node", "n", F.posexplode("first").alias("position", "gram"))
     all_of = Window.partitionBy("gram")
     met = posts.withColumn("low", F.min("node").over(all_of)).withColumn("high", F.max("node").over(all_of)).where("low <> high")
-    met = keep(met.dropDuplicates(["gram", "node"]).select("gram", "node", "position", F.explode(list_blocks(F.col("n"), F.col("position"), percent)).alias("block")))
-    front = F.struct("position", "node")
-    lists = met.groupBy("gram", "block").agg(F.min_by("node", front).alias("pivot"), F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
-    pairs = met.join(lists, ["gram", "block"]).select("pivot", "node").distinct()
+    met = met.dropDuplicates(["gram", "node"]).select("gram", "node", "position", F.explode(list_blocks(F.col("n"), F.col("position"), percent)).alias("block"))
+    # a list's blocks are where the list is, so their pivots need no further shuffle
+    block = Window.partitionBy("gram", "block")
+    told = met.select("node", F.first("node").over(block.orderBy("position", "node")).alias("pivot"), F.min("node").over(block).alias("low"), F.max("node").over(block).alias("high"))
+    pairs = told.where("low <> high").select("pivot", "node").distinct()
     mapped = read.where("bitmap is not null").select("node", "n", "bitmap").dropDuplicates(["node"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
