@@ -597,6 +597,27 @@ def test_jaccard(spark, docs):
         assert chosen.columns == df.columns
 
 
+@pytest.mark.parametrize("percent", [80, 90])
+def test_linked_sets_are_in_one_family(percent):
+    rng, t = np.random.default_rng(percent), percent / 100
+    for paired in (1 << 21, 0):
+        jaccard.PAIRED, before = paired, jaccard.PAIRED
+        for _ in range(6):
+            base = rng.integers(0, 1 << 60, 150, dtype=np.uint64)
+            sets = [np.unique(np.r_[base[rng.random(150) > rng.choice([0.02, 0.1, 0.3])], rng.integers(0, 1 << 60, int(rng.integers(0, 20)), dtype=np.uint64)]) for _ in range(60)]
+            first = np.r_[0, np.cumsum([len(s) for s in sets])]
+            found = jaccard.families(np.arange(60), np.diff(first), jaccard.bitmaps(np.concatenate(sets), first), percent)
+            member = defaultdict(set)
+            for leader, x in found:
+                member[leader].add(x)
+            for i in range(60):
+                for j in range(i):
+                    both = len(np.intersect1d(sets[i], sets[j]))
+                    if both >= t * (len(sets[i]) + len(sets[j]) - both):
+                        assert any(i in m and j in m for m in member.values())
+        jaccard.PAIRED = before
+
+
 @pytest.mark.parametrize("percent", [80, 90])
 def test_linked_sets_meet_in_a_block(spark, percent):
     from pyspark.sql import functions as F

@@ -6,10 +6,10 @@
     two sets of a Jaccard similarity of t or more share one of these.  Lists of one node are dropped.
 3.  A list is cut into blocks by set size and by the position that its n-gram has in a set, each of which overlaps with the
     next, so sets whose sizes or positions rule out a link are skipped by blocks and
-    don't meet.  In a block the set with the foremost position is the pivot: fewest of its n-grams are its own.  Lists thus
+    don't meet.  In a block the smallest node is the pivot, so that lists of the same sets have the same one.  Lists thus
     become groups around pivots.  A group is cut into families: every set has a bitmap in which each n-gram flips one bit,
     and the bits in which two bitmaps differ are a metric that is never more than what their sets differ in.  A set beyond
-    `reach` link distances of each leader leads a family of its own; a family takes what is one link distance further
+    some link distances of each leader leads a family of its own; a family takes what is one link distance further
     away, so two linked sets are in one family, whichever leader either has.
 4.  Sets are read again for the members of families only.  Each member is compared to its leader once.  What the leader and a member
     differ in answers for the members among themselves: |B and C| = |A| - |A-B| - |A-C| + what the differences share.
@@ -37,8 +37,9 @@ from tidemark.llm.components import components
 
 #: Buckets of each sketch, and of the filter of documents that are read again.
 SKETCH, FILTER = 1 << 18, 1 << 23
-#: Link distances from its leader within which a set leads no family of its own.
-REACH = 3
+#: Link distances from its leader within which a set leads no family of its own, at most; and how far, as a part of a set's
+#: size, a family may reach: bitmaps of unlike sets differ in some .86 of it.
+REACH, APART = 3, 0.6
 #: Numbers of places of a size's blocks, of which two divided by the distance from 1 to the similarity are in use.
 BLOCKS = 1 << 20
 #: Words of bitmaps up to which all of a group's are compared with each other first.
@@ -116,28 +117,35 @@ def bitmaps(h: np.ndarray, first: np.ndarray) -> list[bytes]:
     return [packed[a // 8 : b // 8] for a, b in zip(start[:-1].tolist(), start[1:].tolist())]
 
 
+def reach_of(percent: int) -> int:
+    """The link distances that a leader spans, fewer where a link may be wide, so that families hold no unlike sets."""
+    t = percent / 100
+    return int(min(max(APART / max(2 * (1 - t) / (1 + t), 1e-9) - 1, 1), REACH))
+
+
 def families(nodes: np.ndarray, sizes: np.ndarray, maps: list[bytes], percent: int) -> list[tuple[int, int]]:
     """(leader, member) for the sets of a group, the leader as a member of its own family too; alone, it has none."""
-    shortest = min(map(len, maps))
-    distance = (100 - percent) / (100 + percent) * 2 * int(sizes.max())
+    shortest, t = min(map(len, maps)), percent / 100
+    share, reach = (1 - t) / (1 + t) + 1e-9, reach_of(percent)
     if len(maps) == 2 and len(maps[0]) == len(maps[1]):  # most groups
         away = (int.from_bytes(maps[0]) ^ int.from_bytes(maps[1])).bit_count()
-        return [(nodes[0], nodes[0]), (nodes[0], nodes[1])] if away <= distance else []
+        return [(nodes[0], nodes[0]), (nodes[0], nodes[1])] if away <= share * int(sizes.sum()) else []
     folded = np.empty((len(maps), shortest), np.uint8)
     for k, m in enumerate(maps):
         folded[k] = np.bitwise_xor.reduce(np.frombuffer(m, np.uint8).reshape(-1, shortest))
     words_of = folded.view(U)
     if len(maps) * words_of.size <= PAIRED:  # sets that can have no link in the group leave it
-        apart = np.bitwise_count(words_of[:, None] ^ words_of).sum(2)
-        np.fill_diagonal(apart, np.iinfo(np.int64).max >> 1)
-        may = apart.min(1) <= distance
-        nodes, words_of = nodes[may], words_of[may]
+        apart = np.bitwise_count(words_of[:, None] ^ words_of).sum(2) - share * (sizes[:, None] + sizes)
+        np.fill_diagonal(apart, 1)
+        may = apart.min(1) <= 0
+        nodes, sizes, words_of = nodes[may], sizes[may], words_of[may]
     led, found = np.zeros(len(nodes), bool), []
     for k in range(len(nodes)):
         if not led[k]:
             away = np.bitwise_count(words_of ^ words_of[k]).sum(1)
-            near = np.flatnonzero(away <= (REACH + 1) * distance)
-            led |= away <= REACH * distance
+            # what is linked with a set x that this one leads is no further away than x and a link together
+            near = np.flatnonzero(away <= share * ((reach + 1) / t * sizes + reach * sizes[k] + sizes))
+            led |= away <= share * reach * (sizes + sizes[k])
             if len(near) > 1:
                 found += [(nodes[k], nodes[x]) for x in near]
     return found
@@ -322,8 +330,8 @@ def similar(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     met = met.dropDuplicates(["gram", "node"]).select("gram", "node", "position", F.explode(list_blocks(F.col("n"), F.col("position"), percent)).alias("block"))
     # a list's blocks are where the list is, so their pivots need no further shuffle
     block = Window.partitionBy("gram", "block")
-    told = met.select("node", F.first("node").over(block.orderBy("position", "node")).alias("pivot"), F.min("node").over(block).alias("low"), F.max("node").over(block).alias("high"))
-    pairs = told.where("low <> high").select("pivot", "node").distinct()
+    told = met.select("node", F.min("node").over(block).alias("pivot"), F.max("node").over(block).alias("high"))
+    pairs = told.where("pivot <> high").select("pivot", "node").distinct()
     mapped = read.where("bitmap is not null").select("node", "n", "bitmap").dropDuplicates(["node"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
