@@ -39,7 +39,7 @@ from tidemark.llm.components import components
 SKETCH, FILTER = 1 << 18, 1 << 23
 #: Link distances from its leader within which a set leads no family of its own, at most; and how far, as a part of a set's
 #: size, a family may reach: bitmaps of unlike sets differ in some .86 of it.
-REACH, APART = 3, 0.6
+REACH, APART = 3, 0.7
 #: Numbers of places of a size's blocks, of which two divided by the distance from 1 to the similarity are in use.
 BLOCKS = 1 << 20
 #: Words of bitmaps up to which all of a group's are compared with each other first.
@@ -350,7 +350,8 @@ def similar(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     pairs = keep(told.mapInArrow(cut, "leader bigint, node bigint").distinct())
 
     first_doc = read.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    sets = keep(fetch(docs, first_doc.join(pairs.select("node").distinct(), "node"), size))
+    # read once, and dealt by node as the join wants them, so they are not written in between
+    sets = fetch(docs, first_doc.join(pairs.select("node").distinct(), "node"), size)
     shipped = pairs.join(sets, "node")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
