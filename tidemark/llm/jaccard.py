@@ -140,17 +140,31 @@ def families(nodes: np.ndarray, sizes: np.ndarray, maps: list[bytes], percent: i
         may = apart.min(1) <= 0
         nodes, sizes, words_of = nodes[may], sizes[may], words_of[may]
     led, found = np.zeros(len(nodes), bool), []
-    for k in range(len(nodes)):
-        if not led[k]:
-            away = np.bitwise_count(words_of ^ words_of[k]).sum(1)
-            # what is linked with a set x that this one leads is no further away than x and a link together
-            near = np.flatnonzero(away <= share * ((reach + 1) / t * sizes + reach * sizes[k] + sizes))
-            led |= away <= share * reach * (sizes + sizes[k])
-            if len(near) > 1:
-                found += [(nodes[k], nodes[x]) for x in near]
+    for seed in range(len(nodes)):
+        if led[seed]:
+            continue
+        # all links of what is led are in its leader's family, so later ones do without it
+        free = np.flatnonzero(~led)
+        away = np.bitwise_count(words_of[free] ^ words_of[seed]).sum(1)
+        around = free[away <= share * reach * (sizes[free] + sizes[seed])]
+        lead = around[np.bitwise_count(words_of[around] ^ majority(words_of[around])).sum(1).argmin()] if len(around) > 2 else seed
+        if lead != seed:
+            away = np.bitwise_count(words_of[free] ^ words_of[lead]).sum(1)
+        new = away <= share * reach * (sizes[free] + sizes[lead])
+        # a set linked with one of those is no further away than that one and their link together
+        near = free[away <= (away + share * sizes[free])[new].max() + share * sizes[free]]
+        led[free[new]] = True
+        if len(near) > 1:
+            found += [(nodes[lead], nodes[x]) for x in near]
     return found
 
 
+def majority(maps: np.ndarray, rows: int = 4096) -> np.ndarray:
+    """The bitmap of the bits that more than half of the bitmaps (rows of 64-bit words) have."""
+    ones = sum(np.unpackbits(maps[k : k + rows].view(np.uint8), axis=1).sum(0, dtype=np.int64) for k in range(0, len(maps), rows))
+    return np.packbits(2 * ones > len(maps)).view(U)
+
+
 def read_sets(docs: DataFrame, size: int, percent: int, model: tuple) -> DataFrame:
     """doc_id, n (size of the set), node (null: empty) and, where this is the node's first in the partition, first (the posted
     n-grams) and bitmap."""
