@@ -597,6 +597,39 @@ def test_jaccard(spark, docs):
         assert chosen.columns == df.columns
 
 
+@pytest.mark.parametrize("part", [1, 7])
+def test_jaccard_in_parts(spark, part):
+    texts = [*family(1, 90), *family(2, 40, 25, 4), *family(4, 60, 60, 14), *family(3, 30, 200, 12), "", "a b c", *["same same but same"] * 4]
+    made = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    want = brute_components(texts_of(made))
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar(made, part=part).collect()} == want
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_linked_sets_are_in_one_family_of_parts(percent):
+    rng = np.random.default_rng(percent)
+    for _ in range(6):
+        base = rng.integers(0, 1 << 60, 150, dtype=np.uint64)
+        sets = [np.unique(np.r_[base[rng.random(150) > rng.choice([0.02, 0.1, 0.3])], rng.integers(0, 1 << 60, int(rng.integers(0, 20)), dtype=np.uint64)]) for _ in range(60)]
+        sizes, nodes = np.array([len(s) for s in sets]), np.arange(60)
+        maps = jaccard.bitmaps(np.concatenate(sets), np.r_[0, np.cumsum(sizes)])
+        words_of = jaccard.fold(maps, min(map(len, maps)))
+        local, weight = zip(*[(p[k], w) for p in np.split(nodes, 6) for k, w in jaccard.elect(sizes[p], words_of[p], np.ones(10, int), percent)])
+        local = np.array(local)
+        final = sorted(((-w, local[k]) for k, w in jaccard.elect(sizes[local], words_of[local], np.array(weight), percent)))
+        leads = np.array([k for _, k in final])
+        assert -sum(w for w, _ in final) == 60
+        member = defaultdict(set)
+        for p in np.split(nodes, 6):
+            for leader, x in jaccard.join_families((leads, sizes[leads], words_of[leads]), (p, sizes[p], words_of[p]), percent):
+                member[leader].add(x)
+        for i in range(60):
+            for j in range(i):
+                both = len(np.intersect1d(sets[i], sets[j]))
+                if 100 * both >= percent * (sizes[i] + sizes[j] - both):
+                    assert any({i, j} <= m for m in member.values())
+
+
 @pytest.mark.parametrize("percent", [80, 90])
 def test_linked_sets_are_in_one_family(percent):
     rng, t = np.random.default_rng(percent), percent / 100

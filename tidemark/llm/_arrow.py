@@ -96,20 +96,21 @@ def pieces(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
         yield low, high, data[at[low] : at[high]], at[low : high + 1] - at[low]
 
 
-def groups(batches: Iterator[pa.RecordBatch], key: int) -> Iterator[pa.Table]:
-    """The rows of each run of equal keys (the column at `key`, without nulls), over batches that are sorted by it."""
+def groups(batches: Iterator[pa.RecordBatch], *key: int) -> Iterator[pa.Table]:
+    """The rows of each run of equal keys (the columns at `key`, without nulls), over batches that are sorted by them."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        keys = batch.column(key).to_numpy()
-        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
-        if held and held[-1].column(key)[0].as_py() != keys[0]:
+        keys = [batch.column(k).to_numpy() for k in key]
+        differ = np.logical_or.reduce([x[1:] != x[:-1] for x in keys])
+        cuts = [0, *(np.flatnonzero(differ) + 1).tolist(), batch.num_rows]
+        if held and any(held[-1].column(k)[0].as_py() != x[0] for k, x in zip(key, keys)):
             yield pa.Table.from_batches(held)
             held = []
         for low, high in zip(cuts[:-1], cuts[1:]):
             held.append(batch.slice(low, high - low))
-            if high < len(keys):
+            if high < batch.num_rows:
                 yield pa.Table.from_batches(held)
                 held = []
     if held:

@@ -16,6 +16,9 @@
     A member that is linked with the leader brings the leader's links; for the others, only members with a common
     difference are looked at, as without one they are no more similar than either is to the leader.
     So a group of copies costs as much as it has members, and no list is expanded into pairs.
+    Groups and families of more than a part's sets are dealt to several tasks.  The parts of a group each elect leaders, these
+    elect among themselves, and each part then finds its members' families.  The parts of a family each compare their members
+    with the leader; those that it isn't linked with go on to all parts, in blocks.
 5.  Links that span each group's components go on to connected components over all groups.
 
 N-grams and sets are identified by 64-bit hashes.
@@ -44,6 +47,8 @@ REACH, APART = 3, 0.7
 BLOCKS = 1 << 20
 #: Words of bitmaps up to which all of a group's are compared with each other first.
 PAIRED = 1 << 21
+#: Sets of a group or a family that one task takes; there is no bound on either, as larger ones are dealt in parts.
+PART = 512
 
 
 @dataclass
@@ -130,10 +135,7 @@ def families(nodes: np.ndarray, sizes: np.ndarray, maps: list[bytes], percent: i
     if len(maps) == 2 and len(maps[0]) == len(maps[1]):  # most groups
         away = (int.from_bytes(maps[0]) ^ int.from_bytes(maps[1])).bit_count()
         return [(nodes[0], nodes[0]), (nodes[0], nodes[1])] if away <= share * int(sizes.sum()) else []
-    folded = np.empty((len(maps), shortest), np.uint8)
-    for k, m in enumerate(maps):
-        folded[k] = np.bitwise_xor.reduce(np.frombuffer(m, np.uint8).reshape(-1, shortest))
-    words_of = folded.view(U)
+    words_of = fold(maps, shortest)
     if len(maps) * words_of.size <= PAIRED:  # sets that can have no link in the group leave it
         apart = np.bitwise_count(words_of[:, None] ^ words_of).sum(2) - share * (sizes[:, None] + sizes)
         np.fill_diagonal(apart, 1)
@@ -159,6 +161,59 @@ def families(nodes: np.ndarray, sizes: np.ndarray, maps: list[bytes], percent: i
     return found
 
 
+def fold(maps: list[bytes], width: int) -> np.ndarray:
+    """The bitmaps as rows of 64-bit words, all of this width in bytes; folding brings none further apart."""
+    folded = np.empty((len(maps), width), np.uint8)
+    for k, m in enumerate(maps):
+        folded[k] = np.bitwise_xor.reduce(np.frombuffer(m, np.uint8).reshape(-1, width))
+    return folded.view(U)
+
+
+def apart_from(words_of: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """In how many bits each row differs from one."""
+    return np.bitwise_count(words_of ^ one).sum(1, dtype=np.int64)
+
+
+def elect(sizes: np.ndarray, words_of: np.ndarray, weight: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """(index, weight led) of leaders so that each set is within half of a family's reach of one, by the smaller of both sizes.
+
+    Two elections in a row thus leave each set within a family's reach of a leader.
+    """
+    t = percent / 100
+    radius = ((1 - t) / (1 + t) + 1e-9) * reach_of(percent)
+    free, found = np.argsort(-weight, kind="stable"), []
+    while len(free):
+        lead = free[0]
+        away = apart_from(words_of[free], words_of[lead])
+        around = free[away <= radius * np.minimum(sizes[free], sizes[lead])]
+        if len(around) > 2:
+            lead = around[apart_from(words_of[around], majority(words_of[around])).argmin()]
+            away = apart_from(words_of[free], words_of[lead])
+        led = away <= radius * np.minimum(sizes[free], sizes[lead])
+        found.append((int(lead), int(weight[free[led]].sum())))
+        free = free[~led]
+    return found
+
+
+def join_families(leaders: tuple, members: tuple, percent: int) -> list[tuple[int, int]]:
+    """(leader, member) of a part's members, given all leaders of the group in one order; each is (nodes, sizes, rows of words).
+
+    A member is led by the first leader in reach, and in the families of leaders up to that one whose members it may be linked
+    with.  So of two linked sets, both are in the family of the one that is led first.
+    """
+    t = percent / 100
+    share, reach, found = (1 - t) / (1 + t) + 1e-9, reach_of(percent), []
+    nodes, sizes, words_of = members
+    free = np.arange(len(nodes))
+    for lead, n, row in zip(*leaders):
+        away, s = apart_from(words_of[free], row), sizes[free]
+        near = free[(away <= share * (reach * (s / t + n) + s / t + s)) & (nodes[free] != lead)]
+        if len(near):
+            found += [(lead, lead), *((lead, x) for x in nodes[near])]
+        free = free[away > share * reach * (s + n)]
+    return found
+
+
 def majority(maps: np.ndarray, rows: int = 4096) -> np.ndarray:
     """The bitmap of the bits that more than half of the bitmaps (rows of 64-bit words) have."""
     ones = sum(np.unpackbits(maps[k : k + rows].view(np.uint8), axis=1).sum(0, dtype=np.int64) for k in range(0, len(maps), rows))
@@ -325,30 +380,15 @@ def links_batch(found: list[tuple[int, int]], left: str, right: str) -> pa.Recor
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], [left, right])
 
 
-def similar(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document: the smallest doc_id that it reaches over links.
+def dealt(key: Column, parts: Column) -> Column:
+    """The part, of so many, that a key is dealt to."""
+    return F.pmod(F.xxhash64(key), parts).cast("int")
 
-    Documents are linked when 100 * |A and B| >= percent * |A or B|, over their sets of `size` lower-cased words in a row.
-    With fewer words the whole sequence is the one n-gram.  A text without words, or null, has an empty set, links with
-    nothing and is its own component.  Equal sets are linked, so repeated rows and copies are in one component; the
-    ends of ranges are included.  A null doc_id is never the smallest where another is there.  Other columns are ignored;
-    an empty frame gives an empty frame.
-    """
-    prepare(docs.sparkSession)
-    docs = docs.select("doc_id", "text")
-    read = keep(read_sets(docs, size, percent, sketches(docs, size)))
 
-    posts = read.select("node", "n", F.posexplode("first").alias("position", "gram"))
-    all_of = Window.partitionBy("gram")
-    met = posts.withColumn("low", F.min("node").over(all_of)).withColumn("high", F.max("node").over(all_of)).where("low <> high")
-    met = met.dropDuplicates(["gram", "node"]).select("gram", "node", "position", F.explode(list_blocks(F.col("n"), F.col("position"), percent)).alias("block"))
-    # a list's blocks are where the list is, so their pivots need no further shuffle
-    block = Window.partitionBy("gram", "block")
-    told = met.select("node", F.min("node").over(block).alias("pivot"), F.max("node").over(block).alias("high"))
-    pairs = told.where("pivot <> high").select("pivot", "node").distinct()
-    mapped = read.where("bitmap is not null").select("node", "n", "bitmap").dropDuplicates(["node"])
+def families_of(pairs: DataFrame, mapped: DataFrame, percent: int, part: int) -> DataFrame:
+    """(leader, node) of the families of all groups, from (pivot, node) and (node, n, bitmap)."""
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple[int, int]] = []
         for rows in groups(batches, 0):
             nodes = rows.column(1).to_numpy()
@@ -360,30 +400,120 @@ def similar(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
                 found = []
         yield links_batch(found, "leader", "node")
 
-    told = pairs.join(mapped, "node").select("pivot", "node", "n", "bitmap").repartition("pivot").sortWithinPartitions("pivot")
-    pairs = keep(told.mapInArrow(cut, "leader bigint, node bigint").distinct())
-
-    first_doc = read.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    # read once, and dealt by node as the join wants them, so they are not written in between
-    sets = fetch(docs, first_doc.join(pairs.select("node").distinct(), "node"), size)
-    shipped = pairs.join(sets, "node")
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in groups(batches, 0, 1):
+            rows = rows.sort_by("node")
+            words_of = fold(rows["bitmap"].to_pylist(), rows["narrow"][0].as_py())
+            led = elect(rows["n"].to_numpy(), words_of, rows["weight"].to_numpy(), percent)
+            at = [k for k, _ in led]
+            taken = rows.select(["pivot", "parts", "narrow", "node", "n"]).take(at).combine_chunks()
+            yield from taken.append_column("weight", pa.array([w for _, w in led], pa.int64())).append_column("bitmap", pa.array([words_of[k].tobytes() for k in at], pa.binary())).to_batches()
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in groups(batches, 0, 1):
+            rows = rows.sort_by([("weight", "descending"), ("node", "ascending")])
+            words_of = fold(rows["bitmap"].to_pylist(), rows["narrow"][0].as_py())
+            nodes, n, leads = rows["node"].to_numpy(), rows["n"].to_numpy(), rows["weight"].to_numpy() > 0
+            yield links_batch(join_families(*((nodes[x], n[x], words_of[x]) for x in (leads, ~leads)), percent), "leader", "node")
+
+    held = pairs.join(mapped.select("node", F.length("bitmap").alias("width")), "node").groupBy("pivot").agg(F.count("*").alias("m"), F.min("width").alias("narrow"))
+    crowded = keep(held.where(F.col("m") > part).select("pivot", F.ceil(F.col("m") / part).cast("int").alias("parts"), "narrow"))
+    small = pairs.join(crowded, "pivot", "left_anti") if not crowded.isEmpty() else pairs
+    told = small.join(mapped, "node").select("pivot", "node", "n", "bitmap").repartition("pivot").sortWithinPartitions("pivot")
+    found = told.mapInArrow(whole, "leader bigint, node bigint")
+    if not crowded.isEmpty():
+        kind = "pivot bigint, parts int, narrow int, node bigint, n bigint, weight bigint, bitmap binary"
+        names = ["pivot", "part", "parts", "narrow", "node", "n", "weight", "bitmap"]
+        deal = lambda df: df.select(names).repartition("pivot", "part").sortWithinPartitions("pivot", "part")
+        members = pairs.join(crowded, "pivot").join(mapped, "node").withColumn("part", dealt(F.col("node"), F.col("parts")))
+        local = deal(members.withColumn("weight", F.lit(1).cast("bigint"))).mapInArrow(chosen, kind)
+        leaders = keep(deal(local.withColumn("part", F.lit(0))).mapInArrow(chosen, kind))
+        everywhere = leaders.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        found = found.union(deal(members.withColumn("weight", F.lit(0).cast("bigint")).select(names).union(everywhere.select(names))).mapInArrow(joined, "leader bigint, node bigint"))
+    return found.distinct()
+
+
+def links_of(pairs: DataFrame, sets: DataFrame, percent: int, part: int) -> DataFrame:
+    """Links (u, v) that span the components of each family, from (leader, node) and (node, set)."""
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple[int, int]] = []
-        for rows in groups(batches, 0):
-            centre, nodes = rows.column(0)[0].as_py(), rows.column(1).to_numpy()
-            sets = [np.frombuffer(x, U) for x in rows.column(2).to_pylist()]
-            others = [k for k in np.argsort(nodes).tolist() if nodes[k] != centre]
-            own = np.flatnonzero(nodes == centre)
-            if len(own) and others:
+        for rows in groups(batches, 0, 1, 2):
+            centre = rows["leader"][0].as_py()
+            nodes, at = np.unique(rows["node"].to_numpy(), return_index=True)
+            sets = rows["set"]
+            others = nodes != centre
+            if others.any() and not others.all():
+                own, *held = (np.frombuffer(sets[int(k)].as_py(), U) for k in (*at[~others], *at[others]))
                 name = [*nodes[others].tolist(), centre]
-                found += [(name[x], name[y]) for x, y in group_links(sets[own[0]], [sets[k] for k in others], percent)]
+                found += [(name[x], name[y]) for x, y in group_links(own, held, percent)]
             if len(found) > 50_000:
                 yield links_batch(found, "u", "v")
                 found = []
         yield links_batch(found, "u", "v")
 
-    links = shipped.select("leader", "node", "set").repartition("leader").sortWithinPartitions("leader").mapInArrow(link, "u bigint, v bigint")
+    def unlinked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in groups(batches, 0, 1):
+            centre, nodes = rows["leader"][0].as_py(), rows["node"].to_numpy()
+            sets = [np.frombuffer(x, U) for x in rows["set"].to_pylist()]
+            own = sets[int(np.flatnonzero(nodes == centre)[0])]
+            found = []
+            for x, s in zip(nodes.tolist(), sets):
+                both = len(np.intersect1d(own, s, assume_unique=True))
+                if 100 * both < percent * (len(own) + len(s) - both):
+                    found.append((centre, x))
+            yield links_batch(found, "leader", "node")
+
+    whole = lambda df: df.withColumns({"part": F.lit(0), "block": F.lit(0)})
+    names = ["leader", "part", "block", "node", "set"]
+    crowded = keep(pairs.groupBy("leader").agg(F.count("*").alias("m")).where(F.col("m") > part).select("leader", F.ceil(F.col("m") / part).cast("int").alias("parts")))
+    if crowded.isEmpty():
+        rows = whole(pairs.join(sets, "node")).select(names)
+    else:
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        sets = keep(sets)
+        members = pairs.join(crowded, "leader").where("leader <> node").join(sets, "node").withColumn("part", dealt(F.col("node"), F.col("parts")))
+        leaders = crowded.withColumn("node", F.col("leader")).join(sets, "node")
+        first = members.select("leader", "part", "node", "set").union(leaders.select("leader", each("parts").alias("part"), "node", "set"))
+        loose = keep(first.repartition("leader", "part").sortWithinPartitions("leader", "part").mapInArrow(unlinked, "leader bigint, node bigint"))
+        blocks = crowded.join(loose.groupBy("leader").agg(F.count("*").alias("m")), "leader", "left").select("leader", F.greatest(F.ceil(F.coalesce("m", F.lit(0)) / part), F.lit(1)).cast("int").alias("blocks"))
+        # every member meets the leader, and every one that isn't linked with it, in the blocks of its part
+        rows = (
+            whole(pairs.join(crowded, "leader", "left_anti").join(sets, "node")).select(names)
+            .union(members.join(blocks, "leader").withColumn("block", each("blocks")).select(names))
+            .union(loose.join(crowded, "leader").join(blocks, "leader").join(sets, "node").withColumns({"block": dealt(F.col("node"), F.col("blocks")), "part": each("parts")}).select(names))
+            .union(leaders.join(blocks, "leader").withColumn("part", each("parts")).withColumn("block", each("blocks")).select(names))
+        )
+    return rows.repartition("leader", "part", "block").sortWithinPartitions("leader", "part", "block").mapInArrow(link, "u bigint, v bigint")
+
+
+def similar(docs: DataFrame, size: int = 3, percent: int = 90, part: int = PART) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document: the smallest doc_id that it reaches over links.
+
+    Documents are linked when 100 * |A and B| >= percent * |A or B|, over their sets of `size` lower-cased words in a row.
+    With fewer words the whole sequence is the one n-gram.  A text without words, or null, has an empty set, links with
+    nothing and is its own component.  Equal sets are linked, so repeated rows and copies are in one component; the
+    ends of ranges are included.  A null doc_id is never the smallest where another is there.  Other columns are ignored;
+    an empty frame gives an empty frame.  A task takes `part` sets of a group; any number gives the same rows.
+    """
+    prepare(docs.sparkSession)
+    docs = docs.select("doc_id", "text")
+    read = keep(read_sets(docs, size, percent, sketches(docs, size)))
+
+    posts = read.select("node", "n", F.posexplode("first").alias("position", "gram"))
+    all_of = Window.partitionBy("gram")
+    met = posts.withColumn("low", F.min("node").over(all_of)).withColumn("high", F.max("node").over(all_of)).where("low <> high")
+    met = met.dropDuplicates(["gram", "node"]).select("gram", "node", "position", F.explode(list_blocks(F.col("n"), F.col("position"), percent)).alias("block"))
+    # a list's blocks are where the list is, so their pivots need no further shuffle
+    block = Window.partitionBy("gram", "block")
+    told = met.select("node", F.min("node").over(block).alias("pivot"), F.max("node").over(block).alias("high"))
+    pairs = keep(told.where("pivot <> high").select("pivot", "node").distinct())
+    mapped = read.where("bitmap is not null").select("node", "n", "bitmap").dropDuplicates(["node"])
+    pairs = keep(families_of(pairs, mapped, percent, part))
+
+    first_doc = read.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    sets = fetch(docs, first_doc.join(pairs.select("node").distinct(), "node"), size)
+    links = links_of(pairs, sets, percent, part)
     joined = components(links)
     smallest = first_doc.join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "doc_id")
     named = smallest.groupBy("component").agg(F.min("doc_id").alias("component_id"))
