@@ -49,6 +49,8 @@ BLOCKS = 1 << 20
 PAIRED = 1 << 21
 #: Sets of a group or a family that one task takes; there is no bound on either, as larger ones are dealt in parts.
 PART = 512
+#: Rows of a few numbers up to which a side of a join is broadcast.
+SIDE = 1 << 18
 
 
 @dataclass
@@ -385,6 +387,12 @@ def dealt(key: Column, parts: Column) -> Column:
     return F.pmod(F.xxhash64(key), parts).cast("int")
 
 
+def sides(kept: DataFrame) -> tuple:
+    """(what to do with a frame of as many rows or fewer when it is joined, number of rows): broadcast where that is small."""
+    n = kept.count()
+    return (F.broadcast if n <= SIDE else lambda df: df), n
+
+
 def families_of(pairs: DataFrame, mapped: DataFrame, percent: int, part: int) -> DataFrame:
     """(leader, node) of the families of all groups, from (pivot, node) and (node, n, bitmap)."""
 
@@ -418,14 +426,15 @@ def families_of(pairs: DataFrame, mapped: DataFrame, percent: int, part: int) ->
 
     held = pairs.join(mapped.select("node", F.length("bitmap").alias("width")), "node").groupBy("pivot").agg(F.count("*").alias("m"), F.min("width").alias("narrow"))
     crowded = keep(held.where(F.col("m") > part).select("pivot", F.ceil(F.col("m") / part).cast("int").alias("parts"), "narrow"))
-    small = pairs.join(crowded, "pivot", "left_anti") if not crowded.isEmpty() else pairs
+    side, n = sides(crowded)
+    small = pairs.join(side(crowded), "pivot", "left_anti") if n else pairs
     told = small.join(mapped, "node").select("pivot", "node", "n", "bitmap").repartition("pivot").sortWithinPartitions("pivot")
     found = told.mapInArrow(whole, "leader bigint, node bigint")
-    if not crowded.isEmpty():
+    if n:
         kind = "pivot bigint, parts int, narrow int, node bigint, n bigint, weight bigint, bitmap binary"
         names = ["pivot", "part", "parts", "narrow", "node", "n", "weight", "bitmap"]
         deal = lambda df: df.select(names).repartition("pivot", "part").sortWithinPartitions("pivot", "part")
-        members = pairs.join(crowded, "pivot").join(mapped, "node").withColumn("part", dealt(F.col("node"), F.col("parts")))
+        members = pairs.join(side(crowded), "pivot").join(mapped, "node").withColumn("part", dealt(F.col("node"), F.col("parts")))
         local = deal(members.withColumn("weight", F.lit(1).cast("bigint"))).mapInArrow(chosen, kind)
         leaders = keep(deal(local.withColumn("part", F.lit(0))).mapInArrow(chosen, kind))
         everywhere = leaders.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -457,31 +466,29 @@ def links_of(pairs: DataFrame, sets: DataFrame, percent: int, part: int) -> Data
             centre, nodes = rows["leader"][0].as_py(), rows["node"].to_numpy()
             sets = [np.frombuffer(x, U) for x in rows["set"].to_pylist()]
             own = sets[int(np.flatnonzero(nodes == centre)[0])]
-            found = []
-            for x, s in zip(nodes.tolist(), sets):
-                both = len(np.intersect1d(own, s, assume_unique=True))
-                if 100 * both < percent * (len(own) + len(s) - both):
-                    found.append((centre, x))
-            yield links_batch(found, "leader", "node")
+            both = [len(np.intersect1d(own, x, assume_unique=True)) for x in sets]
+            yield from rows.filter(pa.array([100 * k < percent * (len(own) + len(x) - k) for k, x in zip(both, sets)], pa.bool_())).drop(["part"]).to_batches()
 
     whole = lambda df: df.withColumns({"part": F.lit(0), "block": F.lit(0)})
     names = ["leader", "part", "block", "node", "set"]
     crowded = keep(pairs.groupBy("leader").agg(F.count("*").alias("m")).where(F.col("m") > part).select("leader", F.ceil(F.col("m") / part).cast("int").alias("parts")))
-    if crowded.isEmpty():
+    side, n = sides(crowded)
+    if not n:
         rows = whole(pairs.join(sets, "node")).select(names)
     else:
         each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        sets = keep(sets)
-        members = pairs.join(crowded, "leader").where("leader <> node").join(sets, "node").withColumn("part", dealt(F.col("node"), F.col("parts")))
-        leaders = crowded.withColumn("node", F.col("leader")).join(sets, "node")
-        first = members.select("leader", "part", "node", "set").union(leaders.select("leader", each("parts").alias("part"), "node", "set"))
-        loose = keep(first.repartition("leader", "part").sortWithinPartitions("leader", "part").mapInArrow(unlinked, "leader bigint, node bigint"))
-        blocks = crowded.join(loose.groupBy("leader").agg(F.count("*").alias("m")), "leader", "left").select("leader", F.greatest(F.ceil(F.coalesce("m", F.lit(0)) / part), F.lit(1)).cast("int").alias("blocks"))
+        shipped = keep(pairs.join(side(crowded), "leader", "left").join(sets, "node").select("leader", "parts", "node", "set"))
+        leaders = shipped.where("parts is not null and leader = node")
+        members = shipped.where("parts is not null and leader <> node").withColumn("part", dealt(F.col("node"), F.col("parts")))
+        first = members.select("leader", "part", "parts", "node", "set").union(leaders.select("leader", each("parts").alias("part"), "parts", "node", "set"))
+        loose = keep(first.repartition("leader", "part").sortWithinPartitions("leader", "part").mapInArrow(unlinked, "leader bigint, parts int, node bigint, set binary"))
+        blocks = crowded.select("leader").join(loose.groupBy("leader").agg(F.count("*").alias("m")), "leader", "left").select("leader", F.greatest(F.ceil(F.coalesce("m", F.lit(0)) / part), F.lit(1)).cast("int").alias("blocks"))
+        blocks = side(keep(blocks))
         # every member meets the leader, and every one that isn't linked with it, in the blocks of its part
         rows = (
-            whole(pairs.join(crowded, "leader", "left_anti").join(sets, "node")).select(names)
+            whole(shipped.where("parts is null")).select(names)
             .union(members.join(blocks, "leader").withColumn("block", each("blocks")).select(names))
-            .union(loose.join(crowded, "leader").join(blocks, "leader").join(sets, "node").withColumns({"block": dealt(F.col("node"), F.col("blocks")), "part": each("parts")}).select(names))
+            .union(loose.join(blocks, "leader").withColumns({"block": dealt(F.col("node"), F.col("blocks")), "part": each("parts")}).select(names))
             .union(leaders.join(blocks, "leader").withColumn("part", each("parts")).withColumn("block", each("blocks")).select(names))
         )
     return rows.repartition("leader", "part", "block").sortWithinPartitions("leader", "part", "block").mapInArrow(link, "u bigint, v bigint")
