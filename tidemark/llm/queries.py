@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, brown, extraction, jaccard, media, packing, perplexity, quality, sanitising, sharding
+from tidemark.llm import bpe, brown, extraction, interaction, jaccard, media, packing, perplexity, quality, recipes, sanitising, sharding, whitening
 from tidemark.llm._arrow import prepare
 
 
@@ -60,6 +60,21 @@ def op10_streaming_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents by their texts without white space, compared by recipes of verified chunks; null is the empty text."""
+    return recipes.groups(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op12_walsh_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five filters over all documents in all 120 orders, from 32 parity sums for each source and label."""
+    return interaction.audit(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"), _table(spark, sf_dir, "labels"))
+
+
+def op13_tsqr_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors of `embeddings`, whitened by the first eight components of their tall-skinny QR factorisation."""
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"), 8)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_harmonic_packing": op1_harmonic_packing,
     "op2_brown_classes": op2_brown_classes,
@@ -71,6 +86,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_streaming_bpe": op10_streaming_bpe,
     "op6_tree_extraction": op6_tree_extraction,
     "op7_hypergeometric_sharding": op7_hypergeometric_sharding,
+    "op11_chunk_recipes": op11_chunk_recipes,
+    "op12_walsh_audit": op12_walsh_audit,
+    "op13_tsqr_whitening": op13_tsqr_whitening,
 }
 
 #: All pairs of documents with a common n-gram; right at any size and quick on small tables.
@@ -83,4 +101,24 @@ e as (select x, y from l union all select y, x from l),
 r as (select doc_id as x, doc_id as y from documents union select r.x, e.y from r join e on e.x = r.y)
 select d.doc_id, coalesce(n.n, 0) as n_shingles, m.c as component_id from documents d left join n on n.doc_id = d.doc_id join (select x, min(y) as c from r group by 1) m on m.x = d.doc_id"""
 
-ORACLE_SQL: dict[str, str] = {"op9_relation_jaccard_join": JACCARD_SQL}
+RECIPES_SQL = r"""with n as (select doc_id, length(coalesce(text, '')) as n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') as t from documents),
+r as (select doc_id, t, count(*) over w as group_size, first_value(doc_id) over (w order by n desc, doc_id rows between unbounded preceding and unbounded following) as keep_id from n window w as (partition by t))
+select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(t) as text_sha256 from r"""
+
+#: Every order replayed over the documents themselves, counted by part and failed filters; no parity sums and no closed form.
+AUDIT_SQL = r"""with d as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+f as (select part, coalesce(l.quality = 1, false) as good, coalesce(l.toxic = 1, false) as bad,
+  (case when len(w) < 200 then 'A' else '' end) || (case when 100 * len(list_distinct(w)) < 50 * len(w) then 'B' else '' end) || (case when 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) then 'C' else '' end)
+  || (case when regexp_matches(t, '[#$%&*|]') then 'D' else '' end) || (case when min(d.doc_id) over (partition by t) < d.doc_id then 'E' else '' end) as fails
+  from d left join labels l on l.doc_id = d.doc_id),
+c as (select part, fails, count(*) as n, count(*) filter (good) as g, count(*) filter (bad) as b from f group by 1, 2),
+l as (select unnest(['A', 'B', 'C', 'D', 'E']) as x),
+o as (select a.x || b.x || c.x || d.x || e.x as filter_order from l a, l b, l c, l d, l e where len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s as (select filter_order, step, substr(filter_order, step, 1) as own, substr(filter_order, 1, step - 1) as before from o, (select unnest([1, 2, 3, 4, 5]) as step)),
+m as (select part, filter_order, step, own, n, g, b, fails, contains(fails, own) as failing, before <> '' and fails <> '' and len(list_intersect(string_split(before, ''), string_split(fails, ''))) > 0 as gone from c, s),
+r as (select part, filter_order, step, own, sum(n) filter (not failing and not gone) as kept, sum(n) filter (failing and not gone) as removed, sum(n) filter (failing and gone) as redundant,
+  sum(n) filter (fails = own) as unique_fails, sum(g) filter (failing and not gone) as good_lost, sum(b) filter (failing and not gone) as toxic_lost from m group by all)
+select part, filter_order, step::int as step, coalesce(kept, 0)::bigint as kept, coalesce(removed, 0)::bigint as removed, coalesce(redundant, 0)::bigint as redundant, coalesce(unique_fails, 0)::bigint as unique_fails,
+  coalesce(good_lost, 0)::bigint as good_lost, coalesce(toxic_lost, 0)::bigint as toxic_lost, (sum(coalesce(removed, 0)) over (partition by part, own))::bigint as shapley from r"""
+
+ORACLE_SQL: dict[str, str] = {"op9_relation_jaccard_join": JACCARD_SQL, "op11_chunk_recipes": RECIPES_SQL, "op12_walsh_audit": AUDIT_SQL}
