@@ -8,7 +8,8 @@ Documents may be cut.  Whole capacities are cut off first.  What remains is kept
 a sequence but for `slack`, or where it is short; else a piece of the next class's full size is cut off and the rest is
 treated likewise.
 
-What workers leave in open sequences, a bounded amount for each of them, is packed again by class over all workers; the last
+What workers leave in open sequences, a bounded amount for each of them, is packed again by class over TEAM workers, what those
+leave over TEAM such teams, and so on; the last
 open sequence of each class, a bounded amount altogether, is laid end to end and cut where a sequence is full.
 """
 
@@ -18,7 +19,6 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -29,8 +29,8 @@ from tidemark.llm._arrow import keep, prepare
 
 #: Part of a sequence that a class may leave empty before a piece is cut, and the length below which none is cut.
 SLACK, SHORT = 1 / 128, 64
-#: Workers whose open sequences are packed again together.
-TEAM = 256
+#: Workers, or teams of them, whose open sequences are packed again together, and the number of the last level's sequences.
+TEAM, LAST = 256, 15
 
 
 def cuts(tokens: int, capacity: int) -> list[int]:
@@ -115,40 +115,46 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end: int = 0) ->
 
     placed = keep(docs.select("doc_id", "text").mapInArrow(work, schema))
 
+    def rows_of(table: pa.Table) -> list[list]:
+        """Rows in an order that does not follow their arrival; ids stay whole numbers beside nulls."""
+        rows = [list(r) for r in zip(*[table.column(f).to_pylist() for f in FIELDS])]
+        return sorted(rows, key=lambda r: (r[7], r[1], r[3], r[4], r[0] is None, r[0] or 0))
+
+    def table_of(rows: list[list], table: pa.Table) -> pa.Table:
+        kinds = table.select(FIELDS).schema
+        return pa.Table.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(kinds)], schema=kinds)
+
     def again(level: int):
-        def fill(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-            team, kind = key
-            filler, done = Filler(capacity, level << 60 | int(team) << 42 | int(kind) << 30), []
-            rows = rows.sort_values(["start", "ids_crc32", "doc_tokens", "doc_id"], kind="stable")
-            for row in rows[FIELDS].astype(object).itertuples(index=False):
-                done += filler.add(list(row))
-            return pd.DataFrame(done + filler.rest(), columns=FIELDS)
+        def fill(table: pa.Table) -> pa.Table:
+            team, kind = table.column("team")[0].as_py(), table.column("kind")[0].as_py()
+            filler, done = Filler(capacity, level << 58 | team << 40 | kind << 29), []
+            for row in rows_of(table):
+                done += filler.add(row)
+            return table_of(done + filler.rest(), table)
 
         return fill
 
     parts = [placed.where("sequence_id is not null")]
-    left = placed.where("sequence_id is null").withColumn("team", F.pmod(F.xxhash64("ids_crc32", "start"), F.lit(max(1, placed.rdd.getNumPartitions() // TEAM))))
-    levels = [1, 2] if placed.rdd.getNumPartitions() > TEAM else [1]
-    for level in levels:
-        if level == levels[-1]:
-            left = left.withColumn("team", F.lit(0).cast("bigint"))
-        filled = keep(left.groupBy("team", "kind").applyInPandas(again(level), schema))
+    left, teams, level = placed.where("sequence_id is null"), placed.rdd.getNumPartitions(), 0
+    while not level or teams > 1:
+        teams, level = -(-teams // TEAM), level + 1
+        left = left.withColumn("team", F.pmod(F.xxhash64("ids_crc32", "start"), F.lit(teams)))
+        filled = keep(left.groupBy("team", "kind").applyInArrow(again(level), schema))
         parts.append(filled.where("sequence_id is not null"))
-        left = filled.where("sequence_id is null").withColumn("team", F.lit(0))
+        left = filled.where("sequence_id is null")
 
-    def lay(rows: pd.DataFrame) -> pd.DataFrame:
-        done, sequence, used = [], 3 << 60, 0
-        rows = rows.sort_values(["kind", "start", "ids_crc32", "doc_tokens", "doc_id"], kind="stable")
-        for doc, start, length, _, tokens, _, _, kind, ids in rows[FIELDS].astype(object).itertuples(index=False):
+    def lay(table: pa.Table) -> pa.Table:
+        done, sequence, used = [], LAST << 58, 0
+        for doc, start, length, _, tokens, _, _, kind, ids in rows_of(table):
             while length:
                 size = min(length, capacity - used)
                 done.append([doc, start, size, zlib.crc32(ids[: 4 * size]), tokens, sequence, used, kind, None])
                 start, length, ids, used = start + size, length - size, ids[4 * size :], used + size
                 if used == capacity:
                     sequence, used = sequence + 1, 0
-        return pd.DataFrame(done, columns=FIELDS)
+        return table_of(done, table)
 
-    parts.append(left.groupBy("team").applyInPandas(lay, schema))
+    parts.append(left.withColumn("team", F.lit(0)).groupBy("team").applyInArrow(lay, schema))
     whole = parts[0]
     for part in parts[1:]:
         whole = whole.union(part)
