@@ -1,7 +1,8 @@
 """Words, lines and character classes of many texts at once.
 
-A word is a maximal run of bytes other than 0x20 and 0x09-0x0D.  Its identity is a 64-bit polynomial hash over random
-values for bytes, taken from prefix sums (so a word costs the same as a byte), finished by a mixer.
+A word is a maximal run of bytes other than 0x20 and 0x09-0x0D.  Its identity is a 64-bit hash: the sum, over its bytes, of a
+pseudo-random number for the byte and its place in the word, finished by a mixer together with the length.  Places have
+numbers of their own, so no pattern of bytes makes unlike words equal, as it does with powers of a base modulo 2^64.
 """
 
 from __future__ import annotations
@@ -11,8 +12,8 @@ from dataclasses import dataclass
 import numpy as np
 
 U = np.uint64
-_BASE = U(0x9E3779B97F4A7C15 | 1)
-_INVERSE = U(pow(int(_BASE), -1, 1 << 64))
+#: Places whose numbers are held in a table; those of later ones are computed.
+PLACES = 32
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -24,35 +25,32 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-_RAW = mix(np.arange(1, 257, dtype=U) * U(0xD6E8FEB86659FD93))
-_FOLDED = _RAW.copy()
-_FOLDED[65:91] = _RAW[97:123]
-SPACE = np.zeros(256, bool)
-SPACE[[9, 10, 11, 12, 13, 32]] = True
-_powers = np.ones(1, U)
-_inverses = np.ones(1, U)
+def _numbers(byte: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return mix((byte.astype(U) + (place.astype(U) << U(8)) + U(1)) * U(0xD6E8FEB86659FD93))
 
 
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers, _inverses
-    if len(_powers) <= n:
-        size = 1 << int(n + 1).bit_length()
-        _powers = np.cumprod(np.r_[U(1), np.full(size - 1, _BASE, U)], dtype=U)
-        _inverses = np.cumprod(np.r_[U(1), np.full(size - 1, _INVERSE, U)], dtype=U)
-    return _powers, _inverses
+_TABLE = _numbers(np.tile(np.arange(256), PLACES), np.repeat(np.arange(PLACES), 256))
+_SAME = np.arange(256, dtype=np.uint8)
+_FOLDED = _SAME.copy()
+_FOLDED[65:91] = _SAME[97:123]
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def prefix_sums(data: np.ndarray, folded: bool) -> np.ndarray:
-    powers, _ = _tables(len(data))
+def spans_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, folded: bool = False) -> np.ndarray:
+    """The hash of the bytes of each [start, end); spans are in order and don't overlap."""
+    if not len(start):
+        return np.empty(0, U)
+    first = np.zeros(len(data), np.int64)
+    first[start[end > start]] = start[end > start]
+    place = np.arange(len(data)) - np.maximum.accumulate(first)
+    byte = _FOLDED[data] if folded else data
+    far = np.flatnonzero(place >= PLACES)
+    numbers = _TABLE[(np.minimum(place, PLACES - 1) << 8) + byte]
+    numbers[far] = _numbers(byte[far], place[far])
     sums = np.zeros(len(data) + 1, U)
-    np.cumsum((_FOLDED if folded else _RAW)[data] * powers[: len(data)], out=sums[1:])
-    return sums
-
-
-def spans_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """The hash of the bytes of each [start, end)."""
-    _, inverses = _tables(len(sums))
-    return mix((sums[end] - sums[start]) * inverses[start] + (end - start).astype(U))
+    np.cumsum(numbers, out=sums[1:])
+    return mix(sums[end] - sums[start] + (end - start).astype(U))
 
 
 @dataclass
@@ -78,10 +76,9 @@ def edges(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return np.flatnonzero(~space & before), np.flatnonzero(~space & after) + 1, space
 
 
-def words(data: np.ndarray, at: np.ndarray, folded: bool, sums: np.ndarray | None = None) -> Words:
+def words(data: np.ndarray, at: np.ndarray, folded: bool) -> Words:
     start, end, _ = edges(data, at)
-    sums = prefix_sums(data, folded) if sums is None else sums
-    return Words(spans_hash(sums, start, end), start, end, np.searchsorted(start, at, "left"))
+    return Words(spans_hash(data, start, end, folded), start, end, np.searchsorted(start, at, "left"))
 
 
 def totals(values: np.ndarray, at: np.ndarray) -> np.ndarray:

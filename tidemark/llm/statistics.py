@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from tidemark.llm._words import SPACE, U, Words, edges, mix, prefix_sums, spans_hash, totals, windows, words
+from tidemark.llm._words import SPACE, U, Words, mix, spans_hash, totals, windows, words
 
 _bytes = np.arange(256)
 UPPER = (_bytes >= 65) & (_bytes <= 90)
@@ -47,23 +47,31 @@ def repeated_words(w: Words, size: int = 5) -> np.ndarray:
     return totals(np.cumsum(change[:-1]) > 0, w.first)
 
 
-def lines(data: np.ndarray, at: np.ndarray, sums: np.ndarray, w: Words) -> tuple[np.ndarray, np.ndarray]:
-    """(owner, hash) of each line, cut at line feeds, that has a word."""
+def lines(data: np.ndarray, at: np.ndarray, w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, whether it is equal to an earlier one of the document) of each line, cut at line feeds, that has a word.
+
+    Hashes find the lines that may be equal; their bytes decide.
+    """
     cut = np.flatnonzero(data == 10)
     start = np.union1d(at[:-1], cut + 1)
     start = start[start < len(data)]
     owner = np.searchsorted(at, start, "right") - 1
     end = np.minimum(np.r_[cut, len(data)][np.searchsorted(cut, start)], at[owner + 1])
     has = np.searchsorted(w.start, end, "left") > np.searchsorted(w.start, start, "left")
-    return owner[has], spans_hash(sums, start[has], end[has])
+    hashes, owner, start, end = spans_hash(data, start, end)[has], owner[has], start[has], end[has]
+    again = repeats(owner, hashes)
+    seen = set()
+    for k in np.flatnonzero(np.isin(hashes, hashes[again])).tolist():
+        line = (int(owner[k]), data[start[k] : end[k]].tobytes())
+        again[k] = line in seen
+        seen.add(line)
+    return owner, again
 
 
 def counts(data: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of each document; case counts."""
-    sums = prefix_sums(data, False)
-    w = words(data, at, False, sums)
-    owner, hashes = lines(data, at, sums, w)
-    again = repeats(owner, hashes)
+    w = words(data, at, False)
+    owner, again = lines(data, at, w)
     return {
         "n_words": np.diff(w.first),
         "word_chars": totals(FIRST[data] & ~SPACE[data], at),
@@ -75,9 +83,8 @@ def counts(data: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
 
 def profile(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     """A row of the numbers in PROFILE for each document; an empty one has zeros."""
-    sums = prefix_sums(data, False)
-    w = words(data, at, False, sums)
-    owner, hashes = lines(data, at, sums, w)
+    w = words(data, at, False)
+    owner, again = lines(data, at, w)
     n = np.diff(w.first).astype(float)
     some, length = np.maximum(n, 1), np.maximum(totals(~SPACE[data], at), 1).astype(float)
     share = lambda table: np.sqrt(totals(table[data], at) / length)
@@ -93,5 +100,5 @@ def profile(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.column_stack([
         np.log1p(n), mean, np.log1p(spread), share(UPPER), share(DIGIT), share(SYMBOL), share(STOP), share(SHOUT), share(MARK), share(_bytes >= 128),
         np.log1p(n / np.maximum(n_lines, 1)), 1 - totals(repeats(w.doc, w.hash), w.first) / some,
-        np.bincount(owner[repeats(owner, hashes)], minlength=len(at) - 1) / np.maximum(n_lines, 1), repeated_words(w) / some, bare / some,
+        np.bincount(owner[again], minlength=len(at) - 1) / np.maximum(n_lines, 1), repeated_words(w) / some, bare / some,
     ])
