@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -18,3 +18,9 @@ def shared_dir(spark: SparkSession) -> str:
             raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
     return context.getCheckpointDir()
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """The frame cut from its lineage, written once to the shared folder; it survives the loss of executors."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
