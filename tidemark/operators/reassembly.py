@@ -1,4 +1,4 @@
-"""TCP reassembly as windows over byte ranges."""
+"""TCP reassembly as windows over byte ranges (W01, W02, W07, J16, A08, A10); numbers that wrap are counted on first."""
 
 from __future__ import annotations
 
@@ -6,6 +6,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def unwrapped(segments: DataFrame, flow: str = "flow", width: int = 1 << 32) -> DataFrame:
+    """The segments (flow, pkt_no, seq) with `seq` counted on where it wraps at `width`.
+
+    In the order of arrival, a step down by more than half of the width is a wrap, and one up by as much a late segment from
+    before it; the running sum of both is what a number has to be raised by.  One shuffle by flow, which later windows use too.
+    """
+    arrived = Window.partitionBy(flow).orderBy("pkt_no")
+    step = F.col("seq") - F.coalesce(F.lag("seq").over(arrived), F.col("seq"))
+    turned = segments.withColumn("turn", F.when(step < -(width // 2), 1).when(step > width // 2, -1).otherwise(0))
+    return turned.withColumn("seq", F.col("seq") + F.lit(width) * F.sum("turn").over(arrived)).drop("turn")
+
+
 def walk(segments: DataFrame, by_arrival: bool = False) -> DataFrame:
     """Each segment (flow, pkt_no, seq, len) with new_bytes, gap and overlap.
 

@@ -1,4 +1,4 @@
-"""The folder that driver and executors share."""
+"""The folder that driver and executors share, and stores by URI."""
 
 from __future__ import annotations
 
@@ -24,3 +24,13 @@ def kept(df: DataFrame) -> DataFrame:
     """The frame cut from its lineage, written once to the shared folder; it survives the loss of executors."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def filesystem(uri: str):
+    """(store, place in it) of a URI as Spark writes it: a store that tasks read ranges from, and write whole files to."""
+    from pyarrow import fs
+
+    scheme, sep, rest = uri.partition(":")
+    if sep and scheme in ("s3a", "s3n"):
+        uri = f"s3:{rest}"
+    return fs.FileSystem.from_uri(uri if sep and len(scheme) > 1 else f"file://{uri}")
