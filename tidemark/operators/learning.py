@@ -151,21 +151,6 @@ def delong(df: DataFrame, p: str, y: str) -> DataFrame:
     return m.select((F.col("sa") / F.col("m")).alias("auc"), (var("sa", "qa", "m") + var("sb", "qb", "n")).alias("variance"))
 
 
-def smooth_calibration(df: DataFrame, p: str, y: str, grid: int = 100) -> DataFrame:
-    """The mean distance between p and outcomes smoothed by a Gaussian kernel of Silverman's width (.015 to .35).
-
-    Rows are first added up on a grid of probabilities, so the pairs of the kernel are as many as the grid has, not the rows.
-    """
-    cells = df.groupBy(F.round(F.col(p) * grid).alias("i")).agg(F.count("*").alias("n"), F.avg(p).alias("p"), F.avg(y).alias("y"))
-    stats = df.agg(F.stddev_pop(p).alias("sd"), F.percentile(p, F.array(F.lit(0.25), F.lit(0.75))).alias("q"), F.count("*").alias("total"))
-    width = F.greatest(F.lit(0.015), F.least(F.lit(0.35), 0.9 * F.least("sd", (F.col("q")[1] - F.col("q")[0]) / 1.34) * F.pow("total", F.lit(-0.2))))
-    with_width = cells.join(F.broadcast(stats.select(width.alias("h"), "total")), F.lit(True))
-    other = cells.select(F.col("n").alias("n2"), F.col("p").alias("p2"), F.col("y").alias("y2"))
-    k = F.col("n2") * F.exp(-0.5 * ((F.col("p") - F.col("p2")) / F.col("h")) ** 2)
-    smooth = with_width.join(F.broadcast(other), F.lit(True)).groupBy("i", "n", "p", "total").agg((F.sum(k * F.col("y2")) / F.sum(k)).alias("s"))
-    return smooth.agg((F.sum(F.col("n") * F.abs(F.col("s") - F.col("p"))) / F.first("total")).alias("ece"))
-
-
 def permutation_p(df: DataFrame, id_: str, p: str, y: str, rounds: int = 200, blocks: int = 256, seed: int = 1) -> DataFrame:
     """(1 + how often a permutation of the labels has the mean difference or more) / (1 + rounds).
 

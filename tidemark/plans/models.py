@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import learning, rules
+from tidemark.operators import calibration, learning, rules
 from tidemark.plans.evaluation import _SCORED, scored
 from tidemark.plans.registry import query
 from tidemark.sources.tables import read, verdicts
@@ -41,9 +41,9 @@ def delong_variance(spark, sf):
     return learning.delong(scored(spark, sf), "p", "y").select(F.round("auc", 9).alias("auc"), F.round("variance", 12).alias("variance"))
 
 
-@query(f"with {_SCORED}, c as (select round(p * 100) as i, count(*) as n, avg(p) as p, avg(y) as y from s group by 1), w as (select greatest(0.015, least(0.35, 0.9 * least(stddev_pop(p), (quantile_cont(p, 0.75) - quantile_cont(p, 0.25)) / 1.34) * pow(count(*), -0.2))) as h, count(*) as total from s), k as (select a.i, a.n, a.p, w.total, sum(b.n * exp(-0.5 * ((a.p - b.p) / h) ** 2) * b.y) / sum(b.n * exp(-0.5 * ((a.p - b.p) / h) ** 2)) as sm from c a, c b, w group by 1, 2, 3, 4) select round(sum(n * abs(sm - p)) / any_value(total), 9) as ece from k")
+@query(f"with {_SCORED}, w as (select greatest(0.015, least(0.35, 0.9 * least(stddev_pop(p), (quantile_cont(p, 0.75) - quantile_cont(p, 0.25)) / 1.34) * pow(count(*), -0.2))) as h from s), k as (select a.doc_id, a.p, sum(exp(-0.5 * ((a.p - b.p) / h) ** 2) * b.y) / sum(exp(-0.5 * ((a.p - b.p) / h) ** 2)) as sm from s a, s b, w group by 1, 2) select round(avg(abs(sm - p)), 9) as ece from k")
 def ece_smooth(spark, sf):
-    return learning.smooth_calibration(scored(spark, sf), "p", "y").select(F.round("ece", 9).alias("ece"))
+    return calibration.smooth_error(scored(spark, sf), "p", "y").select(F.round("ece", 9).alias("ece"))
 
 
 @query(f"with {_SCORED}, r as (select doc_id, p, t.r, ('0x' || substr(sha256('1|' || doc_id || '|' || t.r), 1, 8))::bigint as u from s, (select unnest(range(1, 201)) as r) t), o as (select r, p, row_number() over (partition by r order by u, doc_id) <= (select sum(y) from s) as one from r), d as (select r, avg(case when one then p end) - avg(case when not one then p end) as d from o group by 1) select (1 + count(*) filter (where d >= (select avg(case when y = 1 then p end) - avg(case when y = 0 then p end) from s))) / (1 + count(*)) as p_value from d")
