@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.plans.registry import query
-from tidemark.streaming import flows
+from tidemark.streaming import board, flows
 
 
 @query("select user_id, event_type, count(*) as version, arg_max(event_id, (ts, event_id)) as event_id from events group by 1, 2")
@@ -39,3 +39,14 @@ def stream_deduplicated(spark, sf):
 @query("select user_id, event_id, ups >= 2 as escalated from (select user_id, event_id, event_type, coalesce(sum(case when event_type = 'purchase' then 1 else 0 end) over (partition by user_id order by ts, event_id rows between 10 preceding and 1 preceding), 0) as ups from events) where event_type = 'error'")
 def stream_escalation(spark, sf):
     return flows.drain(flows.escalations(flows.events(spark, sf)), "append")
+
+
+@query("""with r as (select event_id, value, row_number() over (order by ts desc, event_id desc) as nr from events), n as (select string_agg(event_id, ',' order by nr) as newest from r where nr <= 25), m as (select round(avg(value), 6) as mean_ms from r where nr <= 20),
+c as (select count(*) filter (event_type <> 'error') as allowed, count(*) filter (event_type = 'error') as blocked from events) select newest, mean_ms, allowed, blocked, round(allowed * 100.0 / (allowed + blocked))::int as allowed_percent from n, m, c""")
+def stream_board(spark, sf):
+    """The board after all events, which come in four deliveries; refreshes are half a second apart."""
+    path = f"{flows.folder(spark)}/in"
+    spark.read.parquet(f"{sf}/events.parquet").repartitionByRange(4, "event_id").write.parquet(path)
+    given = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path).withColumn("at", F.col("ts").cast("timestamp"))
+    told = board.follow(board.tellings(given, F.col("event_type") == "error", F.col("value"), 500), 500, "100 milliseconds")
+    return board.overview(told).select(F.array_join("newest", ",").alias("newest"), F.round("mean_ms", 6).alias("mean_ms"), "allowed", "blocked", "allowed_percent")
