@@ -80,3 +80,112 @@ def test_paired_delong_with_ties_and_nulls(spark):
     same = comparison.paired_delong(df, "a", "a", "y").first()
     assert same.z is None and abs(same.cov - same.var_a) < 1e-12
     assert comparison.paired_delong(df.where("y = 1"), "a", "b", "y").first().cov is None
+
+
+def brute_nearest(x, y, own):
+    d = np.sqrt(((x[:, None] - y[None]) ** 2).sum(axis=2))
+    if own:
+        np.fill_diagonal(d, np.inf)
+    return d.min(axis=1)
+
+
+def test_nearest_neighbours_and_what_pruning_saves(spark):
+    from tidemark.operators import neighbours
+
+    rng = np.random.default_rng(7)
+    train, test = rng.random((4000, 2)) * [1, 3] + 1e6, rng.random((600, 2)) * [1.2, 3] + 1e6
+    train[:40] = train[40:80]  # some twice
+    frame = lambda x: spark.createDataFrame([(v.tolist(),) for v in x], "x array<double>").repartition(4)
+    a, b = frame(train), frame(test)
+    got = {tuple(r.x): r for r in neighbours.nearest(b, a).collect()}
+    want = brute_nearest(test, train, False)
+    assert len(got) == 600 and all(abs(got[tuple(v)].distance - w) < 1e-9 for v, w in zip(test.tolist(), want))
+    assert sum(r.compared for r in got.values()) < 0.1 * 4000 * 600
+    own = {tuple(r.x): r.distance for r in neighbours.apart(a).collect()}
+    want = brute_nearest(train, train, True)
+    assert all(abs(own[tuple(v)] - w) < 1e-9 for v, w in zip(train.tolist(), want))
+    e = neighbours.extrapolation(a, b).first()
+    limit = np.quantile(want, 0.95)
+    beyond = int((brute_nearest(test, train, False) > limit).sum())
+    assert abs(e.limit - limit) < 1e-9 and e.beyond == beyond and e.n == 600 and abs(e.z - (beyond - 30) / math.sqrt(600 * 0.05 * 0.95)) < 1e-9
+
+
+def test_neighbours_of_few_equal_and_no_points(spark):
+    from tidemark.operators import neighbours
+
+    frame = lambda x: spark.createDataFrame([(v,) for v in x], "x array<double>")
+    assert [r.distance for r in neighbours.nearest(frame([[1.0, 2.0]]), frame([])).collect()] == [None]
+    assert [r.distance for r in neighbours.nearest(frame([[1.0, 2.0], None]), frame([[1.0, 2.0]] * 3)).collect()] == [0.0]
+    assert [r.distance for r in neighbours.apart(frame([[1.0, 2.0]])).collect()] == [None] and [r.distance for r in neighbours.apart(frame([[1.0, 2.0]] * 2)).collect()] == [0.0]
+    e = neighbours.extrapolation(frame([[1.0]]), frame([[5.0]])).first()
+    assert e.limit is None and e.z is None and e.beyond is None
+    e = neighbours.extrapolation(frame([[1.0], [2.0]]), frame([])).first()
+    assert e.n == 0 and e.z is None
+
+
+def test_groups_are_dealt_evenly_and_into_one_fold_each(spark):
+    from tidemark.operators import folds
+
+    rng, rows = random.Random(3), []
+    for g in range(300):
+        n = rng.choice([1, 1, 1, 2, 5, 20]) if g else 400  # one group holds a part of all rows
+        rows += [(f"g{g}" if g != 7 else None, int(rng.random() < rng.choice([0.1, 0.9]))) for _ in range(n)]
+    rows += [("no label", None)] * 3
+    df = spark.createDataFrame(rows, "g string, y int").repartition(4)
+    got = folds.stratified_groups(df, "g", "y", 4).collect()
+    fold = {r.g: r.fold for r in got}
+    assert len(got) == len(fold) == len({g for g, _ in rows}) and set(fold.values()) == set(range(4))
+    sizes, ones = [0] * 4, [0] * 4
+    for g, y in rows:
+        sizes[fold[g]] += 1
+        ones[fold[g]] += y == 1
+    rest = sorted(sizes)[:3]  # the fold of the large group is as large as that group at least
+    assert max(rest) - min(rest) <= 40 and max(ones) <= max(400, 0.4 * sum(ones))
+    assert folds.stratified_groups(df.limit(0), "g", "y", 4).count() == 0
+
+
+def test_a_column_is_permuted_over_all_rows(spark):
+    from tidemark.functions.hashing import uniform
+    from tidemark.operators import folds
+
+    df = spark.range(500).selectExpr("id", "id * 7 as x").repartition(5)
+    got = {r.id: r.value for r in folds.permuted(df, "id", "x", 3).collect()}
+    assert sorted(got.values()) == [7 * k for k in range(500)] and sum(v == 7 * k for k, v in got.items()) < 20
+    order = lambda s: [r.id for r in df.orderBy(uniform(F.lit(s), F.col("id"))).collect()]
+    assert all(got[a] == 7 * b for a, b in zip(order(3), order(4)))
+
+
+def test_conditional_columns_follow_the_others(spark):
+    from tidemark.operators import folds
+
+    rng = np.random.default_rng(2)
+    a, noise = rng.random(600), rng.normal(0, 0.02, 600)
+    df = spark.createDataFrame([(i, float(x), float(2 * x + e), float(z)) for i, (x, e, z) in enumerate(zip(a, noise, rng.random(600)))], "id int, a double, b double, z double")
+    train, test = df.where("id % 3 > 0"), df.where("id % 3 = 0")
+    rows = folds.conditional(train, test, "id", ["a", "b", "z"], "b", 2, 5).join(test, "id").collect()
+    assert len(rows) == 400 and {r.round for r in rows} == {0, 1}
+    told, true, x = (np.array([getattr(r, n) for r in rows]) for n in ("value", "b", "a"))
+    assert np.corrcoef(told, x)[0, 1] > 0.9 and not np.allclose(told, true)
+    low, high = train.agg(F.min("b"), F.max("b")).first()
+    assert told.min() >= low and told.max() <= high
+
+
+def test_models_without_a_group_are_those_of_the_rest(spark):
+    from tidemark.operators import folds
+
+    rng = random.Random(9)
+    rows = [(rng.choice("abcd"), rng.randrange(2), rng.random(), rng.random()) for _ in range(200)] + [("e", 1, 0.5, 0.5)]
+    df = spark.createDataFrame([(g, y, u + y * 0.3, v) for g, y, u, v in rows], "g string, y int, u double, v double")
+    got = {r.g: r.auc for r in folds.leave_one_group_out(df, "g", ["u", "v"], "y", 0.2).collect()}
+    x = df.toPandas()
+    for g in "abcd":
+        train, test = x[x.g != g], x[x.g == g]
+        odds = np.log((train.y == 1).sum() / (train.y == 0).sum()) + np.zeros(len(test))
+        for f in ("u", "v"):
+            for k, sign in ((0, 1), (1, -1)):
+                mine = train[train.y == k][f]
+                var = 0.8 * mine.var(ddof=0) + 0.2 * train[f].var(ddof=0)
+                odds = odds + sign * ((test[f] - mine.mean()) ** 2 / (2 * var) + np.log(var) / 2)
+        one, zero = odds[test.y == 1].to_numpy(), odds[test.y == 0].to_numpy()
+        assert abs(got[g] - ((one[:, None] > zero).mean() + 0.5 * (one[:, None] == zero).mean())) < 1e-6
+    assert got["e"] is None

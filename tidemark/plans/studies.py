@@ -63,3 +63,120 @@ def ndcg_comparison(spark, sf):
     g = read(spark, sf, "lineitem").select(c("l_orderkey").alias("q"), ((c("l_partkey") * 10 + c("l_linenumber")) * 100 + c("l_quantity").cast("bigint")).alias("item"), (F.pow(F.lit(2.0), c("l_quantity") % 5) - 1).alias("gain"), ((c("l_partkey") * 13) % 97 / 97.0).alias("sa"), (c("l_quantity") % 5 + part).alias("sb"))
     found = comparison.ndcg_difference(g, "q", "item", "gain", "sa", "sb", 3, 50, 17)
     return found.select(*[F.round(x, 6).alias(x) for x in found.columns[:-1]], "verdict")
+
+
+_PLACES = "f as (select c_custkey as k, c_acctbal / 1000 as a, coalesce(avg(o_totalprice), 0) / 50000 as b, coalesce(count(o_orderkey), 0) / 4.0 as n, c_custkey % 5 = 0 and c_custkey % 15 <> 0 as test, c_custkey % 75 = 5 as odd from customer left join orders on o_custkey = c_custkey group by 1, 2, 5, 6), g as (select k, test, a + case when odd then 3 else 0 end as a, b, n from f)"
+
+
+def places(spark, sf):
+    """Customers as points: balance, mean price and number of their orders; a few of those to be tested are put elsewhere."""
+    orders = read(spark, sf, "orders").groupBy("o_custkey").agg(F.avg("o_totalprice").alias("b"), F.count("*").alias("n"))
+    k = c("c_custkey")
+    joined = read(spark, sf, "customer").join(orders, k == c("o_custkey"), "left")
+    point = F.array(c("c_acctbal") / 1000 + F.when(k % 75 == 5, 3).otherwise(0), F.coalesce(c("b"), F.lit(0.0)) / 50000, F.coalesce(c("n"), F.lit(0)) / 4.0)
+    return joined.select(((k % 5 == 0) & (k % 15 != 0)).alias("test"), point.alias("x"))
+
+
+@query(f"""with {_PLACES}, d as (select i.k, i.test, min(sqrt((i.a - j.a) ** 2 + (i.b - j.b) ** 2 + (i.n - j.n) ** 2)) as d from g i join g j on not j.test and i.k <> j.k group by 1, 2), l as (select quantile_cont(d, 0.95) as l from d where not test)
+select round(any_value(l), 6) as "limit", count(*) as n, count(*) filter (d > l) as beyond, round((count(*) filter (d > l) - count(*) * 0.05) / sqrt(count(*) * 0.05 * 0.95), 6) as z from d, l where test""")
+def extrapolation_test(spark, sf):
+    """Whether tested customers lie outside of what a model would have been trained on."""
+    from tidemark.operators import neighbours
+
+    p = places(spark, sf)
+    found = neighbours.extrapolation(p.where("not test"), p.where("test"))
+    return found.select(F.round("limit", 6).alias("limit"), "n", "beyond", F.round("z", 6).alias("z"))
+
+
+FEATURES = ["size", "marks", "wide"]
+
+
+def traits(spark, sf):
+    """Labelled documents with three numbers of their texts, and a fold of their source by hash."""
+    from tidemark.functions.hashing import bucket
+
+    text = F.coalesce(c("text"), F.lit(""))
+    count = lambda pattern: F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
+    docs = read(spark, sf, "documents").select("doc_id", "source", F.log1p(F.length(text)).alias("size"), (count(r"[^A-Za-z \n]") / (F.length(text) + 1)).alias("marks"), (count("[A-Z]") / (F.length(text) + 1)).alias("wide"))
+    return read(spark, sf, "labels").join(docs, "doc_id").select("doc_id", "source", bucket(c("source"), 5).cast("int").alias("fold"), c("quality").alias("y"), *FEATURES)
+
+
+_TRAITS = "t as (select l.doc_id, d.source, ('0x' || substr(sha256(d.source), 1, 8))::bigint % 5 as fold, l.quality as y, ln(1 + length(coalesce(text, ''))) as size, (length(coalesce(text, '')) - length(regexp_replace(coalesce(text, ''), '[^A-Za-z \\n]', '', 'g'))) / (length(coalesce(text, '')) + 1) as marks, (length(coalesce(text, '')) - length(regexp_replace(coalesce(text, ''), '[A-Z]', '', 'g'))) / (length(coalesce(text, '')) + 1) as wide from labels l join documents d on d.doc_id = l.doc_id)"
+
+
+def _moments(keys: str, rows: str) -> str:
+    """SQL of the means and variances by class of rows, and of the rows together."""
+    per = ", ".join(f"avg({f}) filter (y = {k}) as {f}_m{k}, var_pop({f}) filter (y = {k}) as {f}_v{k}" for f in FEATURES for k in (0, 1))
+    return f"select {keys}count(*) filter (y = 0) as n0, count(*) filter (y = 1) as n1, {per}, {', '.join(f'var_pop({f}) as {f}_v' for f in FEATURES)} from {rows}"
+
+
+def _odds(shrink: str) -> str:
+    """SQL of a row's score by a model `m`."""
+    var = lambda f, k: f"greatest((1 - {shrink}) * m.{f}_v{k} + {shrink} * m.{f}_v, 1e-9 * m.{f}_v)"
+    part = lambda f, k: f"((x.{f} - m.{f}_m{k}) ** 2 / (2 * {var(f, k)}) + ln({var(f, k)}) / 2)"
+    return "round(ln(m.n1 / m.n0) + " + " + ".join(f"{part(f, 0)} - {part(f, 1)}" for f in FEATURES) + ", 9)"
+
+
+def _auc(keys: str, rows: str) -> str:
+    """SQL of the AUC by keys of rows (keys, y, p)."""
+    over = f"partition by {keys}" if keys else ""
+    ranked = f"select *, rank() over ({over} order by p) + (count(*) over ({'partition by ' + keys + ', p' if keys else 'partition by p'}) - 1) / 2.0 as rk from {rows}"
+    return f"select {keys + ', ' if keys else ''}case when sum(y) > 0 and sum(y) < count(*) then (sum(rk) filter (where y = 1) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * (count(*) - sum(y))) end as auc, count(*) as n from ({ranked}) {'group by ' + keys if keys else ''}"
+
+
+@query(f"""with {_TRAITS}, g as (select unnest([0.0, 0.3, 0.9]) as shrink), f as (select distinct fold from t), o as (select a.fold as outer_, b.fold as inner_ from f a join f b on a.fold <> b.fold),
+tr as (select outer_, inner_, t.* from o join t on t.fold not in (outer_, inner_)), mi as ({_moments('outer_, inner_, ', 'tr group by 1, 2')}), si as (select m.outer_, m.inner_, shrink, x.y, {_odds('shrink')} as p from mi m join t x on x.fold = m.inner_, g),
+ai as ({_auc('outer_, inner_, shrink', 'si')}), b as (select outer_, shrink, round(avg(auc), 12) as inner_auc from ai group by 1, 2), h as (select *, row_number() over (partition by outer_ order by inner_auc desc, shrink) as r from b),
+tt as (select a.fold as outer_, t.* from f a join t on t.fold <> a.fold), mo as ({_moments('outer_, ', 'tt group by 1')}), so as (select m.outer_, x.y, {_odds('h.shrink')} as p from mo m join t x on x.fold = m.outer_ join h on h.outer_ = m.outer_ and h.r = 1), ao as ({_auc('outer_', 'so')})
+select h.outer_ as fold, shrink, round(inner_auc, 6) as inner_auc, round(auc, 6) as auc from h left join ao using (outer_) where r = 1""")
+def nested_folds(spark, sf):
+    """Each fold's best shrinkage by inner folds, and its AUC on the fold itself."""
+    from tidemark.operators import folds
+
+    found = folds.nested(traits(spark, sf), "fold", FEATURES, "y", 5, [0.0, 0.3, 0.9])
+    return found.select(c("outer").alias("fold"), "shrink", F.round("inner_auc", 6).alias("inner_auc"), F.round("auc", 6).alias("auc"))
+
+
+@query(f"""with {_TRAITS}, s as (select distinct source as held from t), tt as (select held, t.* from s join t on t.source <> held), m as ({_moments('held, ', 'tt group by 1')}), sc as (select m.held, x.y, {_odds('0.1')} as p from m join t x on x.source = m.held), a as ({_auc('held', 'sc')})
+select held as source, n, round(auc, 6) as auc from a""")
+def fitted_leave_one_group_out(spark, sf):
+    """The AUC on each source of a model that has not seen it."""
+    from tidemark.operators import folds
+
+    return folds.leave_one_group_out(traits(spark, sf), "source", FEATURES, "y", 0.1).select("source", "n", F.round("auc", 6).alias("auc"))
+
+
+def _moved(feature: str, seed: int) -> str:
+    """SQL of the test rows with a feature's column permuted as the operator does."""
+    rank = lambda s: f"row_number() over (order by ('0x' || substr(sha256('{s}|' || doc_id), 1, 8))::bigint) as place"
+    kept_ = ", ".join(f"e.{f}" if f != feature else "v.value as " + f for f in FEATURES)
+    return f"select '{feature}' as feature, {seed} as r, e.y, {kept_} from (select *, {rank(seed)} from e) e join (select {feature} as value, {rank(seed + 1)} from e) v using (place)"
+
+
+@query(f"""with {_TRAITS}, tr as (select * from t where fold <> 0), e as (select * from t where fold = 0), m as ({_moments('', 'tr')}), b as (select x.y, {_odds('0.1')} as p from e x, m), base as ({_auc('', 'b')}),
+u as ({' union all '.join(_moved(f, 100 + 2 * (k * 2 + r)) for k, f in enumerate(FEATURES) for r in range(2))}), sc as (select feature, r, x.y, {_odds('0.1')} as p from u x, m), a as ({_auc('feature, r', 'sc')})
+select feature, round(any_value(base.auc), 6) as auc, round(avg(a.auc), 6) as permuted_auc, round(any_value(base.auc) - avg(a.auc), 6) as importance from a, base group by 1""")
+def permutation_importance(spark, sf):
+    """What each number of the texts adds, on sources that the model has not seen."""
+    from tidemark.operators import folds
+
+    t = traits(spark, sf)
+    found = folds.permutation_importance(t.where("fold <> 0"), t.where("fold = 0"), "doc_id", FEATURES, "y", 2, 100, 0.1)
+    return found.select("feature", *[F.round(x, 6).alias(x) for x in ("auc", "permuted_auc", "importance")])
+
+
+@query()
+def conditional_importance(spark, sf):
+    """The same with columns that keep what the others tell of them, by a forest."""
+    from tidemark.operators import folds
+
+    t = traits(spark, sf)
+    return folds.conditional_importance(t.where("fold <> 0"), t.where("fold = 0"), "doc_id", FEATURES, "y", 2, 100, 0.1)
+
+
+@query()
+def stratified_group_folds(spark, sf):
+    """Sources dealt to five folds that are alike in rows and in labels."""
+    from tidemark.operators import folds
+
+    return folds.stratified_groups(traits(spark, sf), "source", "y", 5)
