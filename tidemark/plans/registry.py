@@ -14,6 +14,8 @@ def query(sql: str | None = None):
     """Registers a function of (spark, sf_dir) under its name; without SQL it is tested by other means."""
 
     def add(f):
+        if f.__name__ in QUERIES:
+            raise ValueError(f"{f.__name__} is registered already")
         QUERIES[f.__name__] = f
         if sql:
             ORACLE_SQL[f.__name__] = sql
