@@ -180,3 +180,20 @@ def test_pem(spark):
     got = captures.certificates(spark.createDataFrame([("f", text), ("g", None)], "name string, text string")).collect()
     assert [(r.name, r.nr, bytes(r.der)) for r in got] == [("f", 0, b"\x00\x01\x02"), ("f", 1, b"\x03\x04")]
     assert io.BytesIO(bytes(got[0].der)).read() == b"\x00\x01\x02"
+
+
+def test_hints_policies_and_early_data_in_findings(spark, sf):
+    from pyspark.sql import functions as F
+
+    from tidemark.operators import rules
+    from tidemark.sources.tables import verdicts
+
+    flows = verdicts(spark, sf).where("starttls_mode = 'none' and tls.version <> 'unknown'").limit(3)
+    lines = F.array(F.struct(F.lit("250-STARTTLS removed by a middlebox").alias("line")))
+    checks = lambda **more: flows.select("flow_id", rules.findings(rules.registry(**more)).alias("f")).collect()
+    named = lambda rows, check: [[x.evidence for x in r.f if x.check == check] for r in rows]
+    assert flows.count() == 3 and named(checks(), "STARTTLS stripping suspected") == [[]] * 3
+    assert all(e and "low conf" in e[0] for e in named(checks(transcript=lines), "STARTTLS stripping suspected"))
+    assert named(checks(policy=F.lit("MTA-STS enforce, DANE present")), "MX/MTA-STS/DANE") == [["MTA-STS enforce, DANE present"]] * 3
+    early = flows.withColumn("tls", F.col("tls").withField("early_data_offered", F.lit(True)).withField("early_data_accepted", F.lit(False)).withField("psk_offered", F.lit(False)).withField("ech_outer_present", F.lit(False)))
+    assert named(early.select("flow_id", rules.findings(rules.registry()).alias("f")).collect(), "0-RTT / ECH") == [["early data offered and not accepted"]] * 3

@@ -1,4 +1,4 @@
-"""Small numeric functions."""
+"""Small numeric functions."""
 
 from __future__ import annotations
 

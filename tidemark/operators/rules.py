@@ -33,12 +33,22 @@ AS_OF = "2025-01-01T00:00:00Z"
 class Check:
     name: str
     spec: str
-    cases: list[tuple[Column, str, str]]  # condition, severity, evidence; the first that holds counts
+    cases: list[tuple[Column, str, str | Column]]  # condition, severity, evidence; the first that holds counts
     remedy: str
 
 
-def registry(escalated: Column | None = None, private_ca: bool = False, as_of: str = AS_OF) -> list[Check]:
-    """escalated: whether two of the last flows of the protocol had been upgraded; as_of: the time of the assessment."""
+# fixed values: what lines of a transcript say of an upgrade that was taken out
+REMOVED = "stripp|250[- ]starttls removed|ehlo response modified"
+
+
+def hinted(transcript: Column) -> Column:
+    """Whether any line of a transcript (array of structs with `line`) tells that the upgrade was taken out."""
+    return F.coalesce(F.exists(transcript, lambda x: F.lower(x["line"]).rlike(REMOVED)), F.lit(False))
+
+
+def registry(escalated: Column | None = None, private_ca: bool = False, as_of: str = AS_OF, transcript: Column | None = None, policy: Column | None = None) -> list[Check]:
+    """escalated: whether two of the last flows of the protocol had been upgraded; as_of: the time of the assessment; transcript: the flow's
+    lines, whose hints count; policy: evidence of the host's policy records, as validation.policy_evidence gives it."""
     c = F.col
     ver = F.coalesce(F.when(c("tls.version") == "none", "unknown").otherwise(c("tls.version")), F.lit("unknown"))
     mode = F.coalesce(F.when(c("starttls_mode") == "cleartext", "none").otherwise(c("starttls_mode")), F.lit("none"))
@@ -49,6 +59,9 @@ def registry(escalated: Column | None = None, private_ca: bool = False, as_of: s
     factored = algo.startswith("RSA") | (algo == "DH") | (algo == "")
     sig = F.lower(F.coalesce(c("cert.sigalg"), F.lit("")))
     stripped = (mode == "stripped") | (yes(c("starttls_advertised")) & (mode == "none") & (ver == "unknown") & ~shook)
+    if transcript is not None:
+        stripped = stripped | (hinted(transcript) & ~mode.isin("upgrade", "implicit"))
+    records = F.lit("policy records") if policy is None else F.coalesce(policy, F.lit("no policy records"))
     pre, early = c("pre_tls_buffer_len"), yes(c("tls.early_data_offered"))
     chain, broken = "High" if not private_ca else "Medium", no(c("cert.chain_valid"))
     early_cert = no(c("cert.is_expired")) & yes(F.try_to_timestamp(c("cert.not_before")) > F.lit(as_of).cast("timestamp"))
@@ -74,8 +87,8 @@ def registry(escalated: Column | None = None, private_ca: bool = False, as_of: s
         Check("STARTTLS stripping suspected", "RFC3207", [(stripped & escalated, "Critical", "upgraded before, stripped now"), (stripped, "High", "downgrade possible (low conf)")], "Compare with earlier sessions"),
         Check("Pre-TLS injection possible", "CVE-2011-0411", [(yes((pre > 0) & c("pre_tls_buffer_injection_possible")), "High", "bytes before the handshake"), (yes(pre != 0), "Info", "no injection seen")], "Discard buffered bytes"),
         Check("Implicit TLS absent", "RFC8314", [((mode != "implicit") & app.isin("imap", "pop3"), "Info", "no implicit TLS")], "Offer 993 or 995"),
-        Check("MX/MTA-STS/DANE", "RFC8461", [(always, "Info", "policy records")], "Publish MTA-STS or DANE"),
-        Check("0-RTT / ECH", "RFC8446", [(yes(c("tls.ech_outer_present")), "Info", "outer hello"), (early & yes(c("tls.psk_offered")) & yes(c("tls.ticket_age") > 0), "Medium", "early data may be replayed"), (always, "Info", "nothing to replay")], "Bound ticket age"),
+        Check("MX/MTA-STS/DANE", "RFC8461", [(always, "Info", records)], "Publish MTA-STS or DANE"),
+        Check("0-RTT / ECH", "RFC8446", [(yes(c("tls.ech_outer_present")), "Info", "outer hello"), (early & yes(c("tls.psk_offered")) & yes(c("tls.ticket_age") > 0), "Medium", "early data may be replayed"), (early & ~yes(c("tls.early_data_accepted")), "Info", "early data offered and not accepted"), (always, "Info", "nothing to replay")], "Bound ticket age"),
         Check("Certificate expiry <30d", "CABF BR", [(yes(c("cert.days_to_expiry") < 30) & ~yes(c("cert.is_expired")), "Medium", "expires soon")], "Renew"),
         Check("KeyUsage missing", "RFC5280", [(leaf & broken, "High", "key usage"), (always, "Info", "not evaluated")], "Add key usage"),
         Check("ExtendedKeyUsage not serverAuth", "RFC5280", [(leaf & no(c("cert.san_match")), "High", "extended key usage"), (always, "Info", "not evaluated")], "Add serverAuth"),
@@ -89,7 +102,7 @@ def findings(checks: list[Check]) -> Column:
     for k in checks:
         case = F.lit(None)
         for condition, severity, evidence in reversed(k.cases):
-            told = F.struct(F.lit(k.name).alias("check"), F.lit(severity).alias("severity"), F.lit(k.spec).alias("spec"), F.lit(evidence).alias("evidence"), F.lit(k.remedy).alias("remediation"))
+            told = F.struct(F.lit(k.name).alias("check"), F.lit(severity).alias("severity"), F.lit(k.spec).alias("spec"), (evidence if isinstance(evidence, Column) else F.lit(evidence)).alias("evidence"), F.lit(k.remedy).alias("remediation"))
             case = F.when(condition, told).otherwise(case)
         made.append(case)
     return F.filter(F.array(*made), lambda x: x.isNotNull())

@@ -67,6 +67,29 @@ def keep_existing(old: Column, new: Column) -> Column:
     return F.map_concat(old, F.map_filter(new, lambda k, v: ~F.map_contains_key(old, k)))
 
 
+def keep_existing_deep(old: Column, new: Column) -> Column:
+    """The same over two levels: where both have a key, its maps are merged likewise."""
+    return F.map_zip_with(old, new, lambda _, a, b: F.when(a.isNull(), b).when(b.isNull(), a).otherwise(keep_existing(a, b)))
+
+
+def byte_range(header: Column, size: Column) -> Column:
+    """struct(first, last) of a header `bytes=a-b`, `bytes=a-` or `bytes=-n` over so many bytes, the end clamped.
+
+    Null where the header is none of these, names several ranges, or asks for nothing that is there.
+    """
+    part = lambda k: F.nullif(F.regexp_extract(header, "^bytes=([0-9]*)-([0-9]*)$", k), F.lit("")).try_cast("bigint")
+    first, last = part(1), part(2)
+    begin = F.coalesce(first, F.greatest(size - last, F.lit(0)))
+    end = F.when(first.isNull(), size - 1).otherwise(F.least(F.coalesce(last, size - 1), size - 1))
+    asked = first.isNotNull() | (last > 0)
+    return F.when(asked & (begin <= end), F.struct(begin.alias("first"), end.alias("last")))
+
+
+def sliced(body: Column, span: Column) -> Column:
+    """The bytes of a binary column in a range of `byte_range`."""
+    return F.substring(body, (span["first"] + 1).cast("int"), (span["last"] - span["first"] + 1).cast("int"))
+
+
 def sorted_json(fields: dict[str, Column]) -> Column:
     """A document whose keys are in order."""
     return F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import hashing, numbers
-from tidemark.operators import labelling, rules, statistics
+from tidemark.operators import labelling, rules, statistics, store
 from tidemark.operators import relational as rel
 from tidemark.plans.evaluation import _FUNCTIONS, _LABELS, _LONG, _SCORED, label_matrix, scored
 from tidemark.plans.registry import query
@@ -31,6 +31,20 @@ def byte_range_slice(spark, sf):
     return read(spark, sf, "documents").where(F.length(t) > 2).select("doc_id", F.substring(t, 3, 5).alias("part"), (F.least(F.length(t), F.lit(7)) - 2).cast("bigint").alias("size"))
 
 
+@query("""with d as (select doc_id, hex(encode(coalesce(text, ''))) as h, octet_length(encode(coalesce(text, ''))) as n, doc_id % 6 as k, doc_id % 97 as a from documents),
+r as (select *, case k when 0 then a when 1 then 2 * a when 2 then greatest(n - a, 0) when 3 then 0 when 4 then 5000000 end as f, case k when 0 then least(a + 20, n - 1) when 3 then 0 else n - 1 end as l, not (k = 2 and a = 0) and k <> 5 as ok from d)
+select doc_id, case when ok and f <= l then f end as first, case when ok and f <= l then l end as last, case when ok and f <= l then substr(h, 2 * f + 1, 2 * (l - f + 1)) end as part from r""")
+def http_ranges(spark, sf):
+    """What range headers ask of a text's bytes, clamped to what is there."""
+    a = F.col("doc_id") % 97
+    body = F.coalesce("text", F.lit("")).cast("binary")
+    forms = ["bytes=%d-%d", "bytes=%d-", "bytes=-%d", "bytes=0-0", "bytes=5000000-", "bytes=0-1,3-4"]
+    values = [F.format_string(forms[0], a, a + 20), F.format_string(forms[1], 2 * a), F.format_string(forms[2], a), *map(F.lit, forms[3:])]
+    rows = read(spark, sf, "documents").select("doc_id", body.alias("body"), F.element_at(F.array(*values), (F.col("doc_id") % 6 + 1).cast("int")).alias("header"))
+    asked = rows.withColumn("span", store.byte_range(F.col("header"), F.octet_length("body").cast("bigint")))
+    return asked.select("doc_id", "span.first", "span.last", F.hex(store.sliced(F.col("body"), F.col("span"))).alias("part"))
+
+
 @query("select p_partkey, regexp_replace(p_brand, '#[0-9]+$', '') as base, sha256(concat_ws('|', p_brand, p_type, p_size)) as key from part")
 def composite_keys(spark, sf):
     return read(spark, sf, "part").select("p_partkey", F.regexp_replace("p_brand", "#[0-9]+$", "").alias("base"), hashing.composite(F.col("p_brand"), F.col("p_type"), F.col("p_size")).alias("key"))

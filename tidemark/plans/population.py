@@ -33,12 +33,12 @@ def families_written_back(spark, sf):
     return spark.read.parquet(path)
 
 
-@query("select p_partkey % 50 as family_id, sha256(p_brand || p_type) as digest, min(p_partkey) as part from part group by 1, 2")
+@query("with r as (select p_partkey % 50 as family_id, sha256(p_brand || p_type) as digest, p_partkey as part from part), s as (select family_id, digest, -min(part) as part from r where part % 4 = 0 group by 1, 2), n as (select family_id, digest, min(part) as part from r group by 1, 2) select family_id, digest, coalesce(s.part, n.part) as part from n left join s using (family_id, digest)")
 def captures_once(spark, sf):
-    """Of a family and digest what is there stays, so the first of equals is kept."""
+    """Of a family and digest what is stored stays, whatever comes; of new ones the first of equals is kept."""
     rows = read(spark, sf, "part").select((c("p_partkey") % 50).alias("family_id"), F.sha2(F.concat("p_brand", "p_type"), 256).alias("digest"), c("p_partkey").alias("part"))
-    half = store.insert_new(rows.where("part % 2 = 0").limit(0), rows, ["family_id", "digest"], ["part"])
-    return store.insert_new(half, rows, ["family_id", "digest"], ["part"])
+    stored = rows.where("part % 4 = 0").groupBy("family_id", "digest").agg((-F.min("part")).alias("part"))
+    return store.insert_new(stored, rows, ["family_id", "digest"], ["part"])
 
 
 @query("select c_custkey, case when n is null then 'pending' else 'done' end as status, strftime(last_run, '%Y-%m-%d') as last_run from customer left join (select o_custkey, count(*) as n, max(o_orderdate) as last_run from orders group by 1) o on o_custkey = c_custkey")
@@ -67,6 +67,18 @@ def metrics_merged(spark, sf):
     return merged.select("s_suppkey", F.try_element_at("m", F.lit("auc")).alias("auc"), F.try_element_at("m", F.lit("brier")).alias("brier"))
 
 
+@query("select s_suppkey, case when s_suppkey % 3 = 0 then 'old' when s_suppkey % 2 = 0 then 'new' end as auc, case when s_suppkey % 2 = 0 then 'added' end as brier, case when s_suppkey % 3 = 0 then 'kept' end as seed, case when s_suppkey % 2 = 0 then 'whole' end as other from supplier")
+def metrics_merged_deep(spark, sf):
+    """Two levels: a metric that both have keeps its entries and gets those that it lacks."""
+    s, k = read(spark, sf, "supplier"), c("s_suppkey")
+    m = lambda *kv: F.create_map(*[F.lit(x) if isinstance(x, str) else x for x in kv])
+    none = m().cast("map<string,map<string,string>>")
+    old = F.when(k % 3 == 0, m("model", m("auc", "old", "seed", "kept"))).otherwise(none)
+    new = F.when(k % 2 == 0, m("model", m("auc", "new", "brier", "added"), "rival", m("other", "whole"))).otherwise(none)
+    at = lambda a, b: F.try_element_at(F.try_element_at("m", F.lit(a)), F.lit(b))
+    return s.select("s_suppkey", store.keep_existing_deep(old, new).alias("m")).select("s_suppkey", at("model", "auc").alias("auc"), at("model", "brier").alias("brier"), at("model", "seed").alias("seed"), at("rival", "other").alias("other"))
+
+
 @query("select n_nationkey, '{\"name\":\"' || n_name || '\",\"region\":' || n_regionkey || '}' as line from nation")
 def sorted_json_lines(spark, sf):
     """Documents with sorted keys are written to two places; the second is read back."""
@@ -148,6 +160,12 @@ def bag_bootstrap(spark, sf):
     return resampling.interval(resampling.poisson_draws(resampling.group_sums(s, "bucket", c("x")), "bucket", 100, 5)).select(F.round("low", 9).alias("low"), F.round("high", 9).alias("high"), "rounds")
 
 
+@query(f"with {_SCORED}, r as (select unnest(range(1, 51)) as r), u as (select r, doc_id, pow(p - y, 2) as x, {_DRAW.format(s=13, g='doc_id')} as u from r, s), d as (select r, x, case when u < 0.367879441 then 0 when u < 0.735758882 then 1 when u < 0.919698603 then 2 when u < 0.981011843 then 3 when u < 0.996340153 then 4 else 5 end as times from u), e as (select r, sum(times * x) / nullif(sum(times), 0) as m from d group by 1) select round(quantile_cont(m, 0.025), 9) as low, round(quantile_cont(m, 0.975), 9) as high, count(*) as rounds from e")
+def row_bootstrap(spark, sf):
+    """Each row is drawn by itself, 0 to 5 times a round by the Poisson law; a round is summed up before anything meets."""
+    return resampling.interval(resampling.poisson_draws(resampling.group_sums(scored(spark, sf), "doc_id", (c("p") - c("y")) ** 2), "doc_id", 50, 13)).select(F.round("low", 9).alias("low"), F.round("high", 9).alias("high"), "rounds")
+
+
 @query(f"with {_SCORED}, b as (select least(9, cast(floor(p * 10) as integer)) as bin, source, sum(y) as t, count(*) as n from s group by 1, 2), r as (select unnest(range(1, 101)) as r), u as (select r, source, {_DRAW.format(s=7, g='source')} as u from r, (select distinct source from s)), d as (select r, source, case when u < 0.367879441 then 0 when u < 0.735758882 then 1 when u < 0.919698603 then 2 when u < 0.981011843 then 3 when u < 0.996340153 then 4 else 5 end as times from u), e as (select bin, r, sum(times * t) * 1.0 / nullif(sum(times * n), 0) as m from d join b using (source) group by 1, 2) select bin, round(quantile_cont(m, 0.025), 9) as low, round(quantile_cont(m, 0.975), 9) as high, count(m) as rounds from e group by 1")
 def bin_bootstrap(spark, sf):
     """An interval of each bin's rate; a bin that a round leaves empty gives it no value."""

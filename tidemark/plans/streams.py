@@ -36,6 +36,18 @@ def stream_deduplicated(spark, sf):
     return flows.drain(flows.once(flows.events(spark, sf)), "append").groupBy("event_type").agg(F.count("*").alias("n"))
 
 
+@query("select event_type, count(*) + count(*) filter (event_id % 7 = 0) as n from events group by 1")
+def stream_redelivered(spark, sf):
+    """All events come twice, a seventh of them changed the second time; what is the same is dropped, what differs is not."""
+    path = f"{flows.folder(spark)}/in"
+    rows = spark.read.parquet(f"{sf}/events.parquet")
+    changed = rows.withColumn("value", F.when(F.col("event_id") % 7 == 0, F.coalesce("value", F.lit(0.0)) + 1).otherwise(F.col("value")))
+    rows.coalesce(1).write.parquet(path)
+    changed.coalesce(1).write.mode("append").parquet(path)
+    given = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path).withColumn("at", F.col("ts").cast("timestamp"))
+    return flows.drain(flows.once(given), "append").groupBy("event_type").agg(F.count("*").alias("n"))
+
+
 @query("select user_id, event_id, ups >= 2 as escalated from (select user_id, event_id, event_type, coalesce(sum(case when event_type = 'purchase' then 1 else 0 end) over (partition by user_id order by ts, event_id rows between 10 preceding and 1 preceding), 0) as ups from events) where event_type = 'error'")
 def stream_escalation(spark, sf):
     return flows.drain(flows.escalations(flows.events(spark, sf)), "append")
