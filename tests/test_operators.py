@@ -197,3 +197,15 @@ def test_hints_policies_and_early_data_in_findings(spark, sf):
     assert named(checks(policy=F.lit("MTA-STS enforce, DANE present")), "MX/MTA-STS/DANE") == [["MTA-STS enforce, DANE present"]] * 3
     early = flows.withColumn("tls", F.col("tls").withField("early_data_offered", F.lit(True)).withField("early_data_accepted", F.lit(False)).withField("psk_offered", F.lit(False)).withField("ech_outer_present", F.lit(False)))
     assert named(early.select("flow_id", rules.findings(rules.registry()).alias("f")).collect(), "0-RTT / ECH") == [["early data offered and not accepted"]] * 3
+
+
+def test_vectors_of_verdicts_that_lack_fields(spark):
+    from tidemark.functions import vectors
+
+    rows = spark.createDataFrame([("imap", None), (None, True)], "app_protocol string, opaque boolean").selectExpr("app_protocol", "named_struct('is_tls13_opaque', opaque, 'leaf_present', true, 'is_self_signed', true, 'days_to_expiry', 9000) as cert")
+    got = [dict(zip(vectors.ALL_28, r[0])) for r in rows.select(vectors.vector(rows)).collect()]
+    assert len(vectors.ALL_28) == 28 and all(len(g) == 28 and None not in g.values() for g in got)
+    assert got[0]["port"] == 2 and got[0]["cert_missing_reason"] == 3 and got[0]["days_to_expiry"] == 9000 and got[0]["ja4_rarity"] == 0.5 and got[0]["version"] == 4
+    assert got[1]["cert_missing_reason"] == 1 and got[1]["days_to_expiry"] == -1 and got[1]["miss_indicator_days_to_expiry"] == 1 and got[1]["port"] == 0
+    scaled = rows.select(vectors.vector(rows, vectors.TOP_5, True)).first()[0]
+    assert len(scaled) == 5 and scaled[4] == 1.0 and all(-1 <= v <= 1 for v in scaled)

@@ -222,3 +222,23 @@ def feature_vector(spark, sf):
         "flow_id", numbers.category_code("version", c("tls.version")).alias("version_code"), numbers.category_code("kex", c("tls.kex")).alias("kex_code"), F.coalesce(c("cert.days_to_expiry").cast("double"), F.lit(-1.0)).alias("days"), F.coalesce(c("cert.pubkey_bits").cast("double"), F.lit(-1.0)).alias("bits"),
         F.coalesce(c("tls.ja4_rarity"), F.lit(0.5)).alias("rarity"), c("cert.days_to_expiry").isNull().cast("int").alias("miss_days"), c("tls.ja4_rarity").isNull().cast("int").alias("miss_rarity"),
     )
+
+
+_VECTOR = """case version when 'TLS1.0' then 0 when 'TLS1.1' then 1 when 'TLS1.2' then 2 when 'TLS1.3' then 3 else 4 end{c}|case strength when 'strong' then 0 when 'medium' then 1 when 'weak' then 2 else 3 end{c}|case kex when 'ECDHE' then 0 when 'RSA' then 1 when 'DHE' then 2 else 3 end{c}|case starttls_mode when 'upgrade' then 0 when 'implicit' then 1 when 'none' then 2 else 3 end{c}
+|case port when 25 then 0 when 587 then 1 when 993 then 2 when 465 then 3 when 995 then 4 else 5 end{c}|case when opaque then 1 when not leaf then 2 else 0 end{c}|deprecated::int|is_aead::int|fs::int|handshake::int|0|coalesce(ja4_rarity, 0.5)|coalesce(chain_valid::int, -1)|coalesce(san_match::int, -1)|{days}|coalesce(chain_length, -1)|{bits}
+|coalesce(sigalg_weak::int, -1)|coalesce(expired::int, -1)|coalesce(self_signed::int, -1)|coalesce((bits < 2048)::int, -1)|(chain_valid is null)::int|(san_match is null)::int|(days is null)::int|(bits is null)::int|(sigalg is null)::int|(chain_length is null)::int|(ja4_rarity is null)::int"""
+
+
+def _vector_sql(scaled: bool) -> str:
+    days, bits = ("case when days is null then -1 else greatest(0, least(3650, days)) / 3650.0 end", "coalesce(bits / 4096.0, -1)") if scaled else ("coalesce(days, -1)", "coalesce(bits, -1)")
+    return ", ".join(f"round(({x})::double, 9)" for x in _VECTOR.format(c=" / 32.0" if scaled else "", days=days, bits=bits).replace("\n", "").split("|"))
+
+
+@query(f"with flows as ({FLOWS}), v as (select flow_id, [{_vector_sql(False)}] as raw, [{_vector_sql(True)}] as scaled from flows) select flow_id, array_to_string(list_transform(raw, lambda x: printf('%.6f', x)), ',') as raw, array_to_string(list_transform(scaled, lambda x: printf('%.6f', x)), ',') as scaled, array_to_string(list_transform([raw[1], raw[2], raw[3], raw[13], raw[15], raw[9], raw[4], raw[24]], lambda x: printf('%.6f', x)), ',') as top from v")
+def feature_vectors(spark, sf):
+    """All 28 numbers with the seven indicators, raw and scaled, and the eight that models take."""
+    from tidemark.functions import vectors
+
+    v = verdicts(spark, sf)
+    told = lambda names, scaled: F.array_join(F.transform(vectors.vector(v, names, scaled), lambda x: F.format_string("%.6f", F.round(x, 9))), ",")
+    return v.select("flow_id", told(vectors.ALL_28, False).alias("raw"), told(vectors.ALL_28, True).alias("scaled"), told(vectors.TOP_8, False).alias("top"))
