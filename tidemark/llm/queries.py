@@ -21,42 +21,52 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 def op1_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, cut and packed into sequences of 1,024 tokens; null is empty."""
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path(), 1024)
 
 
 def op2_brown_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scored by class n-grams that learn from six sevenths of them; null is empty."""
     return brown.log10_scores(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op3_perplexity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their counts, and whether their perplexity lies in their language's band; null is empty."""
     return perplexity.rules(_table(spark, sf_dir, "documents"))
 
 
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as 8-bit samples in tar shards, read back; null is empty."""
     return media.media_columns(_table(spark, sf_dir, "documents"))
 
 
 def op6_tree_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages; null is empty."""
     return extraction.extract(_table(spark, sf_dir, "pages"))
 
 
 def op5_quadratic_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scored for quality by two thirds of the labels; null is empty."""
     return quality.classify(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels"))
 
 
 def op7_hypergeometric_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shards under the law `rows`; null is empty."""
     return sharding.shard_documents(_table(spark, sf_dir, "documents"), 40)
 
 
 def op8_disclosure_sanitising(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the spans of personal data and of terms that disclose it; null is empty."""
     return sanitising.find(_table(spark, sf_dir, "documents"))
 
 
 def op9_relation_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the component of those that share 90 % of their 3-word shingles; null has none."""
     return jaccard.similar(_table(spark, sf_dir, "documents"), 3, 90)
 
 
 def op10_streaming_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded and decoded as streams; null is empty."""
     return bpe.encode_decode(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
