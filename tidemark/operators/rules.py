@@ -132,6 +132,17 @@ def risk_score(found: Column) -> Column:
     return F.least(F.lit(100), F.aggregate(found, F.lit(0), lambda a, x: a + F.coalesce(lookup(SEVERITY_WEIGHT, x["severity"]), F.lit(0))))
 
 
+def weighed(checks: list[Check]) -> Column:
+    """A11 without findings: of each check the weight of the first case that holds, added up, at most 100."""
+    total = F.lit(0)
+    for k in checks:
+        weight = F.lit(0)
+        for condition, severity, _ in reversed(k.cases):
+            weight = F.when(condition, SEVERITY_WEIGHT[severity]).otherwise(weight)
+        total = total + weight
+    return F.least(F.lit(100), total)
+
+
 def top_finding(found: Column) -> Column:
     """The most severe, the first of equals."""
     ranked = F.transform(found, lambda x, i: F.struct(lookup(SEVERITY_RANK, x["severity"]).alias("rank"), (-i).alias("back"), x.alias("finding")))
@@ -159,8 +170,10 @@ def assess(verdicts: DataFrame, history: bool = False) -> DataFrame:
     """Adds findings, risk_score, risk_level, posture_score. With history, stripping is escalated by earlier flows."""
     if history:
         verdicts = verdicts.withColumn("escalated", escalation())
-    found = verdicts.withColumn("findings", findings(registry(F.col("escalated") if history else None)))
-    return found.withColumn("risk_score", risk_score(F.col("findings"))).withColumns({"risk_level": level_from(F.col("risk_score")), "posture_score": 100 - F.col("risk_score")})
+    checks = registry(F.col("escalated") if history else None)
+    # the score doesn't come from the findings, so where these aren't asked for they aren't made
+    found = verdicts.withColumns({"findings": findings(checks), "risk_score": weighed(checks)})
+    return found.withColumns({"risk_level": level_from(F.col("risk_score")), "posture_score": 100 - F.col("risk_score")})
 
 
 def decide(assessed: DataFrame) -> DataFrame:
