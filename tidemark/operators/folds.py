@@ -145,6 +145,22 @@ def permuted(df: DataFrame, id_: str, column: str, seed: int) -> DataFrame:
     return places[0].select(id_, "place").join(places[1].select("place", "value"), "place").select(id_, "value")
 
 
+def shuffled_target(df: DataFrame, held: Column, id_: str, features: list[str], y: str, rounds: int, seed: int, shrink: float = 0.0) -> DataFrame:
+    """(round, auc): what a model that is fitted and judged on permuted labels reaches; about one half, unless rows tell of each other.
+
+    held: whether a row is judged; the others are learnt from.  Labels are permuted over all rows.
+    """
+    rows = kept(df.select(id_, held.alias("_held"), y, *features))
+    parts = []
+    for r in range(rounds):
+        moved = rows.drop(y).join(permuted(rows, id_, y, seed + 2 * r).withColumnRenamed("value", y), id_).withColumn("round", F.lit(r))
+        parts.append(moved)
+    every = kept(reduce(DataFrame.unionByName, parts))
+    models = F.broadcast(sums(every.where("not _held"), ["round"], features, y))  # a row for each round
+    scored = every.where("_held").join(models, "round").select("round", y, F.round(score(features, F.lit(shrink)), 9).alias("p"))
+    return roc_auc(scored.where("p is not null"), "p", y, ["round"])
+
+
 def permutation_importance(train: DataFrame, test: DataFrame, id_: str, features: list[str], y: str, rounds: int, seed: int, shrink: float = 0.0) -> DataFrame:
     """(feature, auc, permuted_auc, importance): what the AUC on test loses, on average, where a feature's column is permuted."""
     held = kept(test.select(id_, y, *features))

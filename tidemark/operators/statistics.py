@@ -85,6 +85,15 @@ def brier(df: DataFrame, p: str, y: str, k: int) -> DataFrame:
     return b.agg(F.first("brier").alias("brier"), F.first("log_loss").alias("log_loss"), F.sum(w * (F.col("confidence") - F.col("accuracy")) ** 2).alias("reliability"), F.sum(w * (F.col("accuracy") - F.col("base")) ** 2).alias("resolution"), F.first(F.col("base") * (1 - F.col("base"))).alias("uncertainty"))
 
 
+def class_calibration(df: DataFrame, label: str, p: str, y: str, k: int) -> DataFrame:
+    """(label, n, ece, brier) of each class against the rest, and a last row for their means (label null): rows are (label, p, y), one for each
+    item and class."""
+    b = df.groupBy(label, bins(F.col(p), k).alias("bin")).agg(F.count("*").alias("n"), F.avg(y).alias("a"), F.avg(p).alias("c"), F.sum((F.col(p) - F.col(y)) ** 2).alias("s"))
+    per = b.groupBy(label).agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.abs(F.col("a") - F.col("c"))) / F.sum("n")).alias("ece"), (F.sum("s") / F.sum("n")).alias("brier"))
+    macro = per.agg(F.sum("n").alias("n"), F.avg("ece").alias("ece"), F.avg("brier").alias("brier")).where("n is not null")
+    return per.unionByName(macro.select(F.lit(None).cast(per.schema[label].dataType).alias(label), "n", "ece", "brier"))
+
+
 def group_bootstrap(df: DataFrame, group: str, p: str, y: str, rounds: int, seed: int) -> DataFrame:
     """Mean squared error under group resampling: a draw picks groups with replacement by hash, and only group sums
     are multiplied.  Groups are numbered by a window over the table of groups."""

@@ -180,3 +180,32 @@ def stratified_group_folds(spark, sf):
     from tidemark.operators import folds
 
     return folds.stratified_groups(traits(spark, sf), "source", "y", 5)
+
+
+def _mixed(seed: int, r: int) -> str:
+    """SQL of all rows with labels permuted as the operator does."""
+    rank = lambda s: f"row_number() over (order by ('0x' || substr(sha256('{s}|' || doc_id), 1, 8))::bigint) as place"
+    return f"select {r} as r, e.fold, v.y, {', '.join('e.' + f for f in FEATURES)} from (select *, {rank(seed)} from t) e join (select y, {rank(seed + 1)} from t) v using (place)"
+
+
+@query(f"""with {_TRAITS}, u as ({' union all '.join(_mixed(300 + 2 * r, r) for r in range(4))}), tr as (select * from u where fold <> 0), m as ({_moments('r, ', 'tr group by 1')}), sc as (select x.r, x.y, {_odds('0.1')} as p from u x join m on m.r = x.r where x.fold = 0), a as ({_auc('r', 'sc')})
+select r as round, round(auc, 6) as auc from a""")
+def shuffled_target(spark, sf):
+    """A model of labels that mean nothing should do no better than chance."""
+    from tidemark.operators import folds
+
+    return folds.shuffled_target(traits(spark, sf), c("fold") == 0, "doc_id", FEATURES, "y", 4, 300, 0.1).select("round", F.round("auc", 6).alias("auc"))
+
+
+@query("""with e as (select vec_id, label % 3 as y, exp(((vec_id * 7) % 11) / 5.0) as a, exp(((vec_id * 3) % 13) / 6.0 + (label % 3 = 1)::int) as b, exp((label % 3 = 2)::int * 1.5) as c from embeddings), l as (select unnest([0, 1, 2]) as label, unnest([a, b, c]) / (a + b + c) as p, y from e),
+r as (select label, p, (label = y)::int as y, greatest(1, least(10, ceil(p * 10))) as bin from l), b as (select label, bin, count(*) as n, avg(y) as a, avg(p) as c, sum((p - y) ** 2) as s from r group by 1, 2), k as (select label, sum(n) as n, sum(n * abs(a - c)) / sum(n) as ece, sum(s) / sum(n) as brier from b group by 1)
+select label, n, round(ece, 9) as ece, round(brier, 9) as brier from k union all select null, sum(n), round(avg(ece), 9), round(avg(brier), 9) from k""")
+def class_calibration(spark, sf):
+    """Each of three classes against the rest, and their means."""
+    from tidemark.operators import statistics
+
+    y, k = c("label") % 3, c("vec_id")
+    raw = F.array(F.exp((k * 7) % 11 / 5.0), F.exp((k * 3) % 13 / 6.0 + (y == 1).cast("int")), F.exp((y == 2).cast("int") * 1.5))
+    rows = read(spark, sf, "embeddings").select(y.alias("own"), raw.alias("raw")).select("own", F.posexplode(F.transform("raw", lambda x: x / (F.col("raw")[0] + F.col("raw")[1] + F.col("raw")[2]))).alias("label", "p"))
+    found = statistics.class_calibration(rows.select("label", "p", (c("own") == c("label")).cast("int").alias("y")), "label", "p", "y", 10)
+    return found.select("label", "n", F.round("ece", 9).alias("ece"), F.round("brier", 9).alias("brier"))
