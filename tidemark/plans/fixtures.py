@@ -125,3 +125,23 @@ def policy_records(spark, sf):
     records = rows.where("s_suppkey % 6 = 0").select(F.to_json(F.map_from_arrays(F.array(F.concat(F.lit("_25._tcp."), "host"), F.lit("meta")), F.array(record, record))).alias("value"))
     found = validation.policy_evidence(rows, validation.policies(in_files(texts, "policies")), validation.associations(in_files(records, "records")))
     return found.select("s_suppkey", "mode", "dane", "evidence")
+
+
+@query("""with d as (select d.source as name, l.quality as q, l.doc_id as k from labels l join documents d on d.doc_id = l.doc_id), a as (select name, 1 as g, count(*) filter (q = 0) as n0, count(*) filter (q = 1) as n1 from d group by 1 union all
+select name, 2, count(*) filter (q = 0 and k % 3 <> 0), count(*) filter (q = 1 and k % 3 <> 0) from d where name like '%1%' group by 1 union all select name, 2, count(*) filter (q = 0), count(*) filter (q = 1) from d where name not like '%1%' group by 1),
+t as (select name, g, sha256('{"n0":' || n0 || ',"n1":' || n1 || '}' || chr(10)) as digest, length('{"n0":' || n0 || ',"n1":' || n1 || '}') + 1 as size from a), f as (select name, digest, any_value(size) as size, min(g) as g from t group by 1, 2)
+select name, digest, size, row_number() over (partition by name order by g) as version from f""")
+def model_registry(spark, sf):
+    """Artifacts of two trainings are scanned one after the other; what the second left as it was is no new version."""
+    from tidemark.sources import artifacts
+
+    docs = read(spark, sf, "documents").select("doc_id", c("source").alias("name"))
+    rows = read(spark, sf, "labels").join(docs, "doc_id")
+    known = artifacts.empty(spark)
+    for where in ("true", "name not like '%1%' or doc_id % 3 <> 0"):
+        count = lambda q, where=where: F.count_if((c("quality") == q) & F.expr(where))
+        made = rows.groupBy("name").agg(F.to_json(F.struct(count(0).alias("n0"), count(1).alias("n1"))).alias("value"))
+        path = f"{shared_dir(spark)}/artifacts-{uuid.uuid4().hex}"
+        made.write.partitionBy("name").text(path)
+        known = artifacts.register(known, artifacts.scan(spark, path))
+    return known.select("name", "digest", "size", "version")
