@@ -57,11 +57,12 @@ def nearest(queries: DataFrame, points: DataFrame) -> DataFrame:
     return _search(queries.where("x is not null").select("x").distinct().withColumn("own", F.lit(False)), points.where("x is not null").groupBy("x").agg(F.count("*").alias("n")))
 
 
-def apart(points: DataFrame) -> DataFrame:
-    """(x, n, distance, compared) for each distinct vector of points: how far the nearest other row is; 0 for one that is there twice."""
+def apart(points: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """(x, n, distance, compared) for each distinct vector of points, or of those that are asked too: how far the nearest other row is; 0 for one that is there twice."""
     unique = kept(points.where("x is not null").groupBy("x").agg(F.count("*").alias("n")))
-    twice = unique.where("n > 1").select("x", "n", F.lit(0.0).alias("distance"), F.lit(0).cast("bigint").alias("compared"))
-    once = unique.where("n = 1")
+    some = unique if asked is None else unique.join(asked.select("x").distinct(), "x", "left_semi")
+    twice = some.where("n > 1").select("x", "n", F.lit(0.0).alias("distance"), F.lit(0).cast("bigint").alias("compared"))
+    once = some.where("n = 1")
     return twice.unionByName(once.join(_search(once.select("x", F.lit(True).alias("own")), unique), "x").select("x", "n", "distance", "compared"))
 
 

@@ -2,22 +2,17 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import hashing, numbers
-from tidemark.operators import labelling, rules, statistics, store
+from tidemark.operators import labelling, neighbours, rules, statistics, store
 from tidemark.operators import relational as rel
 from tidemark.plans.evaluation import _FUNCTIONS, _LABELS, _LONG, _SCORED, label_matrix, scored
 from tidemark.plans.registry import query
 from tidemark.plans.security import _CHECKS, flows_cte
 from tidemark.sources.tables import FLOWS, read, verdicts
 
-#: Vectors that are asked about at once.
-QUERY_BLOCK = 20_000
-
 
 @query("select page_id, coalesce(try_cast(nullif(regexp_extract(url, ':([0-9]+)', 1), '') as integer), case when url like 'https:%' then 443 else 80 end) as port from pages")
 def url_port_extract(spark, sf):
@@ -88,16 +83,10 @@ def upgrade_verdicts(spark, sf):
 
 @query("select a.vec_id, round(min(sqrt(list_sum(list_transform(range(1, 65), lambda i: pow(a.embedding[i] - b.embedding[i], 2))))), 5) as distance from embeddings a, embeddings b where a.vec_id % 20 = 0 and a.vec_id <> b.vec_id group by 1")
 def nearest_distance(spark, sf):
+    """Of every twentieth vector the nearest other one, among all; pivots and shells leave out what can't be nearer."""
     v = read(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("x"))
-    asked = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), F.col("x").alias("y"))
-    apart = F.sqrt(F.aggregate(F.zip_with("x", "y", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d))
-    # a stated set of queries against all rows, in blocks of a size that may be broadcast
-    blocks = -(-asked.count() // QUERY_BLOCK) or 1
-    found = []
-    for b in range(blocks):
-        some = asked.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b)
-        found.append(v.join(F.broadcast(some), F.col("vec_id") != F.col("q")).groupBy(F.col("q").alias("vec_id")).agg(F.round(F.min(apart), 5).alias("distance")))
-    return reduce(DataFrame.union, found)
+    asked = v.where("vec_id % 20 = 0")
+    return asked.join(neighbours.apart(v, asked), "x").select("vec_id", F.round("distance", 5).alias("distance"))
 
 
 @query(f"with {_SCORED}, b as (select greatest(1, least(10, ceil(p * 10))) as bin, count(*) as n, avg(y) as acc, avg(p) as conf from s group by 1), e as (select sum(n * abs(acc - conf)) / sum(n) as ece, sum(n) as n from b) select round(greatest(0, ece - least(0.15 * sqrt(10) * pow(n, -1.0 / 3), 0.8 * ece)), 9) as ece from e")

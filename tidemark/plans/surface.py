@@ -151,7 +151,9 @@ def environment_lookup(spark, sf):
     n = named(spark, sf)
     manifest = n.where("env is not null and k % 2 = 1").select("env", c("port").alias("manifest_port")).distinct()
     fixture = n.where("env is not null and k % 5 = 0").groupBy("env").agg(F.concat(F.lit("fx-"), F.min("k").cast("string")).alias("fixture_id"))
-    u = n.join(manifest, "env", "left").join(fixture, "env", "left")
+    # flows without an environment meet nothing, so they don't meet in one task either
+    met = n.where("env is not null").join(manifest, "env", "left").join(fixture, "env", "left")
+    u = met.unionByName(n.where("env is null"), allowMissingColumns=True)
     hashed = F.when(c("manifest_port").isNotNull(), F.format_string("canonical-%03d", hashing.bucket(c("env"), 132)))
     return u.select("flow_id", F.coalesce("manifest_port", "port").alias("port"), F.coalesce("fixture_id", hashed).alias("cluster"))
 
