@@ -18,11 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyarrow.fs import FileSystem
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from tidemark.llm._arrow import keep, shared_dir
+from tidemark.sources.shared import filesystem
 
 #: Samples in a row of an image; bytes of a shard beyond which the next one begins; level of compression.
 WIDTH, SHARD_BYTES, LEVEL = 64, 1 << 30, 3
@@ -72,7 +72,7 @@ class ShardWriter:
     """Tar shards of one task; contents are written once."""
 
     def __init__(self, folder: str):
-        self.fs, self.folder = FileSystem.from_uri(folder)
+        self.fs, self.folder = filesystem(folder)
         self.task, self.number, self.out, self.seen = TaskContext.get().partitionId(), 0, None, {}
 
     def add(self, digest: str, make) -> tuple[str, int, int]:
@@ -82,9 +82,9 @@ class ShardWriter:
         if self.out is not None and self.at > SHARD_BYTES:
             self.close()
         if self.out is None:
-            self.name, self.at = f"part-{self.task:06d}-{self.number:04d}.tar", 0
-            self.temporary = f"{self.folder}/.{self.name}-{uuid.uuid4().hex}"
-            self.out = self.fs.open_output_stream(self.temporary)
+            # of this attempt alone: rows name the shards of the attempt that they come from, and no file is replaced
+            self.name, self.at = f"part-{self.task:06d}-{self.number:04d}-{uuid.uuid4().hex}.tar", 0
+            self.out = self.fs.open_output_stream(f"{self.folder}/{self.name}")
             self.number += 1
         body = make()
         member = tarfile.TarInfo(f"{digest}.png")
@@ -100,10 +100,6 @@ class ShardWriter:
             return
         self.out.write(bytes(1024))
         self.out.close()
-        target = f"{self.folder}/{self.name}"
-        if self.fs.get_file_info(target).type != 0:
-            self.fs.delete_file(target)
-        self.fs.move(self.temporary, target)
         self.out = None
 
 
@@ -112,7 +108,7 @@ def store(docs: DataFrame, folder: str) -> DataFrame:
 
     Null is the empty text, whose payload is WIDTH zeros.  Equal texts of one task share a member.
     """
-    fs, path = FileSystem.from_uri(folder)
+    fs, path = filesystem(folder)
     fs.create_dir(path, recursive=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,7 +133,7 @@ def metadata(stored: DataFrame, folder: str) -> DataFrame:
     names = stored.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, path = FileSystem.from_uri(folder)
+        fs, path = filesystem(folder)
         for batch in batches:
             rows, shard, source = [], None, None
             for name, offset in zip(batch.column(names.index("shard")).to_pylist(), batch.column(names.index("offset")).to_pylist()):
@@ -163,7 +159,7 @@ def read_back(stored: DataFrame, folder: str) -> DataFrame:
     names = headed.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, path = FileSystem.from_uri(folder)
+        fs, path = filesystem(folder)
         for batch in batches:
             rows, shard, source, known = [], None, None, {}
             for name, offset, length in zip(*(batch.column(names.index(c)).to_pylist() for c in ("shard", "offset", "length"))):
