@@ -172,3 +172,21 @@ def test_terms_apart_from_base_spans(spark):
     df = spark.createDataFrame(rows, f"spans {sanitising.SPAN}, terms {sanitising.SPAN}")
     for r in df.select("*", sanitising.apart(F.col("spans"), F.col("terms")).alias("free")).collect():
         assert [tuple(x) for x in r.free] == sorted(tuple(t) for t in r.terms if not any(s.start < t.end and t.start < s.end for s in r.spans))
+
+
+def test_communication_matrix_over_several_levels(spark, monkeypatch):
+    from tidemark.llm import sharding
+
+    monkeypatch.setattr(sharding, "FAN", 3)
+    sizes = [(p, (p * 37) % 50) for p in range(30) if p % 7]  # some parts have no rows at all
+    counts = spark.createDataFrame(sizes, "part bigint, n bigint")
+    means = np.zeros((30, 4))
+    for seed in range(6):
+        m = {r.part: r.shares for r in sharding.communication_matrix(counts, 4, seed, 30).collect()}
+        assert {p: sum(s) for p, s in m.items()} == dict(sizes)
+        total = np.sum(list(m.values()), axis=0)
+        assert total.max() - total.min() <= 1
+        for p, s in m.items():
+            means[p] += s
+    large = [p for p, n in sizes if n >= 20]
+    assert abs(means[large].sum(axis=0) / means[large].sum() - 0.25).max() < 0.02 and sharding.communication_matrix(counts.where("false"), 4, 1).count() == 0

@@ -4,8 +4,8 @@ Each input partition permutes its rows locally.  How many of partition p's rows
 multivariate hypergeometric law, the law that these counts have under a uniform permutation of all rows, with shard
 sizes fixed beforehand.  Rows are then exchanged and permuted again within their shard.
 
-The matrix is drawn with SQL functions alone, in two levels: groups of partitions draw their share of each shard in one
-row, then the partitions of each group draw theirs, all groups at the same time.  A draw inverts the distribution
+The matrix is drawn with SQL functions alone, down a tree: a few groups of groups draw their shares of each shard in one
+row, then the groups of each of them theirs, at the same time, and so on down to the partitions.  A draw inverts the distribution
 function over a window of 12 standard deviations and 30 more on each side of the mode; what lies outside is far
 below the resolution of a double.
 """
@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm._arrow import keep
 
+#: Parts, and teams of them, that draw their shares of a team's one after another.
+FAN = 64
 #: Rows of a shard that one task permutes at the end; larger shards are dealt into more blocks.
 BLOCK_ROWS = 100_000
 
@@ -87,20 +89,26 @@ def deal(shares: Column, parts: Column, seed: Column) -> Column:
     return F.aggregate(parts, F.struct(shares.alias("left"), empty.alias("out")), step, lambda s: s["out"])
 
 
-def communication_matrix(counts: DataFrame, shards: int, seed: int) -> DataFrame:
-    """(part, shares array<bigint>) from (part, n): exact counts of rows from each part to each shard.
+def communication_matrix(counts: DataFrame, shards: int, seed: int, parts: int | None = None) -> DataFrame:
+    """(part, shares array<bigint>) from (part, n): exact counts of rows from each part to each shard; parts: how many there may be, numbered from 0.
 
-    Shard sizes differ by one at most and sum to all rows; every part's shares sum to its n.
+    Shard sizes differ by one at most and sum to all rows; every part's shares sum to its n.  FAN parts are a team, FAN teams a
+    team of teams, and so on, until FAN are left, which draw in one row; then the teams of each one draw, all at the same time, down to the parts.
     """
-    totals = counts.agg(F.coalesce(F.sum("n"), _long(0)).alias("rows"), F.count("*").alias("parts"))
+    if parts is None:
+        parts = (counts.agg(F.max("part").alias("most")).first().most or 0) + 1
+    levels = [counts.select(F.col("part").cast("bigint").alias("id"), "n")]
+    while parts > FAN:
+        levels.append(levels[-1].groupBy(F.floor(F.col("id") / FAN).alias("id")).agg(F.sum("n").alias("n")))
+        parts = -(-parts // FAN)
+    rows = levels[-1].agg(F.coalesce(F.sum("n"), _long(0)).alias("rows"), F.sort_array(F.collect_list(F.struct("id", "n"))).alias("parts"))
     sizes = F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: F.expr(f"rows div {shards}") + F.when(s < F.col("rows") % shards, 1).otherwise(0))
-    width = F.greatest(F.ceil(F.sqrt("parts")), _long(1))
-    dealt = counts.join(F.broadcast(totals.select(width.alias("width"))), F.lit(True)).withColumn("team", F.floor(F.col("part") / F.col("width")))
-    teams = dealt.groupBy("team").agg(F.sum("n").alias("n"))
-    all_teams = teams.agg(F.sort_array(F.collect_list(F.struct(F.col("team").alias("id"), "n"))).alias("teams"))
-    first = all_teams.join(F.broadcast(totals), F.lit(True)).select(F.explode(deal(sizes, F.col("teams"), F.lit(seed))).alias("x")).select(F.col("x.id").alias("team"), F.col("x.shares").alias("shares"))
-    parts = dealt.groupBy("team").agg(F.sort_array(F.collect_list(F.struct(F.col("part").alias("id"), "n"))).alias("parts"))
-    return parts.join(first, "team").select(F.explode(deal(F.col("shares"), F.col("parts"), F.lit(seed + 1))).alias("x")).select(F.col("x.id").alias("part"), F.col("x.shares").alias("shares"))
+    drawn = rows.select(F.explode(deal(sizes, F.col("parts"), F.lit(seed))).alias("x")).select("x.*")
+    for k, level in enumerate(reversed(levels[:-1]), 1):
+        teams = level.groupBy(F.floor(F.col("id") / FAN).alias("team")).agg(F.sort_array(F.collect_list(F.struct("id", "n"))).alias("parts"))
+        met = teams.join(drawn.withColumnRenamed("id", "team"), "team")
+        drawn = met.select(F.explode(deal(F.col("shares"), F.col("parts"), F.lit(seed + k))).alias("x")).select("x.*")
+    return drawn.select(F.col("id").alias("part"), "shares")
 
 
 def uniform_shards(df: DataFrame, shards: int, seed: int = 20) -> DataFrame:
@@ -113,7 +121,7 @@ def uniform_shards(df: DataFrame, shards: int, seed: int = 20) -> DataFrame:
     held = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
     local = held.withColumn("key", F.xxhash64(F.lit(seed), F.monotonically_increasing_id())).sortWithinPartitions("key").select("row", F.monotonically_increasing_id().alias("at"))
     base = keep(local).select("row", F.shiftrightunsigned("at", 33).alias("part"), F.col("at").bitwiseAND((1 << 33) - 1).alias("rank"))
-    matrix = keep(communication_matrix(base.groupBy("part").agg(F.count("*").alias("n")), shards, seed))
+    matrix = keep(communication_matrix(base.groupBy("part").agg(F.count("*").alias("n")), shards, seed, base.rdd.getNumPartitions()))
 
     # the ranks of a part's rows that each shard gets follow one another
     bounds = F.aggregate("shares", F.array(_long(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
@@ -121,7 +129,8 @@ def uniform_shards(df: DataFrame, shards: int, seed: int = 20) -> DataFrame:
 
     share = matrix.select(F.posexplode("shares").alias("shard", "n")).groupBy("shard").agg(F.sum("n").alias("n"))
     blocks = share.select("shard", F.explode(F.sequence(_long(0), F.floor(F.col("n") / BLOCK_ROWS))).alias("block"), F.floor(F.col("n") / BLOCK_ROWS + 1).alias("blocks"))
-    keyed = sent.join(share.select("shard", F.floor(F.col("n") / BLOCK_ROWS + 1).alias("blocks")), "shard").withColumn("key", F.xxhash64(F.lit(seed + 2), "part", "rank"))
+    # a row for each shard, so small whatever the table is
+    keyed = sent.join(F.broadcast(share.select("shard", F.floor(F.col("n") / BLOCK_ROWS + 1).alias("blocks"))), "shard").withColumn("key", F.xxhash64(F.lit(seed + 100), "part", "rank"))
     # equal parts of the range of keys make blocks, so order by block, then by key, is order by key
     keyed = keyed.withColumn("block", F.floor(F.shiftrightunsigned("key", 32) * F.col("blocks") / F.lit(float(1 << 32))))
     filled = keyed.groupBy("shard", "block").agg(F.count("*").alias("n"))
