@@ -57,7 +57,7 @@ def state_of(stream: DataFrame) -> DataFrame:
 
 
 def tumbling(stream: DataFrame, width: str = "1 day", late: str = "3650 days") -> DataFrame:
-    """Counts by event time; an extension beside the reference's surface."""
+    """Counts by event time, an extension."""
     return stream.withWatermark("at", late).groupBy(F.window("at", width), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
@@ -69,9 +69,9 @@ def sessions(stream: DataFrame, gap: str = "6 hours", late: str = "3650 days") -
     return stream.withWatermark("at", late).groupBy(F.session_window("at", gap), "user_id").agg(F.count("*").alias("n"))
 
 
-def once(stream: DataFrame) -> DataFrame:
+def once(stream: DataFrame, late: str = "3650 days") -> DataFrame:
     """What is delivered again by the same key and content is dropped."""
-    return stream.withColumn("content", F.sha2(F.concat_ws("|", "event_type", "value", "props"), 256)).withWatermark("at", "3650 days").dropDuplicatesWithinWatermark(["event_id", "content"]).drop("content")
+    return stream.withColumn("content", F.sha2(F.concat_ws("|", "event_type", "value", "props"), 256)).withWatermark("at", late).dropDuplicatesWithinWatermark(["event_id", "content"]).drop("content")
 
 
 ESCALATED = "user_id bigint, event_id bigint, escalated boolean"
