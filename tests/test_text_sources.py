@@ -26,10 +26,10 @@ def test_manifest(spark):
 
 def test_documents_are_judged(spark, tmp_path):
     good = {"flow_id": "family-01", "app_protocol": "smtp", "tls": {"version": "TLS1.2"}, "cert": {"leaf_present": True, "is_tls13_opaque": False}}
-    cases = {"good": good, "word": good | {"app_protocol": "http"}, "range": good | {"coverage_ratio": 1.5}, "opaque": good | {"cert": {"leaf_present": False, "is_tls13_opaque": True, "chain_length": 2}}}
+    cases = {"good": good, "word": good | {"app_protocol": "http"}, "range": good | {"coverage_ratio": 1.5}, "opaque": good | {"cert": {"leaf_present": False, "is_tls13_opaque": True, "chain_length": 2}}, "extra": good | {"more": 1}, "inner": good | {"tls": {"version": "TLS1.2", "ja5": "x"}}}
     for name, d in cases.items():
         (tmp_path / f"{name}.json").write_text(json.dumps(d))
     (tmp_path / "broken.json").write_text("{nothing")
     held, refused = text.documents(spark, str(tmp_path))
     assert [r.flow_id for r in held.collect()] == ["family-01"]
-    assert {r.file.rsplit("/", 1)[-1].split(".")[0]: r.reason for r in refused.collect()} == {"word": "app_protocol outside vocabulary", "range": "coverage_ratio outside range", "opaque": "opaque certificate with details", "broken": "no document"}
+    assert {r.file.rsplit("/", 1)[-1].split(".")[0]: r.reason for r in refused.collect()} == {"word": "app_protocol outside vocabulary", "range": "coverage_ratio outside range", "opaque": "opaque certificate with details", "broken": "no document", "extra": "unknown key more", "inner": "unknown key ja5"}

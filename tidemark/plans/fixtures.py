@@ -145,3 +145,47 @@ def model_registry(spark, sf):
         made.write.partitionBy("name").text(path)
         known = artifacts.register(known, artifacts.scan(spark, path))
     return known.select("name", "digest", "size", "version")
+
+
+def written(rows: DataFrame, name: str) -> str:
+    """The folder with a file for each row (file, body), written by tasks."""
+    import pyarrow as pa
+
+    from tidemark.sources.shared import filesystem
+
+    folder = f"{shared_dir(rows.sparkSession)}/{name}-{uuid.uuid4().hex}"
+
+    def put(batches):
+        for batch in batches:
+            for file, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                store, place = filesystem(f"{folder}/{file}")
+                store.create_dir(place.rsplit("/", 1)[0], recursive=True)
+                with store.open_output_stream(place) as out:
+                    out.write(body.encode())
+            yield pa.RecordBatch.from_arrays([batch.column(0)], ["file"])
+
+    rows.select("file", "body").mapInArrow(put, "file string").write.format("noop").mode("overwrite").save()
+    return folder
+
+
+@query("""with f as (select s_suppkey as k, 'family-' || s_suppkey || case when s_suppkey % 7 = 0 then '-jitter' else '' end as stem, [x for x in [case when s_suppkey % 2 = 0 then 'base' end, case when s_suppkey % 3 = 0 then 'coherent' end, case when s_suppkey % 5 = 1 then 'locked' end] if x is not null] as folders from supplier)
+select stem, folders[1] as folder, row_number() over (order by k, stem) as place from f where len(folders) > 0 and stem not like '%jitter%'""")
+def captures_discovered(spark, sf):
+    """S12."""
+    k = c("s_suppkey")
+    stem = F.concat(F.lit("family-"), k, F.when(k % 7 == 0, "-jitter").otherwise(""))
+    held = F.array_compact(F.array(F.when(k % 2 == 0, "base"), F.when(k % 3 == 0, "coherent"), F.when(k % 5 == 1, "locked"), F.when(k % 4 == 1, "other")))
+    files = read(spark, sf, "supplier").select(stem.alias("stem"), F.explode(held).alias("folder")).select(F.concat("folder", F.lit("/"), "stem", F.lit(".pcap")).alias("file"), F.lit("x").alias("body"))
+    return text.discovered(spark, written(files, "discovered"), ["base", "coherent", "locked"]).select("stem", "folder", "place")
+
+
+@query("""select s_suppkey as k, i as nr, s_suppkey * 10 + i as v from supplier, lateral (select unnest(range(0, case when s_suppkey % 4 = 3 then 0 when s_suppkey % 4 = 0 then 1 when s_suppkey % 4 = 1 then least(1, s_suppkey % 9) else least(5, s_suppkey % 9) end)) as i)""")
+def fixtures_ingested(spark, sf):
+    """Objects, lists of which the first counts, lists of which five do, and files that are no JSON."""
+    k = c("s_suppkey")
+    item = lambda i: F.to_json(F.struct(k.alias("k"), (k * 10 + i).alias("v")))
+    listed = F.concat(F.lit("["), F.array_join(F.transform(F.slice(F.sequence(F.lit(0), F.lit(8)), 1, (k % 9).cast("int")), item), ", "), F.lit("]"))
+    body = F.when(k % 4 == 0, item(F.lit(0))).when(k % 4 == 3, "{broken").otherwise(listed)
+    name = F.concat(F.element_at(F.array(*map(F.lit, ("family-", "adversarial/a-", "prior/p-", "family-bad-"))), (k % 4 + 1).cast("int")), k, F.lit(".json"))
+    found = text.ingested(spark, written(read(spark, sf, "supplier").select(name.alias("file"), body.alias("body")), "fixtures"), {"/adversarial/": 1, "/family-": 1})
+    return found.select(F.get_json_object("doc", "$.k").cast("bigint").alias("k"), "nr", F.get_json_object("doc", "$.v").cast("bigint").alias("v"))

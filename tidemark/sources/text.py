@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidemark import schema
 
@@ -37,14 +38,22 @@ def manifest(text: DataFrame, value: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(verdicts that hold, documents that don't with the reason): types, vocabularies, ranges, opaque certificates."""
+    """(verdicts that hold, documents that don't with the reason): keys, types, vocabularies, ranges, opaque certificates."""
     raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("text"))
     parsed = raw.withColumn("d", F.from_json("text", schema.VERDICT, {"mode": "PERMISSIVE"})).select("file", "text", "d.*")
-    reason = violation()
+    reason = F.coalesce(strange_keys(F.col("text")), violation())
     judged = parsed.withColumn("reason", F.when(F.col("flow_id").isNull(), "no document").otherwise(reason))
     return judged.where("reason is null").drop("text", "reason"), judged.where("reason is not null").select("file", "text", "reason")
 
 
+def strange_keys(text: Column) -> Column:
+    """the first keys of a document, or of one of its objects, that the schema doesn't have, or null."""
+    kind = StructType.fromDDL(schema.VERDICT)
+    parts = [("$", kind), *[(f"$.{f.name}", f.dataType) for f in kind if isinstance(f.dataType, StructType)]]
+    told = [F.array_except(F.json_object_keys(F.get_json_object(text, path)), F.array(*map(F.lit, part.names))) for path, part in parts]
+    return F.coalesce(*[F.when(F.size(k) > 0, F.concat(F.lit("unknown key "), k[0])) for k in told])
+
+
 def violation():
     """The first rule of the closed schema that a verdict breaks, or null."""
     c = F.col
@@ -70,3 +79,30 @@ def documents_of(rows: DataFrame, column: str, schema: str) -> DataFrame:
     once = F.when(F.startswith(F.col(column), F.lit('"')), F.get_json_object(F.concat(F.lit('{"x":'), F.col(column), F.lit("}")), "$.x")).otherwise(F.col(column))
     parsed = rows.withColumn("doc", F.from_json(once, f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
     return parsed.where("doc is not null and doc._bad is null").withColumn("doc", F.col("doc").dropFields("_bad"))
+
+
+def ingested(spark: SparkSession, path: str, first: dict[str, int], other: int = 5) -> DataFrame:
+    """(file, nr, doc) of JSON files: an object is one document, a list its first few: as many as `first` says for the
+    pattern that the file's path matches, else `other`.  Files that are no JSON give nothing."""
+    raw = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.input_file_name().alias("file"), F.trim("value").alias("value"))
+    most = F.lit(other)
+    for pattern, n in reversed(first.items()):
+        most = F.when(F.col("file").rlike(pattern), n).otherwise(most)
+    listed = F.when(F.startswith("value", F.lit("[")), F.from_json("value", "array<string>")).otherwise(F.when(F.get_json_object("value", "$").isNotNull(), F.array("value")))
+    return raw.select("file", F.posexplode(F.slice(listed, 1, most)).alias("nr", "doc"))
+
+
+def discovered(spark: SparkSession, path: str, folders: list[str], without: str = "jitter") -> DataFrame:
+    """(stem, folder, path, place) of the capture files below `folders`: of those of one stem the one of the first folder, without
+    names that contain `without`; place: by the number at the stem's end, those without one last, then by name.  File contents are not read.
+    """
+    from pyspark.sql import Window
+
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
+    named = found.select("path", F.regexp_extract("path", r"/([^/]+)/([^/]+)\.(pcap|pcapng|cap)$", 1).alias("folder"), F.regexp_extract("path", r"/([^/]+)\.(pcap|pcapng|cap)$", 1).alias("stem"))
+    rank = F.array_position(F.array(*map(F.lit, folders)), F.col("folder"))
+    kept_ = named.where((F.col("stem") != "") & (rank > 0) & ~F.contains("stem", F.lit(without)))
+    first = kept_.groupBy("stem").agg(F.min_by(F.struct("folder", "path"), F.struct(rank, "path")).alias("x")).select("stem", "x.*")
+    number = F.regexp_extract("stem", "([0-9]+)$", 1).try_cast("bigint")
+    # a row for each file, of which a directory listing is one anyway
+    return first.withColumn("place", F.row_number().over(Window.orderBy(number.asc_nulls_last(), "stem")))
