@@ -41,9 +41,8 @@ def authorities() -> dict[str, bytes]:
     }
 
 
-def bundle(k: int, nation: int) -> list[bytes]:
+def bundle(k: int, nation: int, own: dict, all_: dict[str, bytes]) -> list[bytes]:
     """What the supplier presents, the leaf first; ten cases by its key, as the queries' SQL has them."""
-    own, all_ = keys(), authorities()
     case = k % 10
     issuer = {3: "ec", 9: "plain"}.get(case, "low" if k % 13 == 0 and case < 3 else "rsa")
     signer = {"ec": "ec", "plain": "ec", "low": "low"}.get(issuer, "rsa")
@@ -60,12 +59,12 @@ def bundle(k: int, nation: int) -> list[bytes]:
 
 def presented(spark, sf: str) -> DataFrame:
     """(bundle, nr, der, host) of all suppliers, read from PEM text in the shared folder."""
-    keys()
+    own, all_ = keys(), authorities()  # found once, on the driver, and sent along
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array([f"# {k} {n}\n" + "\n".join(map(ca.pem, bundle(k, n))) for k, n in rows], pa.string())], ["value"])
+            yield pa.RecordBatch.from_arrays([pa.array([f"# {k} {n}\n" + "\n".join(map(ca.pem, bundle(k, n, own, all_))) for k, n in rows], pa.string())], ["value"])
 
     path = f"{shared_dir(spark)}/certificates-{uuid.uuid4().hex}"
     parts = spark.sparkContext.defaultParallelism
