@@ -39,3 +39,14 @@ def test_perplexity_has_the_rare_n_grams(mixed, monkeypatch):
     want = sorted(brute.log2_perplexity(t) for _, t in texts_of(mixed))
     got = sorted(r.log2_perplexity for r in perplexity.rules(mixed).collect())
     assert np.allclose(got, want, rtol=0, atol=1e-6)
+
+
+def test_the_pipeline_keeps_the_same_documents_whatever_workers_hold(spark, mixed, monkeypatch):
+    import corpus_pipeline
+
+    want = told(corpus_pipeline.quality_rules(spark, mixed, ""))
+    kept = [(r.doc_id,) for r in perplexity.rules(mixed).where("kept").collect()]
+    monkeypatch.setattr(perplexity, "MOST", 40)
+    got = corpus_pipeline.quality_rules(spark, mixed, "")
+    assert got.columns == mixed.columns and told(got) == want
+    assert told(got.select("doc_id")) == sorted(kept, key=repr)
