@@ -6,7 +6,7 @@ information: log(N df(e, t) / (df(e) df(t))) / log(N / df(e)).  It is 1 for a te
 In all documents, terms above the lower threshold are generalised and those above the upper one removed.  Terms are words of
 letters and digits of any length.
 Every entity counts, also one that is seen once: a pair counts if the term is within NEAR words of the entity in any text, or if
-two different texts hold both.  In fewer than SUPPORT texts the term's share of documents with the entity is smoothed by one
+two different texts hold both; without a window (`near` is None) every pair counts that a text holds.  In fewer than SUPPORT texts the term's share of documents with the entity is smoothed by one
 more document.  No term discloses an entity that is in every document: such an entity has no information (a ratio of 0).
 
 Positions come from what lies between matches, in code points.  Patterns are possessive, so their time is linear in a
@@ -177,24 +177,32 @@ def only(rows: DataFrame, hash_: str, wanted: DataFrame) -> DataFrame:
     return rows.join(slots, F.pmod(F.col(hash_), F.lit(SLOTS)) == F.col("_slot"), "left_semi")
 
 
-def disclosing(docs: DataFrame) -> DataFrame:
-    """(hash, kind) of each term to generalise or to remove, from the text of all documents."""
+def disclosing(docs: DataFrame, near: int | None = NEAR) -> DataFrame:
+    """(hash, kind) of each term to generalise or to remove, from the text of all documents; for near see find."""
     spans = base_spans(F.col("text"))
     found = keep(docs.where(F.size(spans) > 0).select(F.monotonically_increasing_id().alias("uid"), "text", spans.alias("spans")))
     words = found.select("uid", F.xxhash64("text").alias("content"), met_words(F.col("text"), F.col("spans")).alias("words"))
     is_mark = lambda w: F.startswith(w, F.lit(MARKS[0]))
     places = F.filter(F.transform("words", lambda w, k: F.when(is_mark(w), F.struct(w.alias("mark"), k.alias("k")))), lambda x: x.isNotNull())
-    window = lambda k: F.slice("words", F.greatest(k + 1 - NEAR, F.lit(1)), NEAR + 1 + F.least(k, F.lit(NEAR)))
+    reach = near or 0
+    window = lambda k: F.slice("words", F.greatest(k + 1 - reach, F.lit(1)), reach + 1 + F.least(k, F.lit(reach)))
     around = F.transform(places, lambda x: F.struct(F.translate(x["mark"], MARKS, "").cast("bigint").alias("entity"), F.filter(window(x["k"]), lambda w: ~is_mark(w)).alias("near")))
     held = words.select("uid", "content", F.explode(around).alias("x")).groupBy("uid", "x.entity").agg(F.first("content").alias("content"), F.array_distinct(F.flatten(F.collect_list("x.near"))).alias("near"))
     held = keep(held)
     sums = held.groupBy("entity").agg(F.count("*").alias("df_e"), F.count_distinct("content").alias("contents"))
-    # all words of a text meet entities of two or more texts, those of the window the others
+    # all words of a text meet entities of two or more texts, those of the window the others; without a window all meet all
     every = F.array_distinct(F.filter("words", lambda w: ~is_mark(w)))
     common = held.join(sums.where("contents > 1").select("entity", "df_e"), "entity")
-    far = common.join(words.select("uid", every.alias("words")), "uid").select("entity", "df_e", "content", F.explode("words").alias("term"), F.array_contains("near", F.col("term")).alias("close"))
-    near = held.join(sums.where("contents = 1").select("entity", "df_e"), "entity").select("entity", "df_e", "content", F.explode("near").alias("term"), F.lit(True).alias("close"))
-    met = far.unionByName(near).groupBy("entity", "term").agg(F.first("df_e").alias("df_e"), F.count("*").alias("df_et"), F.count_distinct("content").alias("contents"), F.bool_or("close").alias("close"))
+    close = F.lit(True) if near is None else F.array_contains("near", F.col("term"))
+    spread = lambda df: df.join(words.select("uid", every.alias("words")), "uid").select("entity", "df_e", "content", "near", F.explode("words").alias("term"))
+    far = spread(common).select("entity", "df_e", "content", "term", close.alias("close"))
+    single = held.join(sums.where("contents = 1").select("entity", "df_e"), "entity")
+    if near is None:
+        # entities of one text only are all in its copies and meet the same words there, so one of them stands for all
+        single = spread(single.groupBy("uid", "content", "df_e").agg(F.min("entity").alias("entity"), F.first("near").alias("near")))
+    else:
+        single = single.select("entity", "df_e", "content", F.explode("near").alias("term"))
+    met = far.unionByName(single.select("entity", "df_e", "content", "term", F.lit(True).alias("close"))).groupBy("entity", "term").agg(F.first("df_e").alias("df_e"), F.count("*").alias("df_et"), F.count_distinct("content").alias("contents"), F.bool_or("close").alias("close"))
     met = keep(met.where("close or contents > 1").withColumn("hash", F.xxhash64("term")))
     # every document counts a term once; words that can't be terms stay out of the shuffle
     counted = only(docs.select(F.explode(hashes(F.col("text"))).alias("hash")), "hash", met).groupBy("hash").agg(F.count("*").alias("df_t"))
@@ -209,12 +217,12 @@ def disclosing(docs: DataFrame) -> DataFrame:
     return keep(judged.groupBy("hash").agg(F.when(F.max("ratio") >= REMOVED, 5).otherwise(4).alias("kind")))
 
 
-def with_terms(docs: DataFrame) -> DataFrame:
+def with_terms(docs: DataFrame, near: int | None = NEAR) -> DataFrame:
     """docs (doc_id, text and others) with `spans`, the base spans, and `more`: those of disclosing terms that don't overlap them."""
     text = F.coalesce(F.col("text"), F.lit(""))
     texts = docs.select(text.alias("text"), F.xxhash64("doc_id", text).alias("_row"))
     # rows are known by hash; equal rows have the same terms
-    terms = disclosing(texts)
+    terms = disclosing(texts, near)
     hit = only(texts.select("_row", F.explode(hashes(F.col("text"))).alias("hash")), "hash", terms).join(terms, "hash")
     by_row = keep(hit.groupBy("_row").agg(F.collect_set(F.when(F.col("kind") == 4, F.col("hash"))).alias("_4"), F.collect_set(F.when(F.col("kind") == 5, F.col("hash"))).alias("_5")))
     # documents that can hold no term are not shuffled to learn that
@@ -255,22 +263,23 @@ def sanitised(text: Column, spans: Column) -> Column:
     return replaced(text, spans, lambda s, inside: F.when(inside, "").otherwise(F.element_at(marks, s["kind"] + 1)))
 
 
-def find(docs: DataFrame) -> DataFrame:
+def find(docs: DataFrame, near: int | None = NEAR) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans of every document.
 
     Null is the empty text: no spans, and the digest of nothing.  Repeated rows are documents of their own in all counts, but
     the same text is one text of a pair's support.  An entity of all documents has no disclosing terms.  Other columns are ignored; an empty frame gives an empty frame.
+    Words meet an entity within `near` words of it, or in two different texts; where near is None, in every text that has both.
     """
     prepare(docs.sparkSession)
-    told_of = with_terms(docs.select("doc_id", "text"))
+    told_of = with_terms(docs.select("doc_id", "text"), near)
     number = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == F.lit(k))).cast("bigint")
     return told_of.select("doc_id", *[number(k).alias(f"n_{KINDS[k]}") for k in range(4)], F.sha2(told(F.col("spans")), 256).alias("base_sha256"), told(F.array_sort(F.concat("spans", "more"))).alias("spans"))
 
 
-def sanitise(docs: DataFrame) -> DataFrame:
-    """docs with the same columns, their texts sanitised; texts without spans, null ones too, are as they were."""
+def sanitise(docs: DataFrame, near: int | None = NEAR) -> DataFrame:
+    """docs with the same columns, their texts sanitised; texts without spans, null ones too, are as they were.  For near see find."""
     prepare(docs.sparkSession)
     at = {c: c if c in ("doc_id", "text") else f"c{k}" for k, c in enumerate(docs.columns)}
-    spanned = with_terms(docs.select(*[F.col(f"`{c}`").alias(at[c]) for c in docs.columns])).withColumn("spans", F.array_sort(F.concat("spans", "more")))
+    spanned = with_terms(docs.select(*[F.col(f"`{c}`").alias(at[c]) for c in docs.columns]), near).withColumn("spans", F.array_sort(F.concat("spans", "more")))
     text = F.when(F.size("spans") > 0, sanitised(F.col("text"), F.col("spans"))).otherwise(F.col("text"))
     return spanned.select(*[(text if c == "text" else F.col(at[c])).alias(c) for c in docs.columns])
