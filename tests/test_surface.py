@@ -63,3 +63,18 @@ def test_a_certificate_of_the_future(spark):
 
 def test_shared_folder(spark):
     assert shared.shared_dir(spark) == spark.sparkContext.getCheckpointDir()
+
+
+def test_history_orders_with_nulls_and_equal_lines(spark, tmp_path):
+    import duckdb
+
+    from tidemark.plans.catalog import ORACLE_SQL, QUERIES
+
+    lines = [(1, 1, "2020-01-02"), (1, 2, None), (1, None, "2020-01-01"), (1, 3, "2020-01-01"), (2, 1, None), (2, None, None), (None, 1, "2020-01-01"), (None, 2, None)]
+    equal = [(3, 1, "2020-01-01")] * 3 + [(3, 1, "2019-01-01")] * 2
+    spark.createDataFrame(lines + equal, "l_orderkey bigint, l_linenumber int, d string").selectExpr("l_orderkey", "l_linenumber", "cast(d as timestamp) as l_shipdate").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = sorted(map(repr, map(tuple, QUERIES["history_orders"](spark, str(tmp_path)).collect())))
+    con = duckdb.connect()
+    con.execute(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
+    assert got == sorted(map(repr, con.execute(ORACLE_SQL["history_orders"]).fetchall()))
+    assert [x for x in got if x.startswith("(3")] == ["(3, 1, 1, 3)", "(3, 1, 2, 4)", "(3, 1, 3, 5)", "(3, 1, 4, 1)", "(3, 1, 5, 2)"]

@@ -184,9 +184,15 @@ def last_page(spark, sf):
 
 @query("select l_orderkey, l_linenumber, row_number() over (partition by l_orderkey order by l_shipdate desc, l_linenumber) as newest, row_number() over (partition by l_orderkey order by l_shipdate, l_linenumber) as oldest from lineitem")
 def history_orders(spark, sf):
-    """Both directions, as the two stores disagree."""
-    by = lambda *o: F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*o, "l_linenumber"))
-    return read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", by(F.desc("l_shipdate")).alias("newest"), by(c("l_shipdate")).alias("oldest"))
+    """Both directions, as the two stores disagree; nulls come last in both.
+
+    Lines alike in order, number and date are told apart by no order of the SQL: the one that is newer of them is the older one too,
+    whatever shuffles and spills make of their order.
+    """
+    by = lambda *o: F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*o))
+    line = c("l_linenumber").asc_nulls_last()
+    newest = read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate", by(c("l_shipdate").desc_nulls_last(), line).alias("newest"))
+    return newest.select("l_orderkey", "l_linenumber", "newest", by(c("l_shipdate").asc_nulls_last(), line, c("newest")).alias("oldest"))
 
 
 @query(f"{flows_cte()} select flow_id, strftime(f.seen_at, '%Y-%m-%dT%H:%M:%S') as seen, case when l.k % 4 = 0 then 'derived:' || l.risk_level else 'given' end as policy, '{{\"flow_id\":\"' || flow_id || '\",\"severity\":\"' || l.risk_level || '\"}}' as exported, case when l.k % 50 = 1 then 'Baseline' else 'Family ' || l.k end as shown from levels l join (select k, seen_at from flows) f using (k)")
