@@ -6,6 +6,7 @@ for each word.  Batches are cut by bytes, so memory does not follow the number o
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import tempfile
@@ -62,6 +63,13 @@ def keep(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Frees the disk of frames that nothing refers to any longer.  Spark deletes shuffle files and checkpoints when the driver collects
+    its garbage, which a driver that mostly waits for large stages doesn't do by itself."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, int64 offsets from 0) of a string column; null is the empty text."""
     if isinstance(column, pa.ChunkedArray):

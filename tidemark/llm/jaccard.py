@@ -21,6 +21,9 @@
     with the leader; those that it isn't linked with go on to all parts, in blocks.
 5.  Links that span each group's components go on to connected components over all groups.
 
+Groups and families that lie in another one are dropped before bitmaps and sets are sent (`uncovered`), and after each step the disk
+of what is no longer needed is freed.
+
 N-grams and sets are identified by 64-bit hashes.
 """
 
@@ -34,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm._arrow import groups, keep, pieces, prepare
+from tidemark.llm._arrow import groups, keep, let_go, pieces, prepare
 from tidemark.llm._words import U, mix, totals, words
 from tidemark.llm.components import components
 
@@ -51,6 +54,8 @@ PAIRED = 1 << 21
 PART = 512
 #: Rows of a few numbers up to which a side of a join is broadcast.
 SIDE = 1 << 18
+#: Slots, 64 to a row, of the filter of rows that may have to go, and so cross the network to learn that.
+SLOTS = 1 << 23
 
 
 @dataclass
@@ -393,6 +398,18 @@ def sides(kept: DataFrame) -> tuple:
     return (F.broadcast if n <= SIDE else lambda df: df), n
 
 
+def uncovered(pairs: DataFrame, group: str) -> DataFrame:
+    """(group, node), from the same, without groups whose nodes all have one other group as their largest: all their pairs of nodes are in that.
+
+    A group that is the largest of a node stays.  Only numbers cross the network here, so bitmaps and sets needn't for what is dropped.
+    """
+    pairs = keep(pairs)
+    sized = pairs.join(pairs.groupBy(group).agg(F.count("*").alias("m")), group)
+    home = sized.groupBy("node").agg(F.max(F.struct("m", group)).getField(group).alias("home"))
+    inside = sized.join(home, "node").groupBy(group).agg(F.min("home").alias("low"), F.max("home").alias("high")).where((F.col("low") == F.col("high")) & (F.col("low") != F.col(group)))
+    return keep(pairs.select(group, "node").join(inside.select(group), group, "left_anti"))
+
+
 def families_of(pairs: DataFrame, mapped: DataFrame, percent: int, part: int) -> DataFrame:
     """(leader, node) of the families of all groups, from (pivot, node) and (node, n, bitmap)."""
 
@@ -477,7 +494,8 @@ def links_of(pairs: DataFrame, sets: DataFrame, percent: int, part: int) -> Data
         rows = whole(pairs.join(sets, "node")).select(names)
     else:
         each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        shipped = keep(pairs.join(side(crowded), "leader", "left").join(sets, "node").select("leader", "parts", "node", "set"))
+        sets = keep(sets)
+        shipped = pairs.join(side(crowded), "leader", "left").join(sets, "node").select("leader", "parts", "node", "set")
         leaders = shipped.where("parts is not null and leader = node")
         members = shipped.where("parts is not null and leader <> node").withColumn("part", dealt(F.col("node"), F.col("parts")))
         first = members.select("leader", "part", "parts", "node", "set").union(leaders.select("leader", each("parts").alias("part"), "parts", "node", "set"))
@@ -505,7 +523,9 @@ def similar(docs: DataFrame, size: int = 3, percent: int = 90, part: int = PART)
     """
     prepare(docs.sparkSession)
     docs = docs.select("doc_id", "text")
-    read = keep(read_sets(docs, size, percent, sketches(docs, size)))
+    model = sketches(docs, size)
+    let_go(docs.sparkSession)
+    read = keep(read_sets(docs, size, percent, model))
 
     posts = read.select("node", "n", F.posexplode("first").alias("position", "gram"))
     all_of = Window.partitionBy("gram")
@@ -514,20 +534,33 @@ def similar(docs: DataFrame, size: int = 3, percent: int = 90, part: int = PART)
     # a list's blocks are where the list is, so their pivots need no further shuffle
     block = Window.partitionBy("gram", "block")
     told = met.select("node", F.min("node").over(block).alias("pivot"), F.max("node").over(block).alias("high"))
-    pairs = keep(told.where("pivot <> high").select("pivot", "node").distinct())
-    mapped = read.where("bitmap is not null").select("node", "n", "bitmap").dropDuplicates(["node"])
-    pairs = keep(families_of(pairs, mapped, percent, part))
+    pairs = uncovered(told.where("pivot <> high").select("pivot", "node").distinct(), "pivot")
+    # of sets that meet no other, neither n-grams nor bitmaps are held any longer
+    mapped = keep(read.where("bitmap is not null").select("node", "n", "bitmap").join(pairs.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]))
+    read = keep(read.select("doc_id", "n", "node"))
+    del posts, met, told
+    let_go(docs.sparkSession)
+    pairs = uncovered(families_of(pairs, mapped, percent, part), "leader")
+    del mapped
+    let_go(docs.sparkSession)
 
     first_doc = read.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     sets = fetch(docs, first_doc.join(pairs.select("node").distinct(), "node"), size)
-    links = links_of(pairs, sets, percent, part)
-    joined = components(links)
+    joined = components(links_of(pairs, sets, percent, part))
+    del sets
+    let_go(docs.sparkSession)
     smallest = first_doc.join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "doc_id")
     named = smallest.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     by_node = smallest.join(named, "component").select("node", "component_id")
     return read.join(by_node, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def slotted(df: DataFrame) -> DataFrame:
+    """df with `word` and `bit`, the place in the filter of its column `row`."""
+    slot = F.pmod(F.col("row"), F.lit(SLOTS))
+    return df.withColumns({"word": F.floor(slot / 64), "bit": F.call_function("shiftleft", F.lit(1).cast("bigint"), (slot % 64).cast("int"))})
+
+
 def representatives(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     """One row of docs, with all its columns, of each component: the smallest doc_id, then the smallest hash of the text.
 
@@ -537,7 +570,14 @@ def representatives(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFr
     content = F.xxhash64("text")
     key = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), content.alias("content"))
     known = similar(docs.select(key.alias("doc_id"), "text"), size, percent)
-    chosen = known.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.xxhash64("doc_id.id", "doc_id.content").alias("row"), F.col("doc_id.content").alias("content")).distinct()
-    held = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)]).alias("held"), F.xxhash64("doc_id", content).alias("row"), content.alias("content"))
-    one = held.join(chosen, ["row", "content"], "left_semi").dropDuplicates(["row", "content"])
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    told = keep(known.select(F.xxhash64("doc_id.id", "doc_id.content").alias("row"), F.col("doc_id.content").alias("content"), stays.alias("stays")).groupBy("row", "content").agg(F.bool_or("stays").alias("stays"), F.count("*").alias("times")))
+    del known
+    let_go(docs.sparkSession)
+    # texts cross the network only where their row may go or be there again; whatever the filter lets by meets the exact join
+    bits = F.broadcast(slotted(told.where("not stays or times > 1")).groupBy("word").agg(F.bit_or("bit").alias("bits")))
+    held = slotted(docs.select(F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)]).alias("held"), F.xxhash64("doc_id", content).alias("row"), content.alias("content"))).join(bits, "word", "left")
+    doubt = F.coalesce(F.col("bits").bitwiseAND(F.col("bit")) != 0, F.lit(False))
+    asked = held.where(doubt).select("row", "content", "held").join(told.where("stays").select("row", "content"), ["row", "content"], "left_semi").dropDuplicates(["row", "content"])
+    one = held.where(~doubt).select("held").unionByName(asked.select("held"))
     return one.select(*[F.col("held").getField(f"c{k}").alias(c) for k, c in enumerate(docs.columns)])
