@@ -189,3 +189,20 @@ def test_models_without_a_group_are_those_of_the_rest(spark):
         one, zero = odds[test.y == 1].to_numpy(), odds[test.y == 0].to_numpy()
         assert abs(got[g] - ((one[:, None] > zero).mean() + 0.5 * (one[:, None] == zero).mean())) < 1e-6
     assert got["e"] is None
+
+
+def test_conditional_importance_computes_its_rows_once(spark):
+    from tidemark.operators import folds
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def told(rows):
+        for r in rows:
+            seen.add(1)
+            k = r[0]
+            yield k, k % 2, float(k * 7 % 31), float(k * 3 % 17 + k % 2)
+
+    df = spark.createDataFrame(spark.range(200).rdd.map(tuple).mapPartitions(told), "id bigint, y int, a double, b double")
+    rows = folds.conditional_importance(df.where("id >= 60"), df.where("id < 60"), "id", ["a", "b"], "y", 2, 5, 0.1).collect()
+    assert {r.feature for r in rows} == {"a", "b"}
+    assert seen.value == 2 * 200  # once for train and once for test

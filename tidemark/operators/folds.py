@@ -201,8 +201,11 @@ def conditional(train: DataFrame, test: DataFrame, id_: str, features: list[str]
 
 
 def conditional_importance(train: DataFrame, test: DataFrame, id_: str, features: list[str], y: str, rounds: int, seed: int, shrink: float = 0.0) -> DataFrame:
-    """(feature, auc, permuted_auc, importance) with columns that keep what other features tell of them."""
-    held = kept(test.select(id_, y, *features))
+    """(feature, auc, permuted_auc, importance) with columns that keep what other features tell of them.
+
+    Both frames are computed once and written: forests read train many times for each feature.
+    """
+    train, held = kept(train.select(id_, y, *features)), kept(test.select(id_, y, *features))
     model = F.broadcast(sums(train, [], features, y))
     auc = lambda rows, keys: roc_auc(rows.join(model, F.lit(True)).select(*keys, y, F.round(score(features, F.lit(shrink)), 9).alias("p")), "p", y, keys)
     parts = []

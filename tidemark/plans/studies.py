@@ -96,7 +96,8 @@ def traits(spark, sf):
     from tidemark.functions.hashing import bucket
 
     text = F.coalesce(c("text"), F.lit(""))
-    count = lambda pattern: F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
+    # whole runs are taken out at once, which is the same number of characters in fewer matches
+    count = lambda pattern: F.length(text) - F.length(F.regexp_replace(text, f"{pattern}+", ""))
     docs = read(spark, sf, "documents").select("doc_id", "source", F.log1p(F.length(text)).alias("size"), (count(r"[^A-Za-z \n]") / (F.length(text) + 1)).alias("marks"), (count("[A-Z]") / (F.length(text) + 1)).alias("wide"))
     return read(spark, sf, "labels").join(docs, "doc_id").select("doc_id", "source", bucket(c("source"), 5).cast("int").alias("fold"), c("quality").alias("y"), *FEATURES)
 
