@@ -135,3 +135,16 @@ def test_numbers_that_wrap(spark):
         assert [got[flow][nr] - first for nr in range(len(true))] == [place for place, _ in true]
     covered = reassembly.coverage(reassembly.walk(reassembly.unwrapped(df))).collect()
     assert all(x.gap_bytes == 0 and not x.has_overlap and x.reassembled == x.total_bytes for x in covered)
+
+
+def test_captures_of_many_orders_are_few_files(spark, sf):
+    from pathlib import Path
+
+    from tidemark.sources.tables import read
+
+    folder = Path(r.recorded(spark, sf).removeprefix("file:"))
+    files = [p for p in folder.rglob("*") if p.is_file() and not p.name.startswith(".")]
+    keys = {x.o_orderkey for x in read(spark, sf, "orders").select("o_orderkey").collect()}
+    assert len(files) == len({k // 16384 for k in keys}) < len({k // 64 for k in keys}) / 10
+    assert sum(p.stat().st_size for p in files) < 200 * len(keys)
+    assert {x.capture.rsplit("!", 1)[-1] for x in captures.packets_at(spark, str(folder)).select("capture").distinct().collect()} == {f"{k}.{'pcapng' if k % 2 else 'pcap'}" for k in {k // 64 for k in keys}}

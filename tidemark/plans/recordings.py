@@ -1,7 +1,7 @@
 """Capture files of orders' flows, written to the shared folder and read again.
 
-An order is a flow of a few segments between a client and a mail server; 64 orders make a file, by turns pcap and pcapng of
-either byte order and several clocks.  Numbers start just below 2^32, so they wrap within flows.  The SQL counts from the orders;
+An order is a flow of a few segments between a client and a mail server; 64 orders make a capture, by turns pcap and pcapng of
+either byte order and several clocks, and 256 captures a zip file, as the driver lists files and the disk holds them.  Numbers start just below 2^32, so they wrap within flows.  The SQL counts from the orders;
 the queries have nothing but the files' bytes.
 """
 
@@ -9,9 +9,9 @@ from __future__ import annotations
 
 import struct
 import uuid
-import zlib
-from collections.abc import Iterator
+import zipfile
 from datetime import datetime, timezone
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,8 +23,8 @@ from tidemark.sources import captures
 from tidemark.sources.shared import filesystem, shared_dir
 from tidemark.sources.tables import read
 
-#: Orders of a file.
-FLOWS = 64
+#: Orders of a capture, captures of a zip file.
+FLOWS, CAPTURES = 64, 256
 SUITES = [0x1301, 0x1302, 0xC02F, 0xC030, 0x009C, 0x002F]
 
 
@@ -82,22 +82,25 @@ def capture(file: int, orders: list[tuple[int, int, datetime]]) -> bytes:
 
 
 def recorded(spark, sf: str) -> str:
-    """The folder of the captures of all orders, FLOWS orders to a file."""
+    """The folder of the captures of all orders, FLOWS orders to a capture and CAPTURES captures to a zip file."""
     folder = f"{shared_dir(spark)}/captures-{uuid.uuid4().hex}"
     store, place = filesystem(folder)
     store.create_dir(place)
 
     def write(table: pa.Table) -> pa.Table:
         rows = sorted(zip(*[table.column(c).to_pylist() for c in ("o_orderkey", "o_custkey", "at")]))
-        file = rows[0][0] // FLOWS
-        body = capture(file, [(k, c, datetime.fromtimestamp(t, timezone.utc)) for k, c, t in rows])
-        store, place = filesystem(f"{folder}/{file}.{'pcapng' if file % 2 else 'pcap'}")
-        with store.open_output_stream(place) as out:  # a task that runs again writes the same bytes
-            out.write(body)
-        return pa.table({"file": pa.array([file], pa.int64()), "crc": pa.array([zlib.crc32(body)], pa.int64())})
+        archive, made = rows[0][0] // (FLOWS * CAPTURES), 0
+        store, place = filesystem(f"{folder}/{archive}.zip")
+        # a task that runs again writes the same bytes
+        with store.open_output_stream(place) as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED, compresslevel=1) as z:
+            for file, own in groupby(rows, lambda r: r[0] // FLOWS):
+                body = capture(file, [(k, c, datetime.fromtimestamp(t, timezone.utc)) for k, c, t in own])
+                z.writestr(zipfile.ZipInfo(f"{file}.{'pcapng' if file % 2 else 'pcap'}"), body, zipfile.ZIP_DEFLATED, 1)
+                made += 1
+        return pa.table({"archive": pa.array([archive], pa.int64()), "captures": pa.array([made], pa.int64())})
 
     orders = read(spark, sf, "orders").select("o_orderkey", "o_custkey", F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).alias("at"))
-    orders.groupBy(F.floor(F.col("o_orderkey") / FLOWS).alias("file")).applyInArrow(write, "file bigint, crc bigint").write.format("noop").mode("overwrite").save()
+    orders.groupBy(F.floor(F.col("o_orderkey") / (FLOWS * CAPTURES)).alias("archive")).applyInArrow(write, "archive bigint, captures bigint").write.format("noop").mode("overwrite").save()
     return folder
 
 

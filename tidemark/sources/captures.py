@@ -34,14 +34,29 @@ def files(spark: SparkSession, path: str, whole: int = WHOLE) -> DataFrame:
     small = raw.where(F.col("length") <= whole).select("path", "content")
     far = raw.where(F.col("length") > whole).select(F.col("path").alias("name"), F.lit(None).cast("binary").alias("content"), F.lit(True).alias("large"))
 
+    def members(name: str, body: bytes) -> Iterator[tuple[str, bytes | None]]:
+        if not zipfile.is_zipfile(io.BytesIO(body)):
+            yield name, body
+            return
+        with zipfile.ZipFile(io.BytesIO(body)) as z:
+            for m in z.infolist():
+                if not m.is_dir():
+                    yield f"{name}!{m.filename}", z.read(m) if m.file_size <= whole else None
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[1] is None for r in rows], pa.bool_())], ["name", "content", "large"])
         for batch in batches:
-            for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rows = [(name, body)]
-                if zipfile.is_zipfile(io.BytesIO(body)):
-                    with zipfile.ZipFile(io.BytesIO(body)) as z:
-                        rows = [(f"{name}!{m.filename}", z.read(m) if m.file_size <= whole else None) for m in z.infolist() if not m.is_dir()]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[1] is None for r in rows], pa.bool_())], ["name", "content", "large"])
+            for name, body in zip(batch.column(0), batch.column(1)):
+                # what a zip file holds may be many times its size
+                rows, size = [], 0
+                for row in members(name.as_py(), body.as_py()):
+                    rows.append(row)
+                    size += len(row[1] or b"")
+                    if size >= BATCH:
+                        yield told(rows)
+                        rows, size = [], 0
+                if rows:
+                    yield told(rows)
 
     read = small.mapInArrow(run, "name string, content binary, large boolean")
     return read.unionByName(far).withColumn("malformed", ~F.col("large") & malformed(F.col("name"), F.col("content")))
@@ -147,11 +162,19 @@ def packets_at(spark: SparkSession, path: str, whole: int = WHOLE, split: int =
                     f.seek(r["start"])
                     yield from _batches(r["name"], parse_packets(f, blocks.State.of(r["state"]), r["stop"]))
 
+    def holding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, body in zip(batch.column(0), batch.column(1)):
+                body = io.BytesIO(body.as_py())
+                if zipfile.is_zipfile(body) and any(m.file_size > whole for m in zipfile.ZipFile(body).infolist() if not m.is_dir()):
+                    yield pa.RecordBatch.from_arrays([pa.array([name.as_py()])], ["name"])
+
     # a row to a task, as a row is a file or a range of one
     ranges = large.repartition(F.col("path")).mapInArrow(index, "name string, start bigint, stop bigint, state string").repartition(F.col("name"), F.col("start"))
     small = files(spark, path, whole)
-    # members of a small zip that are large themselves are streamed from it
-    inner = small.where("large and name like '%!%'").select(F.regexp_extract("name", r"^(.*?)!", 1).alias("name")).distinct()
+    # members of a small zip that are large themselves are streamed from it; its directory tells, so nothing is unpacked for that
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    inner = raw.where((F.col("length") <= whole) & (F.hex(F.substring("content", 1, 4)) == "504B0304")).select("path", "content").mapInArrow(holding, "name string")
     streamed = inner.select("name", F.lit(whole).cast("bigint").alias("start"), F.lit(None).cast("bigint").alias("stop"), F.lit(None).cast("string").alias("state"))
     return packets(small.where("not large and not malformed")).unionByName(ranges.unionByName(streamed).mapInArrow(parse, PACKET))
 
